@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neighbours
+from . import near_records, neighbours
+from .components import components, links_of_pairs
 from .common import table
 
 HASHES = {"v_dhash": 512, "v_phash": 256}
@@ -24,8 +25,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_records.near_pairs(table(spark, sf_dir, "sample_set"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_records.groups(table(spark, sf_dir, "sample_set"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(links_of_pairs(table(spark, sf_dir, "pair_t")))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
