@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_records, neighbours
+from . import history, near_records, neighbours, seen
 from .components import components, links_of_pairs
 from .common import table
 
@@ -33,12 +33,32 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_records.groups(table(spark, sf_dir, "sample_set"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.decide(table(spark, sf_dir, "sample_set"), table(spark, sf_dir, "batch_set")).filter("is_case").select("idx")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(links_of_pairs(table(spark, sf_dir, "pair_t")))
 
 
+def _digests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    stream = table(spark, sf_dir, "sample_set").select(F.col("idx").alias("id"), F.col("v_md5").alias("key"))
+    return stream, table(spark, sf_dir, "seen_md5").select(F.col("v_md5").alias("key"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seen.seen_before(*_digests(spark, sf_dir)).select(F.col("id").alias("idx"))
+
+
+def p6_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seen.error_rates(*_digests(spark, sf_dir))
+
+
+QUERIES = [p1_found, p2_found, p2_groups, p3_found, p4_found, p6_found, p6_error_rates]
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
