@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import history, near_records, neighbours, seen
+from . import history, near_records, neighbours, packing, seen, spans, tokens
 from .components import components, links_of_pairs
 from .common import table
 
@@ -54,7 +54,24 @@ def p6_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.error_rates(*_digests(spark, sf_dir))
 
 
-QUERIES = [p1_found, p2_found, p2_groups, p3_found, p4_found, p6_found, p6_error_rates]
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = tokens.count_tokens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), into="size")
+    return packing.pack(sized.select("id", "size"), table(spark, sf_dir, "pack_capacity")).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, sf_dir, "documents"))
+
+
+def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.coverage(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [p1_found, p2_found, p2_groups, p3_found, p4_found, p6_found, p6_error_rates, p7_ids, p8_packed, p9_found, p9_coverage]
 
 
 def queries() -> dict:
