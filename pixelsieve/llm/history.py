@@ -42,7 +42,7 @@ def decide(history: DataFrame, batches: DataFrame, below: int = BELOW) -> DataFr
     hashes = hashes.union(new.select("bits", F.col("idx") * 2 + 1, F.lit(0), F.lit(1))).filter("bits IS NOT NULL AND id IS NOT NULL")
     hashes = hashes.groupBy("bits").agg(F.min("id").alias("id"), F.max("old").alias("old"), F.max("new").alias("new"))
     # the lowest bit of a class says whether the history has it, side whether a batch has it
-    classes = hashes.select("bits", (F.col("id") * 2 + F.col("old")).alias("id"), (1 + 2 * F.col("new")).alias("side"))
+    classes = checkpointed(hashes.select("bits", (F.col("id") * 2 + F.col("old")).alias("id"), (1 + 2 * F.col("new")).alias("side")))
     links = checkpointed(near_bits(classes, BITS, below).select("a", "b"))
     both = links.union(links.select("b", "a")).toDF("cls", "other")
     known = both.filter("other % 2 != 0").select("cls").distinct()

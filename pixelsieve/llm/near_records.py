@@ -35,7 +35,7 @@ def class_links(classes: DataFrame, below: int = BELOW) -> DataFrame:
 def _key_links(records: DataFrame, edits: int) -> DataFrame:
     """``a, b`` between the smallest idx of different keys, at least one of them of a record without bits."""
     keys = records.filter(F.col("keys").isNotNull()).groupBy("keys").agg(F.min("idx").alias("id"), F.max(F.when(F.col("bits").isNull(), 3).otherwise(1)).alias("side"))
-    return near_strings(keys.select("id", F.col("keys").alias("s"), "side"), edits)
+    return near_strings(checkpointed(keys.select("id", F.col("keys").alias("s"), "side")), edits)
 
 
 def near_pairs(records: DataFrame, below: int = BELOW, edits: int = EDITS) -> DataFrame:
@@ -48,12 +48,12 @@ def near_pairs(records: DataFrame, below: int = BELOW, edits: int = EDITS) -> Da
     asks; their number is the size of the result, not a by-product.
     """
     ready = _ready(records)
-    classes = hash_classes(records)
-    hashed = ready.filter(F.col("bits").isNotNull())
+    classes = checkpointed(hash_classes(records))
     links = checkpointed(class_links(classes, below))
     ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).distinct()
-    used = classes.filter(F.col("members") > 1).select("bits", "rep").union(classes.filter(F.col("members") == 1).join(ends, "rep", "left_semi").select("bits", "rep"))
-    members = checkpointed(hashed.join(used, "bits").select("rep", "idx", "keys"))
+    copied = ready.filter(F.col("bits").isNotNull()).select("bits", "idx").join(classes.filter(F.col("members") > 1).select("bits", "rep"), "bits").select("rep", "idx")
+    alone = classes.filter(F.col("members") == 1).select("rep").join(ends, "rep", "left_semi").select("rep", F.col("rep").alias("idx"))
+    members = checkpointed(copied.union(alone).join(ready.select("idx", "keys"), "idx").select("rep", "idx", "keys"))
     x, y = (members.select(F.col("rep").alias(f"rep_{s}"), F.col("idx").alias(f"idx_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "xy")
     across = links.join(x, F.col("a") == F.col("rep_x")).join(y, F.col("b") == F.col("rep_y"))
     within = x.join(y, (F.col("rep_x") == F.col("rep_y")) & (F.col("idx_x") < F.col("idx_y")))
@@ -78,7 +78,7 @@ def groups(records: DataFrame, below: int = BELOW, edits: int = EDITS) -> DataFr
     Equal bits join records without writing out their pairs. A record near no other has no row.
     """
     ready = _ready(records)
-    classes = hash_classes(records)
+    classes = checkpointed(hash_classes(records))
     hashed = ready.filter(F.col("bits").isNotNull())
     same = hashed.join(classes.filter(F.col("members") > 1).select("bits", "rep"), "bits").filter("idx != rep").select(F.col("idx").alias("a"), F.col("rep").alias("b"))
     key_links = checkpointed(_key_links(ready, edits))

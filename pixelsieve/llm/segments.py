@@ -1,10 +1,11 @@
 """Segment indexes: candidates for small Hamming distance and small edit distance without comparing all pairs.
 
 Bits (``near_bits``): every row is seen as the set of its values at fixed groups of bit positions, one group for each
-table. Rows fewer than ``below`` bits apart share the value of a group of k positions with a known chance p, so that
-``plan_tables`` can choose the number of tables for a stated share of missed pairs at the largest distance; nearer
-pairs are missed far less often. The lists of equal values are scanned in order of their position, and a sketch of
-64 other bits skips nearly all accidental partners before the exact distance is taken. Rows with equal bits are one
+table. The values of two rows fewer than ``below`` bits apart differ in at most one of a group's k positions with a
+known chance p, so that ``plan_tables`` can choose the number of tables for a stated share of missed pairs at the
+largest distance; nearer pairs are missed far less often. A list of equal values is compared with itself and with
+the lists one position away, and a sketch of 64 bits skips nearly all accidental partners before the exact distance
+is taken. Rows with equal bits are one
 entry: what is found for one of them holds for all.
 
 Strings (``near_strings``): a string is cut into 2 * (tau + 1) segments by its length; the segments i and i + tau + 1
@@ -27,19 +28,28 @@ from pyspark.sql import functions as F
 
 from .common import Text, by_bucket, fixed, joined, joined_ints, mix64, pack_ints, run_starts, words64
 
-#: Share of pairs at the largest distance that the tables may miss; at half that distance it is near 1e-9.
-MISS = 0.01
+#: Share of pairs at the largest distance that the tables may miss; it falls quickly below.
+MISS = 0.002
 SKETCH_BITS = 64
 ROWS_A_BUCKET = 2_000_000
 STRINGS_A_BUCKET = 2_000_000
 SEED = 40_009
 
 
-def plan_tables(n: int, nbits: int, below: int, miss: float = MISS) -> tuple[int, int]:
-    """(positions in a group, tables) for n rows; the groups grow with the logarithm of n so that lists stay short."""
-    k = min(24, max(6, math.ceil(math.log2(max(n, 2))) - 3), max(1, nbits - below))
-    p = math.prod((nbits - below + 1 - i) / (nbits - i) for i in range(k))
-    return k, max(1, math.ceil(math.log(miss) / math.log1p(-p))) if p < 1 else 1
+def plan_tables(n: int, nbits: int, below: int, miss: float = MISS) -> tuple[int, int, int]:
+    """(positions in a group, of these the ones that also choose a part, tables) for n rows.
+
+    Two rows meet in a table if their values differ in no position, or in one that doesn't choose the part. Groups grow
+    with the logarithm of n so that lists stay short.
+    """
+    fixed_positions = max(0, math.ceil(math.log2(max(1, n / ROWS_A_BUCKET))))
+    k = min(32, max(8, math.ceil(math.log2(max(n, 2)))), max(1, nbits - below))
+    far = below - 1
+    ways = math.comb(nbits, far)
+    none = math.comb(nbits - k, far) / ways
+    one = (k - fixed_positions) * math.comb(nbits - k, far - 1) / ways if far else 0.0
+    p = min(none + one, 1 - 1e-12)
+    return k, fixed_positions, max(1, math.ceil(math.log(miss) / math.log1p(-p)))
 
 
 def sketch_bound(nbits: int, below: int) -> int:
@@ -49,59 +59,86 @@ def sketch_bound(nbits: int, below: int) -> int:
 
 
 @functools.lru_cache(maxsize=4)
-def _positions(nbits: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+def _positions(nbits: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights that turn a row of bits into its value for each table, and the positions of the sketch."""
     rng = np.random.default_rng(SEED)
     weights = np.zeros((nbits, tables), dtype=np.float32)
+    more = np.zeros((nbits, tables), dtype=np.float32)
     for t in range(tables):
-        weights[rng.choice(nbits, k, replace=False), t] = 2.0 ** np.arange(k)
-    return weights, rng.choice(nbits, min(SKETCH_BITS, nbits), replace=False)
+        at = rng.choice(nbits, k, replace=False)
+        weights[at[:24], t] = 2.0 ** np.arange(min(k, 24))  # sums below 2**24 are exact in float32
+        more[at[24:], t] = 2.0 ** np.arange(max(0, k - 24))
+    return weights, more, rng.choice(nbits, min(SKETCH_BITS, nbits), replace=False)
 
 
-def _emit(batches: Iterator[pa.RecordBatch], width: int, k: int, tables: int, parts: int) -> Iterator[pa.RecordBatch]:
-    weights, sketch = _positions(width * 8, k, tables)
+def _emit(batches: Iterator[pa.RecordBatch], width: int, k: int, fixed_positions: int, tables: int) -> Iterator[pa.RecordBatch]:
+    weights, more, sketch = _positions(width * 8, k, tables)
+    parts = 1 << fixed_positions
     for batch in batches:
         if not batch.num_rows:
             continue
         code = batch.column(0).to_numpy() * 4 + batch.column(2).to_numpy()
         bits = np.unpackbits(fixed(batch.column(1), width), axis=1)
-        values = (bits.astype(np.float32) @ weights).astype(np.uint32)  # below 2**24, so exact
+        real = bits.astype(np.float32)
+        values = (real @ weights).astype(np.uint32)
+        if k > 24:
+            values |= (real @ more).astype(np.uint32) << np.uint32(24)
         seen = np.packbits(bits[:, sketch], axis=1)
         seen = words64(np.pad(seen, ((0, 0), (0, 8 - seen.shape[1])))).ravel()
         cells = []
         for t in range(tables):
             v = values[:, t]
-            for part, at in by_bucket(mix64(v.astype(np.uint64)) % np.uint64(parts)) if parts > 1 else ((0, slice(None)),):
+            for part, at in by_bucket((v & np.uint32(parts - 1)).astype(np.int64)) if parts > 1 else ((0, slice(None)),):
                 cells.append((t * parts + part, v[at].tobytes(), pack_ints(code[at]), seen[at].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "vals", "codes", "sketches"])
 
 
-def partners(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (i, j), i < j, of positions with equal keys, of sorted keys, in slices by their difference."""
-    starts, lengths = run_starts(keys)
-    several = lengths > 1
-    end = np.repeat(starts[several] + lengths[several], lengths[several])
-    at = np.flatnonzero(np.repeat(several, lengths))
-    step = 1
-    while len(at):
-        keep = at + step < end
-        at, end = at[keep], end[keep]
-        if len(at):
-            yield at, at + step
-        step += 1
-
-
-def _probe(cells: pa.Table, bound: int) -> pa.Table:
+def expand(entry: np.ndarray, lo: np.ndarray, hi: np.ndarray, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(entry, j) for every j in [lo, hi) of each entry, in slices of bounded size."""
+    n = hi - lo
+    entry, lo, n = entry[n > 0], lo[n > 0], n[n > 0]
+    total = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        done = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + at_once, "right")))
+        m = n[start:stop]
+        within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        yield np.repeat(entry[start:stop], m), np.repeat(lo[start:stop], m) + within
+        start = stop
+
+
+def _lists(values: np.ndarray, k: int, fixed_positions: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges of partners of sorted values: entries after each in its own list, then the lists one position away."""
+    starts, lengths = run_starts(values)
+    at = np.arange(len(values))
+    yield at, at + 1, np.repeat(starts + lengths, lengths)
+    own = values[starts]
+    list_of = np.repeat(np.arange(len(starts)), lengths)
+    for i in range(fixed_positions, k):
+        lower = np.flatnonzero((own >> np.uint32(i)) & np.uint32(1) == 0)
+        other = np.searchsorted(own, own[lower] | np.uint32(1 << i))
+        other = np.minimum(other, len(own) - 1)
+        met = own[other] == own[lower] | np.uint32(1 << i)
+        partner = np.full(len(starts), -1)
+        partner[lower[met]] = other[met]
+        entry = at[partner[list_of] >= 0]
+        p = partner[list_of[entry]]
+        yield entry, starts[p], starts[p] + lengths[p]
+
+
+def _probe(cells: pa.Table, bound: int, k: int, fixed_positions: int) -> pa.Table:
     values, codes = joined(cells["vals"].to_pylist(), np.uint32), joined_ints(cells["codes"].to_pylist())
     seen = joined(cells["sketches"].to_pylist(), np.uint64)
     order = np.argsort(values, kind="stable")
     values, codes, seen = values[order], codes[order], seen[order]
     out = [np.empty((0, 2), dtype=np.int64)]
-    for i, j in partners(values):
-        ok = (np.bitwise_count(seen[i] ^ seen[j]) <= bound) & (((codes[i] | codes[j]) & 2) > 0)
-        if ok.any():
+    for ranges in _lists(values, k, fixed_positions) if len(values) else ():
+        for i, j in expand(*ranges):
+            ok = np.flatnonzero(np.bitwise_count(seen[i] ^ seen[j]) <= bound)
             i, j = i[ok], j[ok]
-            a, b = codes[i] >> 2, codes[j] >> 2
+            ok = ((codes[i] | codes[j]) & 2) > 0
+            a, b = codes[i[ok]] >> 2, codes[j[ok]] >> 2
             out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
     pairs = np.unique(np.concatenate(out), axis=0)
     return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
@@ -125,11 +162,11 @@ def near_bits(rows: DataFrame, nbits: int, below: int, n: int | None = None, mis
     """
     n = rows.count() if n is None else n
     width = nbits // 8
-    k, tables = plan_tables(n, nbits, below, miss)
-    parts, bound = max(1, math.ceil(n / ROWS_A_BUCKET)), sketch_bound(nbits, below)
+    k, fixed_positions, tables = plan_tables(n, nbits, below, miss)
+    bound = sketch_bound(nbits, below)
     rows = rows.select(F.col("id").cast("long").alias("id"), "bits", F.col("side").cast("long").alias("side"))
-    cells = rows.mapInArrow(lambda x: _emit(x, width, k, tables, parts), "bucket int, vals binary, codes binary, sketches binary")
-    pairs = cells.groupBy("bucket").applyInArrow(lambda t: _probe(t, bound), "a long, b long").distinct()
+    cells = rows.mapInArrow(lambda x: _emit(x, width, k, fixed_positions, tables), "bucket int, vals binary, codes binary, sketches binary")
+    pairs = cells.groupBy("bucket").applyInArrow(lambda t: _probe(t, bound, k, fixed_positions), "a long, b long").distinct()
     left, right = rows.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), rows.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "bits_a", "bits_b")
     return both.mapInArrow(lambda x: _measure(x, width, below), "a long, b long, distance int")
