@@ -26,6 +26,7 @@ SHORTEST = 400
 PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 ANCHORS_A_BUCKET = 2_000_000
+CHARS_AT_ONCE = 1_000_000
 
 
 def cover_for(shortest: int) -> tuple[int, tuple[int, ...]]:
@@ -37,32 +38,43 @@ def cover_for(shortest: int) -> tuple[int, tuple[int, ...]]:
     return period, tuple(sorted({i for i in range(min(step, period))} | {i * step % period for i in range(1, -(-period // step) + 1)}))
 
 
+def _slices(lengths: list[int], at_once: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters together, at least one text each."""
+    start = total = 0
+    for i, n in enumerate(lengths):
+        if i > start and total + n > at_once:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
 def _anchors(batches: Iterator[pa.RecordBatch], shortest: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packs the anchors of the texts of a batch by bucket: hash, and position in the batch's joined text."""
+    """Packs the anchors of the texts by bucket: hash, class and position, some texts at a time."""
     period, cover = cover_for(shortest)
-    window = shortest - period + 1
+    window, places = shortest - period + 1, np.array(cover)
     for batch in batches:
-        if not batch.num_rows:
-            continue
         cls = batch.column(0).to_numpy()
         _, first = np.unique(cls, return_index=True)  # copies within the batch
-        texts = batch.column(1).to_pylist()
-        text, cls = Text([texts[i] for i in first]), cls[first]
-        start, length = text.starts[:-1], text.lengths
-        # text by text the positions of the cover, cut to those that leave room for a window
-        blocks = np.maximum(length - window, -1) // period + 1
-        of = np.repeat(np.arange(len(cls)), blocks * len(cover))
-        within = np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(blocks * len(cover))[:-1]], blocks * len(cover))
-        at = within // len(cover) * period + np.array(cover)[within % len(cover)]
-        ok = at + window <= length[of]
-        of, at = of[ok], at[ok]
-        h = mix64(text.windows(start[of] + at, window))
-        cells = []
-        for b, p in by_bucket((h % np.uint64(buckets)).astype(np.int64)):
-            k, counts = np.unique(of[p], return_counts=True)
-            cells.append((b, pack_ints(cls[k]), pack_ints(counts), (h[p] >> np.uint64(16)).astype(np.uint32).tobytes(), (h[p] >> np.uint64(48)).astype(np.uint16).tobytes(), _gaps(of[p], at[p])))
-        if cells:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), (pa.int32(), *[pa.binary()] * 5))], names=["bucket", "classes", "counts", "low", "high", "gaps"])
+        cls, texts = cls[first], batch.column(1).take(pa.array(first)).to_pylist()
+        for begin, stop in _slices([len(x) for x in texts]):
+            text = Text(texts[begin:stop])
+            start, length = text.starts[:-1], text.lengths
+            # text by text the positions of the cover, cut to those that leave room for a window
+            n = (np.maximum(length - window, -1) // period + 1) * len(cover)
+            of = np.repeat(np.arange(len(n)), n)
+            within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            at = within // len(cover) * period + places[within % len(cover)]
+            ok = at + window <= length[of]
+            of, at = of[ok], at[ok]
+            h = mix64(text.windows(start[of] + at, window))
+            cells = []
+            for b, p in by_bucket((h % np.uint64(buckets)).astype(np.int64)):
+                k, counts = np.unique(of[p], return_counts=True)
+                cells.append((b, pack_ints(cls[begin + k]), pack_ints(counts), (h[p] >> np.uint64(16)).astype(np.uint32).tobytes(), (h[p] >> np.uint64(48)).astype(np.uint16).tobytes(), _gaps(of[p], at[p])))
+            if cells:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), (pa.int32(), *[pa.binary()] * 5))], names=["bucket", "classes", "counts", "low", "high", "gaps"])
 
 
 def _gaps(of: np.ndarray, at: np.ndarray) -> bytes:
