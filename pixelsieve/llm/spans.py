@@ -27,6 +27,8 @@ PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 ANCHORS_A_BUCKET = 2_000_000
 CHARS_AT_ONCE = 1_000_000
+#: Up to so many ids (8 bytes each) go to every task to pick out the texts of pairs; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def cover_for(shortest: int) -> tuple[int, tuple[int, ...]]:
@@ -143,10 +145,13 @@ def _ready(docs: DataFrame) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """``doc_id, cls``: equal texts have the smallest doc_id among them as their class; shorter texts are left out."""
-    long = _ready(docs).filter(F.char_length("text") >= shortest).select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+    """``doc_id, cls, code``: equal texts have the smallest doc_id among them as their class; shorter texts are left out.
+
+    code is a 64-bit hash of the text, which stands for the class in the anchors.
+    """
+    long = _ready(docs).filter(F.char_length("text") >= shortest).select("doc_id", F.xxhash64("text").alias("code"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"))
     first = long.groupBy("digest").agg(F.min("doc_id").alias("cls"))
-    return long.join(first, "digest").select("doc_id", "cls")
+    return long.join(first, "digest").select("doc_id", "cls", "code")
 
 
 def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST) -> DataFrame:
@@ -158,16 +163,18 @@ def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST) -
     total = first.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     period, cover = cover_for(shortest)
     buckets = max(24, math.ceil(total * len(cover) / period / ANCHORS_A_BUCKET))
-    code = F.xxhash64("text")  # stands for the class in the anchors; equal texts have equal codes
-    cells = first.select(code.alias("code"), "text").mapInArrow(lambda x: _anchors(x, shortest, buckets), "bucket int, classes binary, counts binary, low binary, high binary, gaps binary")
+    cells = first.select(F.xxhash64("text").alias("code"), "text").mapInArrow(lambda x: _anchors(x, shortest, buckets), "bucket int, classes binary, counts binary, low binary, high binary, gaps binary")
     matches = cells.groupBy("bucket").applyInArrow(_match, "a long, b long, shift long")
-    pairs = matches.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts"))
-    pairs = checkpointed(pairs)
-    ends = pairs.select(F.col("a").alias("code")).union(pairs.select(F.col("b").alias("code"))).distinct()
-    reps = classes.filter("doc_id = cls").select(F.col("cls").alias("doc_id"))
-    texts = checkpointed(first.withColumn("code", code).join(ends, "code", "left_semi").join(reps, "doc_id", "left_semi").select("code", F.col("doc_id").alias("cls"), "text"))
-    x, y = (texts.select(F.col("code").alias(s), F.col("cls").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
-    both = pairs.join(x, "a").join(y, "b").select("cls_a", "cls_b", "shifts", "text_a", "text_b")
+    reps = classes.filter("doc_id = cls").select("code", "cls")
+    x, y = (reps.toDF(s, f"cls_{s}") for s in "ab")
+    named = matches.join(x, "a").join(y, "b")
+    pairs = checkpointed(named.groupBy("cls_a", "cls_b").agg(F.collect_set("shift").alias("shifts")))
+    ends = checkpointed(pairs.select(F.col("cls_a").alias("doc_id")).union(pairs.select("cls_b")).distinct())
+    if ends.count() <= BROADCAST_IDS:
+        ends = F.broadcast(ends)  # then only the texts of pairs are shuffled
+    texts = first.join(ends, "doc_id", "left_semi")
+    x, y = (texts.select(F.col("doc_id").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
+    both = pairs.join(x, "cls_a").join(y, "cls_b").select("cls_a", "cls_b", "shifts", "text_a", "text_b")
     runs = both.mapInArrow(lambda t: _extend(t, shortest), "a long, b long, start_a long, start_b long, length long")
     swap = F.col("a") > F.col("b")
     turned = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("start_a", "start_b"), ("start_b", "start_a"))]
