@@ -47,7 +47,15 @@ def shift_in(bits: Column, byte: Column) -> Column:
     return F.concat(F.substring(bits, 2, 1 << 30), byte)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once; the body of a lambda would compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pack_bits(bits: Column, nbits: int) -> Column:
     """Hex text of an array of 0 and 1, most significant first."""
-    nibble = lambda i: F.conv(F.array_join(F.transform(F.slice(bits, i * 4 + 1, F.lit(4)), lambda b: b.cast("string")), ""), 2, 16)
-    return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(nbits // 4 - 1)), nibble), ""))
+    def nibble(b: Column, q: Column) -> Column:
+        at = lambda k: F.get(b, (q * 4 + k).cast("int"))
+        return F.substring(F.lit("0123456789abcdef"), (at(0) * 8 + at(1) * 4 + at(2) * 2 + at(3) + 1).cast("int"), F.lit(1))
+
+    return let(bits, lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(nbits // 4 - 1)), lambda q: nibble(b, q)), ""))

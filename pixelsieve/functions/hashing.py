@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bits import pack_bits
+from .bits import let, pack_bits
 
 # Weights of blue, green and red in a gray level, in units of 2**-14.
 GRAY = (1868, 9617, 4899)
@@ -49,19 +49,19 @@ def gradient_bits(grid: Column, side: int = 16) -> Column:
 
 def gradient_hash(grid: Column, side: int = 16) -> Column:
     """Hex text of gradient_bits; null for a grid of another size."""
-    return F.when(F.size(grid) == (side + 1) ** 2, pack_bits(gradient_bits(grid, side), 2 * side * side))
+    return F.when(F.size(grid) == (side + 1) ** 2, let(grid, lambda g: pack_bits(gradient_bits(g, side), 2 * side * side)))
 
 
 def median_bits(values: Column, nbits: int) -> Column:
     """1 where a value exceeds the mean of the two middle values."""
-    ordered = F.array_sort(values)
-    middle = (F.get(ordered, F.lit(nbits // 2)).cast("double") + F.get(ordered, F.lit(nbits // 2 - 1)).cast("double")) / 2
-    return F.flatten(F.transform(F.array(middle), lambda m: F.transform(values, lambda v: (v.cast("double") > m).cast("int"))))
+    middle = lambda o: (F.get(o, F.lit(nbits // 2)).cast("double") + F.get(o, F.lit(nbits // 2 - 1)).cast("double")) / 2
+    above = lambda m: F.transform(values, lambda v: (v.cast("double") > m).cast("int"))
+    return let(F.array_sort(values), lambda o: let(middle(o), above))
 
 
 def median_hash(values: Column, nbits: int = 256) -> Column:
     """Hex text of median_bits; null for another number of values."""
-    return F.when(F.size(values) == nbits, pack_bits(median_bits(values, nbits), nbits))
+    return F.when(F.size(values) == nbits, let(values, lambda v: pack_bits(median_bits(v, nbits), nbits)))
 
 
 @functools.lru_cache(maxsize=256)
