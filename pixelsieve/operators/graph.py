@@ -3,42 +3,41 @@
 from __future__ import annotations
 
 import heapq
-import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, forget
+
 SALTS = 16
 MAX_ROUNDS = 200
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the session names; a temporary one is set only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieve-ckpt-"))
-    return df.checkpoint()
-
-
 def labels(edges: DataFrame) -> DataFrame:
     """``v, label`` for every end of an edge ``i, j``: the smallest vertex of its component.
 
-    Every vertex takes the least label among its neighbours and then the label of its label, which halves the way to
-    the component's minimum in each round. A hub's edges are spread over SALTS tasks by a salted join.
+    In each round all vertices of one label take the label of lowest priority that any of them meets over an edge, and
+    then the label which that one takes. Priorities are hashes that change with the round, so that whatever the shape
+    of the graph a constant share of the labels is expected to merge in each. A hub's edges are spread over SALTS tasks by a
+    salted join.
     """
     both = edges.select(F.col("i").alias("v"), F.col("j").alias("u")).union(edges.select("j", "i")).filter("v != u").distinct()
     both = checkpointed(both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))))
     now = checkpointed(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("label")))
-    for _ in range(MAX_ROUNDS):
-        spread = now.select(F.col("v").alias("u"), F.col("label").alias("near"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    for k in range(MAX_ROUNDS):
+        ranked = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("p"), F.col(c).alias("x"))
+        spread = now.select(F.col("v").alias("u"), ranked("label").alias("near"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         heard = both.join(spread, ["u", "salt"]).groupBy("v").agg(F.min("near").alias("near"))
-        lower = now.join(heard, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        jump = lower.select(F.col("v").alias("label"), F.col("label").alias("root"))
-        after = checkpointed(lower.join(jump, "label").select("v", F.least("label", "root").alias("label"), "was"))
-        now = after.select("v", "label")
-        if after.filter("label != was").isEmpty():
-            return now
+        lowest = now.join(heard, "v").groupBy("label").agg(F.min(F.least(ranked("label"), "near")).alias("low"))
+        hook = checkpointed(lowest.select("label", F.col("low.x").alias("root")))
+        if hook.filter("label != root").isEmpty():
+            least = now.groupBy("label").agg(F.min("v").alias("least"))
+            return now.join(least, "label").select("v", F.col("least").alias("label"))
+        twice = hook.join(hook.toDF("root", "far"), "root").select("label", F.col("far").alias("root"))
+        old, now = now, checkpointed(now.join(twice, "label").select("v", F.col("root").alias("label")))
+        forget(old)
+        forget(hook)
     raise RuntimeError("labels still changed")
 
 

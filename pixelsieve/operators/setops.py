@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import HashSpec
+from ..session import checkpointed
 from .dedup import drop_rows, keep_first, matched, near_pairs
-from .graph import checkpointed, greedy_removal
+from .graph import greedy_removal
 
 
 def dedup_near(rows: DataFrame, spec: HashSpec, below: int | None = None, order: str = "idx") -> tuple[DataFrame, DataFrame]:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.hashing import image_hashes
 from ..functions.quality import Rules, big_enough, signed, well_shaped
 from ..operators.dedup import keep_first
-from ..operators.graph import checkpointed
 from ..operators.scanner import cleaned, scan, write_side_files
 from ..operators.setops import dedup_near, merge, remain
 from ..schema import DHASH, MD5, PHASH, SPECS, HashSpec
+from ..session import checkpointed
 from ..sources.images import local_path, read_files, read_images
 from ..sources.text import hash_lines, pair_lines, read_hashes, read_paths, read_scan_list, write_lines
 
