@@ -10,7 +10,6 @@ from __future__ import annotations
 import functools
 import math
 import struct
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,22 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, forget  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the session names (spark.checkpoint.dir).
-
-    Only where no folder is named, as in tests on one machine, a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieve-ckpt-"))
-    return df.checkpoint()
-
-
 def fixed(column: pa.Array, width: int) -> np.ndarray:
     """(n, width) bytes of a binary column without nulls whose values all have this width."""
     if isinstance(column, pa.ChunkedArray):

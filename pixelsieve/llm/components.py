@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, forget
 
 SALTS = 16
 MAX_ROUNDS = 100
@@ -51,7 +51,8 @@ def components(links: DataFrame) -> DataFrame:
     now = checkpointed(now)
     seen = _print(now)
     for _ in range(MAX_ROUNDS):
-        now = checkpointed(_star(_star(now, large=True), large=False))
+        old, now = now, checkpointed(_star(_star(now, large=True), large=False))
+        forget(old)
         before, seen = seen, _print(now)
         if before == seen:
             break

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, forget
 from .segments import near_bits
 
 BITS, BELOW = 512, 60
@@ -63,7 +63,8 @@ def decide(history: DataFrame, batches: DataFrame, below: int = BELOW) -> DataFr
         seen = state.join(by_key, "keys", "left").join(by_near, "cls", "left")
         accepted, possible = F.least("accepted", "accepted_near"), F.least("live", "live_near")
         status = F.when(F.col("status") != WAITING, F.col("status")).when(accepted < F.col("batch_id"), CASE).when(F.coalesce(possible, F.col("batch_id")) >= F.col("batch_id"), ACCEPTED).otherwise(WAITING)
-        state = checkpointed(seen.select("batch_id", "idx", "keys", "cls", status.alias("status")))
+        old, state = state, checkpointed(seen.select("batch_id", "idx", "keys", "cls", status.alias("status")))
+        forget(old)
         if state.filter(F.col("status") == WAITING).isEmpty():
             break
     else:
