@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import history, near_records, neighbours, packing, seen, spans, tokens
+from .common import checkpointed, table
 from .components import components, links_of_pairs
-from .common import table
+from .oracle import oracle_sql  # noqa: F401
 
 HASHES = {"v_dhash": 512, "v_phash": 256}
 
@@ -25,6 +26,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every record whose idx is divisible by 50, against all records; most have no near partner, so
+    every list is probed."""
+    parts = []
+    for name, nbits in HASHES.items():
+        rows = _hash_rows(spark, sf_dir, name)
+        near = neighbours.nearest(rows, rows.filter("id % 50 = 0").select("id"), nbits, exhaustive=True)
+        parts.append(near.select(F.lit(name).alias("hash_name"), F.col("id").alias("idx"), F.col("near_id").alias("near_idx"), "distance"))
+    return parts[0].unionByName(parts[1])
+
+
+def p1_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of wrong neighbours of the probes, against a scan of everything without the hypothesis test."""
+    parts = []
+    for name, nbits in HASHES.items():
+        rows = _hash_rows(spark, sf_dir, name)
+        probe = table(spark, sf_dir, "knn_probe").filter(F.col("hash_name") == name).select(F.col("idx").alias("id"))
+        true = neighbours.nearest(rows, probe, nbits, exhaustive=True, confidence=float("inf")).select("id", "near_id")
+        got = neighbours.nearest(rows, probe, nbits).select("id", "near_id", F.lit(1).alias("hit"))
+        both = true.join(got, ["id", "near_id"], "left")
+        parts.append(both.agg(F.lit(name).alias("hash_name"), F.count("*").alias("neighbours"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("wrong")))
+    share = F.col("wrong") / F.greatest(F.col("neighbours"), F.lit(1))
+    return parts[0].unionByName(parts[1]).withColumn("share", share)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_records.near_pairs(table(spark, sf_dir, "sample_set"))
 
@@ -37,6 +63,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.decide(table(spark, sf_dir, "sample_set"), table(spark, sf_dir, "batch_set")).filter("is_case").select("idx")
 
 
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and cases of each batch."""
+    decided = history.decide(table(spark, sf_dir, "sample_set"), table(spark, sf_dir, "batch_set"))
+    return decided.groupBy("batch_id").agg(F.count("*").alias("records"), F.sum(F.col("is_case").cast("long")).alias("cases"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(links_of_pairs(table(spark, sf_dir, "pair_t")))
 
@@ -58,11 +90,24 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encoded and decoded again."""
+    ranks = tokens.load_ranks()
+    return tokens.decode(tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks=ranks).select("doc_id", "ids"), ranks=ranks).select("doc_id", "text")
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = tokens.count_tokens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), into="size")
     return packing.pack(sized.select("id", "size"), table(spark, sf_dir, "pack_capacity")).withColumnRenamed("id", "doc_id")
 
 
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capacity the containers used, the least number that the sum of sizes allows, and the unused share."""
+    used = p8_packed(spark, sf_dir).groupBy("cap_id", "capacity", "container").agg(F.sum("size").alias("fill"))
+    per = used.groupBy("cap_id", "capacity").agg(F.count("*").alias("containers"), F.sum("fill").alias("tokens"))
+    return per.withColumn("least", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_pairs(table(spark, sf_dir, "documents"))
 
@@ -71,12 +116,19 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.coverage(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [p1_found, p2_found, p2_groups, p3_found, p4_found, p6_found, p6_error_rates, p7_ids, p8_packed, p9_found, p9_coverage]
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest shared runs of each pair of different texts, by the smallest doc_id of either text."""
+    docs = table(spark, sf_dir, "documents")
+    return spans.class_spans(docs, checkpointed(spans.text_classes(docs)))
+
+
+QUERIES = [
+    p1_found, p1_neighbours, p1_wrong, p2_found, p2_groups, p3_found, p3_batches, p4_found, p6_found, p6_error_rates, p7_ids, p7_text,
+    p8_packed, p8_fill, p9_found, p9_coverage, p9_spans,
+]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
