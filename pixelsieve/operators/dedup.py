@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import hamming, popcount, word_names, words
 from ..schema import HashSpec
+from . import matrix_join
 
-#: A side of at most so many rows (up to 72 bytes each) is broadcast; beyond it blocks are joined.
-BROADCAST_ROWS = 100_000
+#: A side of at most so many rows (up to 72 bytes each) is broadcast; beyond it blocks are multiplied.
+BROADCAST_ROWS = 5_000
 ROWS_A_BLOCK = 20_000
 #: Up to this distance, cutting the bits into one band more than may differ is exact and cheap.
 BANDED_BELOW = 17
@@ -49,19 +50,22 @@ def _close(spec: HashSpec, below: int):
 
 
 def strategy_for(n: int, below: int) -> str:
-    return "banded" if below <= BANDED_BELOW else "broadcast" if n <= BROADCAST_ROWS else "blocked"
+    return "broadcast" if n <= BROADCAST_ROWS else "banded" if below <= BANDED_BELOW else "matrix"
 
 
 def near_pairs(rows: DataFrame, spec: HashSpec, below: int | None = None, strategy: str | None = None) -> DataFrame:
     """``i, j, diff`` for all pairs i > j of ``idx`` that differ in fewer than ``below`` bits; exact.
 
-    ``broadcast``: one side goes to every task, behind a check of its size. ``blocked``: both sides are cut into blocks and each pair
-    of blocks meets in one task, so no side is broadcast. ``banded``: equal bands are joined; for small distances.
+    ``broadcast``: one side goes to every task, behind a check of its size. ``matrix``: both sides are cut into blocks and each pair
+    of blocks meets in one task as a product of matrices. ``blocked``: the same without Python. ``banded``: equal bands
+    are joined; for small distances.
     """
     below = spec.below if below is None else below
     wide = word_rows(rows, spec, "a")
-    n = wide.count() if strategy is None else 0
+    n = rows.count() if strategy in (None, "matrix", "blocked") else 0
     strategy = strategy or strategy_for(n, below)
+    if strategy == "matrix":
+        return matrix_join.near_pairs(rows, spec.name, spec.nbits, below, n)
     other = wide.toDF(*[c.replace("a", "b", 1) for c in wide.columns])
     close, distance = _close(spec, below)
     later = F.col("a_idx") > F.col("b_idx")
@@ -70,7 +74,7 @@ def near_pairs(rows: DataFrame, spec: HashSpec, below: int | None = None, strate
     elif strategy == "banded":
         joined = _banded(wide, other, spec, below).filter(close)
     else:
-        blocks = max(1, math.ceil((n or wide.count()) / ROWS_A_BLOCK))
+        blocks = max(1, math.ceil(n / ROWS_A_BLOCK))
         at = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
         left = wide.withColumn("p", at("a_idx")).withColumn("q", F.explode(F.expr("sequence(0L, p)")))
         right = other.withColumn("q", at("b_idx")).withColumn("p", F.explode(F.expr(f"sequence(q, {blocks - 1}L)")))
@@ -101,15 +105,12 @@ def _banded(wide: DataFrame, other: DataFrame, spec: HashSpec, below: int) -> Da
 def matched(src: DataFrame, gallery: DataFrame, spec: HashSpec, below: int | None = None) -> DataFrame:
     """``idx`` of the rows of src that are near some row of the gallery; a task stops at a row's first match."""
     below = spec.below if below is None else below
+    n_src, n = src.count(), gallery.count()
+    if n > BROADCAST_ROWS:
+        return matrix_join.matched(src, gallery, spec.name, spec.nbits, below, n_src, n)
     a, b = word_rows(src, spec, "a"), word_rows(gallery, spec, "b")
     close, _ = _close(spec, below)
-    n = b.count()
-    if n <= BROADCAST_ROWS:
-        return a.join(F.broadcast(b), close, "left_semi").select(F.col("a_idx").alias("idx"))
-    blocks, parts = math.ceil(n / ROWS_A_BLOCK), max(1, math.ceil(a.count() / ROWS_A_BLOCK))
-    left = a.withColumn("p", F.pmod(F.xxhash64("a_idx"), F.lit(parts))).withColumn("q", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    right = b.withColumn("q", F.pmod(F.xxhash64("b_idx"), F.lit(blocks))).withColumn("p", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
-    return left.join(right, (left["p"] == right["p"]) & (left["q"] == right["q"]) & close, "left_semi").select(F.col("a_idx").alias("idx")).distinct()
+    return a.join(F.broadcast(b), close, "left_semi").select(F.col("a_idx").alias("idx"))
 
 
 def drop_rows(rows: DataFrame, removed: DataFrame, order: str = "idx") -> DataFrame:

@@ -12,6 +12,8 @@ from ..session import checkpointed, forget
 
 SALTS = 16
 MAX_ROUNDS = 200
+#: Two numbers each, so a few megabytes in one task.
+ONE_TASK_EDGES = 100_000
 
 
 def labels(edges: DataFrame) -> DataFrame:
@@ -69,16 +71,19 @@ def greedy_removal(edges: DataFrame) -> DataFrame:
     """``idx`` of the vertices to remove, given edges ``i, j``.
 
     Removing a vertex only changes the degrees of its neighbours, so components are independent and each is worked off
-    by itself. A component of a single edge, the usual case, needs no Python: its larger vertex goes.
+    by itself. A component of a single edge, the usual case, needs no Python: its larger vertex goes. Up to
+    ONE_TASK_EDGES edges are worked off together, which saves the rounds that find the components.
     """
     edges = checkpointed(edges.select(F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")).filter("i != j").distinct())
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"idx": pd.Series(cover(list(zip(pdf["i"].tolist(), pdf["j"].tolist()))), dtype="int64")})
+
+    if edges.count() <= ONE_TASK_EDGES:
+        return edges.groupBy(F.lit(0).alias("all")).applyInPandas(work, "idx long")
     of = labels(edges)
     named = edges.join(of.withColumnRenamed("v", "i"), "i").select("label", "i", "j")
     size = named.groupBy("label").agg(F.count("*").alias("n"))
     sized = named.join(size, "label")
     alone = sized.filter("n = 1").select(F.col("i").alias("idx"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"idx": pd.Series(cover(list(zip(pdf["i"].tolist(), pdf["j"].tolist()))), dtype="int64")})
-
     return alone.union(sized.filter("n > 1").groupBy("label").applyInPandas(work, "idx long"))

@@ -34,6 +34,27 @@ t2 AS (SELECT 2 AS part, idx, path, {column} FROM batches b WHERE batch_id % 2 =
 SELECT part, idx, path FROM t01 UNION ALL SELECT part, idx, path FROM t2"""
 
 
+def _greedy(edges: str, x: str = "") -> str:
+    """CTEs edges (a, b) and gone (v): the vertices removed one by one, of most remaining edges, the largest of equals."""
+    return f"""edges{x} AS (SELECT DISTINCT greatest(a, b) AS a, least(a, b) AS b FROM ({edges}) WHERE a != b),
+steps{x}(v, e) AS (SELECT NULL::BIGINT, (SELECT list({{'a': a, 'b': b}}) FROM edges{x})
+  UNION ALL SELECT p, list_filter(e, lambda x: x.a != p AND x.b != p) FROM (
+    SELECT e, (SELECT u FROM (SELECT unnest(list_concat(list_transform(e, lambda x: x.a), list_transform(e, lambda x: x.b))) AS u) GROUP BY u ORDER BY count(*) DESC, u DESC LIMIT 1) AS p
+    FROM steps{x} WHERE len(e) > 0)),
+gone{x} AS (SELECT v FROM steps{x} WHERE v IS NOT NULL)"""
+
+
+def _near_dedup(source: str, column: str, below: int, x: str = "") -> str:
+    """CTE kept (all columns of the source): equal hashes first, then greedy removal."""
+    return f"""firsts{x} AS (SELECT * FROM {source} WHERE {column} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {column} ORDER BY idx) = 1),
+{_greedy(f"SELECT x.idx AS a, y.idx AS b FROM firsts{x} x JOIN firsts{x} y ON x.idx > y.idx AND bit_count(xor(x.{column}, y.{column})) < {below}", x)},
+kept{x} AS (SELECT * FROM firsts{x} WHERE idx NOT IN (SELECT v FROM gone{x}))"""
+
+
+def _dedup(column: str, below: int) -> str:
+    return f"WITH RECURSIVE {SAMPLES}, {_near_dedup('samples', column, below)} SELECT idx, path FROM kept"
+
+
 def _bits(cells: str, n: int) -> str:
     """Hex of n bits given as a list of booleans."""
     return f"array_to_string(list_transform(range(0, {n // 4}), lambda q: substr('0123456789abcdef', (8 * ({cells})[4 * q + 1] + 4 * ({cells})[4 * q + 2] + 2 * ({cells})[4 * q + 3] + ({cells})[4 * q + 4] + 1)::INT, 1)), '')"
@@ -77,6 +98,13 @@ SELECT x.vec_id AS i, y.vec_id AS j, bit_count(xor(x.c, y.c))::INT AS diff FROM
         "merge_dhash": _merge("dhash", 60),
         "merge_phash": _merge("phash", 50),
         "concat_lists": "SELECT idx, path, 0 AS part FROM merged_list UNION ALL SELECT idx, keys, 1 FROM sample_set",
+        "greedy_pairs": f"""WITH RECURSIVE {_greedy("SELECT m_i AS a, m_j AS b FROM pair_t WHERE m_diff BETWEEN 1 AND 59")} SELECT v AS idx FROM gone""",
+        "dedup_dhash": _dedup("dhash", 60),
+        "dedup_phash": _dedup("phash", 50),
+        "pipeline_full": f"""WITH RECURSIVE {SAMPLES},
+fine AS (SELECT * FROM samples WHERE {ext_path} IN ('jpg', 'jpeg', 'png', 'webp') AND md5 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY md5 ORDER BY idx) = 1),
+hashed AS (SELECT * FROM fine WHERE dhash IS NOT NULL AND phash IS NOT NULL),
+{_near_dedup('hashed', 'phash', 50, '1')}, {_near_dedup('kept1', 'dhash', 60, '2')} SELECT idx, path FROM kept2""",
         "hash_roundtrip": "SELECT idx, keys AS path, lower(hex(v_dhash)) AS hex FROM sample_set WHERE octet_length(v_dhash) = 64",
         "load_lines": """SELECT DISTINCT file_name, line_no, CASE WHEN contains(line, ',') THEN substr(line, 1, instr(line, ',') - 1) ELSE line END AS path,
 CASE WHEN contains(line, ',') AND regexp_full_match(substr(line, instr(line, ',') + 1), '[0-9a-f]{128}') THEN substr(line, instr(line, ',') + 1) END AS hex FROM hash_lines WHERE line IS NOT NULL""",

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pixelsieve.operators import dedup, graph, setops
+from pixelsieve.operators import dedup, graph, matrix_join, setops
 from pixelsieve.schema import DHASH, HashSpec
 
 SPEC = HashSpec("h", 64, 8)
@@ -36,9 +36,10 @@ def brute(values, below=8):
     return {(i, j, d) for i in range(len(values)) for j in range(i) if values[i] and values[j] and len(values[i]) == len(values[j]) == 8 and (d := apart(values[i], values[j])) < below}
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "blocked", "banded", None])
+@pytest.mark.parametrize("strategy", ["broadcast", "blocked", "banded", "matrix", None])
 def test_pairs_by_every_strategy(spark, strategy, monkeypatch):
     monkeypatch.setattr(dedup, "ROWS_A_BLOCK", 40)
+    monkeypatch.setattr(matrix_join, "ROWS_A_BLOCK", 20)
     values = hashes(150) + [None, b"", b"short", hashes(1)[0]]
     got = [(r.i, r.j, r["diff"]) for r in dedup.near_pairs(frame(spark, values), SPEC, strategy=strategy).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(values)
@@ -67,7 +68,8 @@ def test_missing_hash(spark):
 @pytest.mark.parametrize("limit", [10**6, 3])
 def test_remain(spark, monkeypatch, limit):
     monkeypatch.setattr(dedup, "BROADCAST_ROWS", limit)
-    monkeypatch.setattr(dedup, "ROWS_A_BLOCK", 20)
+    monkeypatch.setattr(matrix_join, "ROWS_A_BLOCK", 20)
+    monkeypatch.setattr(matrix_join, "CHUNK_B", 7)
     values = hashes(120, 4)
     src, gal = values[:60] + [None], values[60:]
     got = sorted(r.idx for r in setops.remain(frame(spark, src), frame(spark, gal), SPEC).collect())
@@ -118,7 +120,9 @@ def test_cover_is_the_plain_greedy_one(edges):
     assert all(a == b or a in gone or b in gone for a, b in edges)
 
 
-def test_greedy_removal_by_components(spark):
+@pytest.mark.parametrize("together", [0, 10**6])
+def test_greedy_removal(spark, monkeypatch, together):
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", together)
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(250)] + [(1000, i) for i in range(1001, 1040)] + [(5, 5)]
     got = {x.idx for x in graph.greedy_removal(spark.createDataFrame(edges, "i long, j long")).collect()}
@@ -148,7 +152,7 @@ def test_dedup_near(spark):
 
 def test_plan_broadcasts_only_small_sides(spark, monkeypatch):
     assert dedup.strategy_for(10, DHASH.below) == "broadcast"
-    assert dedup.strategy_for(10**7, DHASH.below) == "blocked"
+    assert dedup.strategy_for(10**7, DHASH.below) == "matrix"
     monkeypatch.setattr(dedup, "ROWS_A_BLOCK", 5)
     plan = dedup.near_pairs(frame(spark, hashes(40)), SPEC, strategy="blocked")._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
