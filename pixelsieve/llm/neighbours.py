@@ -111,40 +111,66 @@ class _Best:
         self.found = (q[keep], d[keep], ids[keep])
 
 
-def _scan_list(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, xv: np.ndarray, xid: np.ndarray) -> None:
-    """Scans one list for the queries q (rows of qv), in blocks of columns."""
+def _first_bounds(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, xv: np.ndarray, xid: np.ndarray) -> None:
+    """A first bound, from some rows of the list, for queries that have none."""
+    n = xv.shape[1]
+    q = q[best.bound[q] > n]
+    some = xv[: 64 * best.k]
+    if not len(q) or len(some) < best.k:
+        return
+    dist = np.rint((n - qv[q] @ some.T) / 2)
+    dist[qid[q][:, None] == xid[None, : len(some)]] = n + 1
+    best.bound[q] = np.minimum(best.bound[q], np.partition(dist, best.k - 1, axis=1)[:, best.k - 1].astype(np.int64))
+
+
+def _scan_whole(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, xv: np.ndarray, xid: np.ndarray) -> None:
+    n = xv.shape[1]
+    dot = qv[q] @ xv.T
+    i, j = np.nonzero(dot >= (n - 2 * best.bound[q] - 0.5).astype(np.float32)[:, None])
+    dist = np.rint((n - dot[i, j]) / 2).astype(np.int64)
+    keep = qid[q[i]] != xid[j]
+    best.add(q[i[keep]], dist[keep], xid[j[keep]])
+
+
+def _scan_blocks(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, xv: np.ndarray, xid: np.ndarray, limit: np.ndarray, confidence: float) -> None:
+    """Block by block of columns, dropping after each the candidates that fail the test."""
     n = xv.shape[1]
     d1, d2 = n // 4, n // 2
-    fresh = best.bound[q] > n
-    if fresh.any():  # a first bound from some rows of the list
-        some = xv[: 64 * best.k]
-        dist = np.rint((n - qv[q[fresh]] @ some.T) / 2)
-        dist[qid[q[fresh]][:, None] == xid[None, : len(some)]] = n + 1
-        if dist.shape[1] >= best.k:
-            best.bound[q[fresh]] = np.minimum(best.bound[q[fresh]], np.partition(dist, best.k - 1, axis=1)[:, best.k - 1].astype(np.int64))
+    a, x1 = qv[q], np.ascontiguousarray(xv[:, :d1])
+    dot = a[:, :d1] @ x1.T
+    size_a, size_x = np.einsum("ij,ij->i", a[:, :d1], a[:, :d1]), np.einsum("ij,ij->i", x1, x1)
+    # |a - x|**2 <= limit
+    i, j = np.nonzero(dot - (size_x / 2)[None] >= ((size_a - limit) / 2)[:, None])
+    if len(i) * 10 > dot.size:
+        return _scan_whole(best, q, qv, qid, xv, xid)
+    part = dot[i, j] + np.einsum("ij,ij->i", a[i, d1:d2], xv[j, d1:d2])
+    square = np.einsum("ij,ij->i", a[:, :d2], a[:, :d2])[i] + np.einsum("ij,ij->i", xv[:, :d2], xv[:, :d2])[j] - 2 * part
     bound = best.bound[q]
-    a = qv[q]
-    dot = a[:, :d1] @ xv[:, :d1].T
-    limit = 4.0 * bound * (d1 / n) * (1 + CONFIDENCE / math.sqrt(d1)) ** 2
-    square = np.einsum("ij,ij->i", a[:, :d1], a[:, :d1])[:, None] - 2 * dot
-    square += np.einsum("ij,ij->i", xv[:, :d1], xv[:, :d1])[None]
-    alive = square <= limit[:, None]
-    if np.count_nonzero(alive) * 20 < alive.size:
-        i, j = np.nonzero(alive)
-        part = dot[i, j] + np.einsum("ij,ij->i", a[i, d1:d2], xv[j, d1:d2])
-        square = np.einsum("ij,ij->i", a[:, :d2], a[:, :d2])[i] + np.einsum("ij,ij->i", xv[:, :d2], xv[:, :d2])[j] - 2 * part
-        left = square <= 4.0 * bound[i] * (d2 / n) * (1 + CONFIDENCE / math.sqrt(d2)) ** 2
-        i, j, part = i[left], j[left], part[left]
-        dist = np.rint((n - part - np.einsum("ij,ij->i", a[i, d2:], xv[j, d2:])) / 2).astype(np.int64)
-    else:
-        dot += a[:, d1:] @ xv[:, d1:].T
-        i, j = np.nonzero(dot >= (n - 2 * bound - 0.5)[:, None])
-        dist = np.rint((n - dot[i, j]) / 2).astype(np.int64)
+    left = square <= 4.0 * bound[i] * (d2 / n) * (1 + confidence / math.sqrt(d2)) ** 2
+    i, j, part = i[left], j[left], part[left]
+    dist = np.rint((n - part - np.einsum("ij,ij->i", a[i, d2:], xv[j, d2:])) / 2).astype(np.int64)
     keep = (dist <= bound[i]) & (qid[q[i]] != xid[j])
     best.add(q[i[keep]], dist[keep], xid[j[keep]])
 
 
-def _scan(rows: pa.Table, queries: pa.Table, width: int, k: int, lists: int, buckets: int) -> pa.Table:
+def _scan_list(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, xv: np.ndarray, xid: np.ndarray, confidence: float) -> None:
+    """Scans one list for the queries q (rows of qv).
+
+    After a quarter of the columns unrelated vectors have a squared distance of about 2 * columns. Where a query's bound
+    lies too near that for the test to abandon most of them, blocks would only cost time, and all columns are taken.
+    """
+    _first_bounds(best, q, qv, qid, xv, xid)
+    n = xv.shape[1]
+    d1 = n // 4
+    limit = 4.0 * best.bound[q] * (d1 / n) * (1 + confidence / math.sqrt(d1)) ** 2
+    tight = limit <= 2 * d1 - 2.6 * math.sqrt(d1)
+    if tight.any():
+        _scan_blocks(best, q[tight], qv, qid, xv, xid, limit[tight], confidence)
+    if not tight.all():
+        _scan_whole(best, q[~tight], qv, qid, xv, xid)
+
+
+def _scan(rows: pa.Table, queries: pa.Table, width: int, k: int, buckets: int, confidence: float) -> pa.Table:
     names = ["bucket", "q", "d", "ids"]
     types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
     empty = pa.table([pa.array([], t) for t in types], names=names)
@@ -162,11 +188,11 @@ def _scan(rows: pa.Table, queries: pa.Table, width: int, k: int, lists: int, buc
         for s in range(0, len(at) if len(q) else 0, 8192):
             some = at[s : s + 8192]
             xv = signs(rb[some]) @ turn
-            for t in range(0, len(q), 4096):
-                _scan_list(best, q[t : t + 4096], qv, qid, xv, rid[some])
+            for t in range(0, len(q), 1024):
+                _scan_list(best, q[t : t + 1024], qv, qid, xv, rid[some], confidence)
             if s:
                 best.settle()
-        if count % 4 == 3 or count == 0:
+        if count & (count + 1) == 0:  # after 1, 2, 4, 8, ... lists
             best.settle()
     best.settle()
     q, d, ids = best.found
@@ -185,14 +211,14 @@ def _merge(cells: pa.Table, k: int) -> pa.Table:
     return pa.table({"id": who[a], "near_id": ids, "distance": d.astype(np.int32)})
 
 
-def nearest(rows: DataFrame, queries: DataFrame, nbits: int, k: int = 5, exhaustive: bool = False) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, nbits: int, k: int = 5, exhaustive: bool = False, confidence: float = CONFIDENCE) -> DataFrame:
     """``id, near_id, distance``: for each distinct id of ``queries`` its k nearest other rows by differing bits.
 
     rows: ``id bigint, bits binary``; queries: ``id bigint``. Other columns are ignored. Rows whose bits are null or not
     nbits long, or whose id is null, take no part, neither as candidates nor as queries; queries without such a row give
     nothing. Repeated queries count once. Equal distances go to the smaller id. Fewer than k other rows give all of
     them; no rows give no result. ids are unique among rows. With exhaustive every list is probed; the only losses
-    left are those of the hypothesis test.
+    left are those of the hypothesis test, and none with an infinite confidence.
     """
     width = nbits // 8
     rows = rows.select(F.col("id").cast("long").alias("id"), "bits").filter(F.col("id").isNotNull() & (F.length("bits") == width))
@@ -204,7 +230,6 @@ def nearest(rows: DataFrame, queries: DataFrame, nbits: int, k: int = 5, exhaust
     if exhaustive:
         probes = lists
     cent = b"".join(bytes(r[0]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(lists).select("bits").collect())
-    lists = len(cent) // width
     queries = queries.select(F.col("id").cast("long").alias("id")).distinct()
     asked = rows.join(queries, "id", "left_semi")
     blocks = max(1, math.ceil(queries.count() / QUERIES_A_BLOCK))
@@ -212,7 +237,7 @@ def nearest(rows: DataFrame, queries: DataFrame, nbits: int, k: int = 5, exhaust
     buckets = max(8, math.ceil(n / ROWS_A_SPLIT))
     packed = rows.mapInArrow(lambda x: _pack_rows(x, cent, width, splits, blocks), "cell int, ids binary, lists binary, bits binary")
     probing = asked.mapInArrow(lambda x: _pack_queries(x, cent, width, probes, splits, blocks), "cell int, ids binary, masks binary, bits binary")
-    found = packed.groupBy("cell").cogroup(probing.groupBy("cell")).applyInArrow(lambda r, q: _scan(r, q, width, k, lists, buckets), "bucket int, q binary, d binary, ids binary")
+    found = packed.groupBy("cell").cogroup(probing.groupBy("cell")).applyInArrow(lambda r, q: _scan(r, q, width, k, buckets, confidence), "bucket int, q binary, d binary, ids binary")
     return found.groupBy("bucket").applyInArrow(lambda t: _merge(t, k), "id long, near_id long, distance int")
 
 
