@@ -11,11 +11,12 @@ wait. Partners are kept as the earliest batch per key and per hash, so copies ne
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, forget
-from .segments import near_bits
+from .segments import CELLS, emit, measure, near_bits, plan_tables, probe_both, probe_held, sketch_bound
 
 BITS, BELOW = 512, 60
 MAX_ROUNDS = 10_000
@@ -92,3 +93,78 @@ def brute_force(history: list[tuple], batches: list[tuple], below: int = BELOW)
                     taken.append((k, h))
         known += taken
     return cases
+
+
+class HistoryIndex:
+    """The accepted records as a growing index on shared storage, for batches that arrive one at a time.
+
+    ``cells`` holds the packed segments of every accepted hash, ``records`` its key and hash. A batch is looked up against
+    the stored segments as they are: the history is neither hashed nor grouped nor paired again, and what the batch
+    accepts is appended. The look-up is a pass over the stored cells with the batch's own held by each task, if the batch is small
+    (at most HELD_ROWS distinct hashes); a larger batch is joined by bucket. Only candidates are shuffled.
+
+    Each batch writes a subfolder of its own that a repeated delivery overwrites, and reads only those of smaller
+    batch_id, so a batch can be taken again after a failure. capacity sets the length of segments and may not change.
+    """
+
+    HELD_ROWS = 50_000
+
+    def __init__(self, spark: SparkSession, path: str, capacity: int = 10_000_000, below: int = BELOW):
+        self.spark, self.path, self.below = spark, path, below
+        self.k, self.fixed, self.tables = plan_tables(capacity, BITS, below)
+        self.bound = sketch_bound(BITS, below)
+
+    def _stored(self, name: str, schema: str, batch_id: int) -> DataFrame:
+        try:
+            stored = self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+        return stored.filter(F.col("batch") < batch_id).drop("batch")
+
+    def _append(self, name: str, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
+
+    def _cells(self, classes: DataFrame, side: int) -> DataFrame:
+        """Packed segments of ``bits, id``."""
+        k, fixed, tables = self.k, self.fixed, self.tables
+        rows = classes.select("id", "bits", F.lit(side).cast("long").alias("side"))
+        return rows.mapInArrow(lambda x: emit(x, BITS // 8, k, fixed, tables), CELLS)
+
+    def add(self, records: DataFrame, batch_id: int) -> None:
+        """Appends records ``idx, keys, v_dhash`` as accepted by a batch, without looking them up."""
+        rows = checkpointed(records.select(F.col("idx").cast("long").alias("idx"), "keys", _bits().alias("bits")))
+        classes = rows.filter("bits IS NOT NULL AND idx IS NOT NULL").groupBy("bits").agg(F.min("idx").alias("id"))
+        self._append("cells", self._cells(classes, 1), batch_id)
+        self._append("records", rows, batch_id)
+
+    def take(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """``idx`` of the batch's records that repeat something accepted by batches of smaller batch_id; adds the others.
+
+        batch: ``idx, keys, v_dhash``; the rules are those of decide().
+        """
+        rows = batch.filter("idx IS NOT NULL").select(F.col("idx").cast("long").alias("idx"), F.struct("keys", _bits().alias("bits")).alias("r"))
+        rows = checkpointed(rows.groupBy("idx").agg(F.min("r").alias("r")).select("idx", "r.*"))
+        classes = checkpointed(rows.filter("bits IS NOT NULL").groupBy("bits").agg(F.min("idx").alias("id")))
+        stored = self._stored("records", "idx long, keys string, bits binary", batch_id)
+        old, new = self._stored("cells", CELLS, batch_id), self._cells(classes, 2)
+        k, fixed, bound = self.k, self.fixed, self.bound
+        if classes.count() <= self.HELD_ROWS:
+            held = {}
+            for r in new.collect():  # a bounded batch: at most HELD_ROWS * tables entries of 16 bytes
+                held.setdefault(r.bucket, []).append((bytes(r.vals), bytes(r.codes), bytes(r.sketches)))
+            known = self.spark.sparkContext.broadcast(held)
+            pairs = old.mapInArrow(lambda x: probe_held(x, known.value, bound, k, fixed), "old long, new long")
+        else:
+            pairs = old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(lambda a, b: probe_both(a, b, bound, k, fixed), "old long, new long")
+        pairs = checkpointed(pairs.distinct())
+        olds = stored.select(F.col("idx").alias("old"), F.col("bits").alias("bits_a")).join(pairs.select("old").distinct(), "old", "left_semi")
+        both = pairs.join(olds, "old").join(classes.select(F.col("id").alias("new"), F.col("bits").alias("bits_b")), "new").select(F.col("old").alias("a"), F.col("new").alias("b"), "bits_a", "bits_b")
+        below = self.below
+        near = both.mapInArrow(lambda x: measure(x, BITS // 8, below), "a long, b long, distance int").select(F.col("b").alias("id")).distinct()
+        by_hash = rows.join(classes.join(near, "id", "left_semi"), "bits", "left_semi").select("idx")
+        by_key = rows.join(stored.select("keys").distinct(), "keys", "left_semi").select("idx")
+        cases = checkpointed(by_hash.union(by_key).distinct())
+        self.add(rows.join(cases, "idx", "left_anti").select("idx", "keys", F.col("bits").alias("v_dhash")), batch_id)
+        return cases

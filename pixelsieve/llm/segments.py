@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from .common import Text, by_bucket, fixed, joined, joined_ints, mix64, pack_ints, run_starts, words64
 
 #: Share of pairs at the largest distance that the tables may miss; it falls quickly below.
-MISS = 0.002
+MISS = 0.0003
 SKETCH_BITS = 64
 ROWS_A_BUCKET = 2_000_000
 STRINGS_A_BUCKET = 2_000_000
 SEED = 40_009
+CELLS = "bucket int, vals binary, codes binary, sketches binary"
 
 
 def plan_tables(n: int, nbits: int, below: int, miss: float = MISS) -> tuple[int, int, int]:
@@ -71,7 +72,7 @@ def _positions(nbits: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray,
     return weights, more, rng.choice(nbits, min(SKETCH_BITS, nbits), replace=False)
 
 
-def _emit(batches: Iterator[pa.RecordBatch], width: int, k: int, fixed_positions: int, tables: int) -> Iterator[pa.RecordBatch]:
+def emit(batches: Iterator[pa.RecordBatch], width: int, k: int, fixed_positions: int, tables: int) -> Iterator[pa.RecordBatch]:
     weights, more, sketch = _positions(width * 8, k, tables)
     parts = 1 << fixed_positions
     for batch in batches:
@@ -144,7 +145,39 @@ def _probe(cells: pa.Table, bound: int, k: int, fixed_positions: int) -> pa.Tabl
     return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
 
-def _measure(batches: Iterator[pa.RecordBatch], width: int, below: int) -> Iterator[pa.RecordBatch]:
+def _between(old: list[tuple], new: list[tuple], bound: int, k: int, fixed_positions: int) -> np.ndarray:
+    """(id of old, id of new) of the partners across two collections of cells (values, codes, sketches) of one bucket."""
+    (v1, c1, s1), (v2, c2, s2) = ((joined(v, np.uint32), joined_ints(c), joined(s, np.uint64)) for v, c, s in (tuple(zip(*x)) for x in (old, new)))
+    order = np.argsort(v2, kind="stable")
+    v2, c2, s2 = v2[order], c2[order], s2[order]
+    out = [np.empty((0, 2), dtype=np.int64)]
+    at = np.arange(len(v1))
+    for flip in [0, *(1 << i for i in range(fixed_positions, k))]:
+        value = v1 ^ np.uint32(flip)
+        for i, j in expand(at, np.searchsorted(v2, value, "left"), np.searchsorted(v2, value, "right")):
+            ok = np.bitwise_count(s1[i] ^ s2[j]) <= bound
+            out.append(np.stack([c1[i[ok]] >> 2, c2[j[ok]] >> 2], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def probe_held(batches: Iterator[pa.RecordBatch], held: dict[int, list[tuple]], bound: int, k: int, fixed_positions: int) -> Iterator[pa.RecordBatch]:
+    """Stored cells against those of a small batch."""
+    for batch in batches:
+        for bucket, *cell in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if bucket in held:
+                pairs = _between([tuple(cell)], held[bucket], bound, k, fixed_positions)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["old", "new"])
+
+
+def probe_both(old: pa.Table, new: pa.Table, bound: int, k: int, fixed_positions: int) -> pa.Table:
+    """Stored cells of a bucket against those of a large batch."""
+    pairs = np.empty((0, 2), dtype=np.int64)
+    if old.num_rows and new.num_rows:
+        pairs = _between(*([tuple(r.values()) for r in t.select(["vals", "codes", "sketches"]).to_pylist()] for t in (old, new)), bound, k, fixed_positions)
+    return pa.table({"old": pairs[:, 0].copy(), "new": pairs[:, 1].copy()})
+
+
+def measure(batches: Iterator[pa.RecordBatch], width: int, below: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -165,11 +198,11 @@ def near_bits(rows: DataFrame, nbits: int, below: int, n: int | None = None, mis
     k, fixed_positions, tables = plan_tables(n, nbits, below, miss)
     bound = sketch_bound(nbits, below)
     rows = rows.select(F.col("id").cast("long").alias("id"), "bits", F.col("side").cast("long").alias("side"))
-    cells = rows.mapInArrow(lambda x: _emit(x, width, k, fixed_positions, tables), "bucket int, vals binary, codes binary, sketches binary")
+    cells = rows.mapInArrow(lambda x: emit(x, width, k, fixed_positions, tables), CELLS)
     pairs = cells.groupBy("bucket").applyInArrow(lambda t: _probe(t, bound, k, fixed_positions), "a long, b long").distinct()
     left, right = rows.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), rows.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "bits_a", "bits_b")
-    return both.mapInArrow(lambda x: _measure(x, width, below), "a long, b long, distance int")
+    return both.mapInArrow(lambda x: measure(x, width, below), "a long, b long, distance int")
 
 
 def moves(tau: int, delta: int) -> list[tuple[int, int]]:

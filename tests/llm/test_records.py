@@ -124,6 +124,28 @@ def test_decide(spark, seed):
     assert len({x.idx for x in got if x.is_case} ^ want) <= 1 and want
 
 
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_batches_one_at_a_time(spark, tmp_path, monkeypatch, held):
+    monkeypatch.setattr(history.HistoryIndex, "HELD_ROWS", held)
+    rows = records(9, 240)
+    old, new = rows[:120], [(1 + i // 40, *x) for i, x in enumerate(rows[120:])]
+    index = history.HistoryIndex(spark, str(tmp_path / "index"), capacity=1000)
+    index.add(frame(spark, old), 0)
+    got = set()
+    for b in (1, 2, 2, 3):  # the second is delivered again
+        got |= {r.idx for r in index.take(frame(spark, [x[1:] for x in new if x[0] == b] * 2), b).collect()}
+    want = history.brute_force(old, new)
+    assert len(got ^ want) <= 1 and want
+    assert spark.read.parquet(str(tmp_path / "index" / "records")).count() == 240 - len(got)
+
+
+def test_first_batch_of_an_empty_index(spark, tmp_path):
+    index = history.HistoryIndex(spark, str(tmp_path / "index"), capacity=1000)
+    assert index.take(frame(spark, []), 0).count() == 0
+    assert index.take(frame(spark, records(2, 5)[:1]), 1).count() == 0
+    assert index.take(frame(spark, records(2, 5)[:1]), 2).count() == 1
+
+
 def test_chain_over_batches(spark):
     """Each near the one before: every second one is a case."""
     hashes = [(((1 << (40 * i)) - 1) % (1 << 512)).to_bytes(64) for i in range(9)]
