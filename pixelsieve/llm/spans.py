@@ -29,6 +29,11 @@ ANCHORS_A_BUCKET = 2_000_000
 CHARS_AT_ONCE = 1_000_000
 #: Up to so many ids (8 bytes each) go to every task to pick out the texts of pairs; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: An anchor in more places than this is looked at again with windows of the full length.
+CROWD = 100
+CROWDED_AT_ONCE = 500_000
+#: Of a hash 48 bits are kept.
+SHIFT = np.uint64(16)
 
 
 def cover_for(shortest: int) -> tuple[int, tuple[int, ...]]:
@@ -52,8 +57,11 @@ def _slices(lengths: list[int], at_once: int = CHARS_AT_ONCE) -> Iterator[tuple[
         yield start, len(lengths)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], shortest: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packs the anchors of the texts by bucket: hash, class and position, some texts at a time."""
+def _anchors(batches: Iterator[pa.RecordBatch], shortest: int, buckets: int, crowded: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Packs the anchors of the texts by bucket: hash, class and position, some texts at a time.
+
+    With crowded not the anchors but all windows of the full length around those whose hash, cut to 48 bits, is among these.
+    """
     period, cover = cover_for(shortest)
     window, places = shortest - period + 1, np.array(cover)
     for batch in batches:
@@ -71,10 +79,17 @@ def _anchors(batches: Iterator[pa.RecordBatch], shortest: int, buckets: int) ->
             ok = at + window <= length[of]
             of, at = of[ok], at[ok]
             h = mix64(text.windows(start[of] + at, window))
+            if crowded is not None:
+                hit = np.isin(h >> SHIFT, crowded)
+                around = np.unique((of[hit] << 40) + at[hit] + period - np.arange(period)[:, None])
+                of, at = around >> 40, (around & ((1 << 40) - 1)) - period
+                ok = (at >= 0) & (at + shortest <= length[of])
+                of, at = of[ok], at[ok]
+                h = mix64(text.windows(start[of] + at, shortest))
             cells = []
             for b, p in by_bucket((h % np.uint64(buckets)).astype(np.int64)):
                 k, counts = np.unique(of[p], return_counts=True)
-                cells.append((b, pack_ints(cls[begin + k]), pack_ints(counts), (h[p] >> np.uint64(16)).astype(np.uint32).tobytes(), (h[p] >> np.uint64(48)).astype(np.uint16).tobytes(), _gaps(of[p], at[p])))
+                cells.append((b, pack_ints(cls[begin + k]), pack_ints(counts), (h[p] >> SHIFT).astype(np.uint32).tobytes(), (h[p] >> np.uint64(48)).astype(np.uint16).tobytes(), _gaps(of[p], at[p])))
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), (pa.int32(), *[pa.binary()] * 5))], names=["bucket", "classes", "counts", "low", "high", "gaps"])
 
@@ -94,8 +109,11 @@ def _positions(gaps: bytes, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[first] - gap[first], counts)
 
 
-def _match(cells: pa.Table) -> pa.Table:
-    """Pairs of classes with equal anchors: ``a < b`` and the position in a less that in b."""
+def _match(cells: pa.Table, most: int | None) -> pa.Table:
+    """Pairs of classes with equal anchors: ``a < b`` and the position in a less that in b.
+
+    An anchor in more than ``most`` places gives no pairs but its hash as ``a``, with null as ``b``.
+    """
     cls, at = [], []
     for c, n, g in zip(cells["classes"].to_pylist(), cells["counts"].to_pylist(), cells["gaps"].to_pylist()):
         n = joined_ints([n])
@@ -110,6 +128,12 @@ def _match(cells: pa.Table) -> pa.Table:
     h, cls, at = h[order], cls[order], at[order]
     out = [np.empty((0, 3), dtype=np.int64)]
     start, length = run_starts(h)
+    crowded = np.empty(0, np.int64)
+    if most is not None:
+        crowded = h[start[length > most]].astype(np.int64)
+        few = np.repeat(length <= most, length)
+        h, cls, at = h[few], cls[few], at[few]
+        start, length = run_starts(h)
     end, i, step = np.repeat(start + length, length), np.arange(len(h)), 1
     while len(i):
         keep = i + step < end
@@ -119,7 +143,9 @@ def _match(cells: pa.Table) -> pa.Table:
         out.append(np.unique(np.stack([cls[a], cls[b], at[a] - at[b]], axis=1)[other], axis=0))
         step += 1
     pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy(), "shift": pairs[:, 2].copy()})
+    null = pa.nulls(len(crowded), pa.int64())
+    cols = [pa.chunked_array([pairs[:, 0].copy(), crowded]), *(pa.chunked_array([pa.array(pairs[:, k].copy()), null]) for k in (1, 2))]
+    return pa.table(cols, names=["a", "b", "shift"])
 
 
 def _extend(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
@@ -164,7 +190,16 @@ def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST) -
     period, cover = cover_for(shortest)
     buckets = max(24, math.ceil(total * len(cover) / period / ANCHORS_A_BUCKET))
     cells = first.select(F.xxhash64("text").alias("code"), "text").mapInArrow(lambda x: _anchors(x, shortest, buckets), "bucket int, classes binary, counts binary, low binary, high binary, gaps binary")
-    matches = cells.groupBy("bucket").applyInArrow(_match, "a long, b long, shift long")
+    found = checkpointed(cells.groupBy("bucket").applyInArrow(lambda t: _match(t, CROWD), "a long, b long, shift long").distinct())
+    matches = found.filter("b IS NOT NULL")
+    # Windows in many texts, as a common preamble just too short has them, would give pairs without a run: look at the
+    # full length around them. All of them are looked at, CROWDED_AT_ONCE in a pass.
+    crowds = found.filter("b IS NULL").select("a")
+    passes = math.ceil(crowds.count() / CROWDED_AT_ONCE)
+    for k in range(passes):
+        some = np.sort(np.array([r.a for r in crowds.filter(F.pmod(F.xxhash64("a"), F.lit(passes)) == k).collect()], dtype=np.uint64))
+        full = first.select(F.xxhash64("text").alias("code"), "text").mapInArrow(lambda x, c=some: _anchors(x, shortest, buckets, c), "bucket int, classes binary, counts binary, low binary, high binary, gaps binary")
+        matches = matches.union(full.groupBy("bucket").applyInArrow(lambda t: _match(t, None), "a long, b long, shift long")).distinct()
     reps = classes.filter("doc_id = cls").select("code", "cls")
     x, y = (reps.toDF(s, f"cls_{s}") for s in "ab")
     named = matches.join(x, "a").join(y, "b")

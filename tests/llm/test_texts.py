@@ -186,6 +186,19 @@ def test_many_slices_and_shuffled_ids(spark, monkeypatch):
     assert list(spans._slices([3, 3, 10, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)] and list(spans._slices([], 6)) == []
 
 
+@pytest.mark.parametrize("crowd,at_once", [(2, 10**6), (2, 3), (0, 10**6)])
+def test_crowded_windows(spark, monkeypatch, crowd, at_once):
+    """A preamble one character too short in nearly all texts, and one just long enough in some."""
+    monkeypatch.setattr(spans, "CROWD", crowd)
+    monkeypatch.setattr(spans, "CROWDED_AT_ONCE", at_once)
+    r = random.Random(5)
+    word = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    short, long = word(399), word(400)
+    texts = {d: word(r.randrange(90)) + r.choice("xyz") + short + r.choice("xyz") + word(r.randrange(200)) + (long if d % 4 == 0 else "") + word(50) for d in range(40)} | make_texts(12)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(x.doc_a, x.doc_b) for x in spans.shared_pairs(df).collect()} == plain_spans(texts, 400)[0]
+
+
 def test_covers():
     for shortest in (400, 399, 398, 100, 50, 9, 3, 2, 1):
         period, cover = spans.cover_for(shortest)
