@@ -5,8 +5,8 @@ array of pieces and, beside each, the rank of its join with the next; a step joi
 looks up the two ranks that change. Ranks are a literal: an array of small maps, chosen by a hash of the piece, because
 Spark searches a map from its start. Bytes are written as the characters U+0000 to U+00FF, so that pieces are strings.
 
-Words repeat, so the encodings of distinct words are computed once where that pays: the HOT_WORDS most frequent words of
-at most HOT_DOCS texts are folded first and become a second literal. This is a cache of bounded size; a word outside
+Words repeat, so the encodings of distinct words are computed once where that pays: the HOT_WORDS words that
+most of at most HOT_DOCS texts hold are folded first and become a second literal. This is a cache of bounded size; a word outside
 it is folded where it stands, so the result is the same whatever the cache holds. The encoding is one pass over the
 texts without a shuffle.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+from collections import Counter
 from collections.abc import Callable
 
 import xxhash
@@ -24,9 +25,10 @@ from pyspark.sql import functions as F
 #: The pattern that splits a text before the merges of byte_bpe_50k; (?U) gives \\s its Unicode meaning in Java.
 PATTERN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-BUCKETS = 1 << 16
-HOT_WORDS = 65_536
-HOT_DOCS = 4_096
+BUCKETS = 1 << 15
+HOT_WORDS = 32_768
+#: The cache is filled from at most so many texts, and so many different words of each.
+HOT_DOCS, WORDS_A_DOC = 4_096, 2_000
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -94,11 +96,18 @@ def words(text: Column) -> Column:
 
 
 def hot_words(docs: DataFrame, text: str, ranks: dict[bytes, int]) -> dict[str, list[int]]:
-    """Encodings of at most HOT_WORDS words, frequent in at most HOT_DOCS texts; only a cache."""
-    some = docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull()).limit(HOT_DOCS)
-    count = some.select(F.explode(words(F.col("t"))).alias("w")).groupBy("w").count()
-    top = count.orderBy(F.desc("count"), "w").limit(HOT_WORDS).select("w")
-    coded = top.select("w", _let(rank_literal(ranks), lambda r: fold(F.col("w"), r)).alias("ids"))
+    """Encodings of at most HOT_WORDS words, found in most of at most HOT_DOCS texts; only a cache.
+
+    The limit stops after the first partitions, so the rest of the corpus is not read for it.
+    """
+    some = docs.select(F.slice(F.array_distinct(words(F.col(text))), 1, WORDS_A_DOC).alias("w")).filter(F.col("w").isNotNull()).limit(HOT_DOCS)
+    count: Counter[str] = Counter()
+    for r in some.collect():
+        count.update(r.w)
+    top = sorted(count, key=lambda w: (-count[w], w))[:HOT_WORDS]
+    if not top:
+        return {}
+    coded = docs.sparkSession.createDataFrame([(w,) for w in top], "w string").select("w", _let(rank_literal(ranks), lambda r: fold(F.col("w"), r)).alias("ids"))
     return {w: list(ids) for w, ids in coded.collect()}
 
 
