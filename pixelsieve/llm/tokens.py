@@ -28,7 +28,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUCKETS = 1 << 15
 HOT_WORDS = 32_768
 #: The cache is filled from at most so many texts, and so many different words of each.
-HOT_DOCS, WORDS_A_DOC = 4_096, 2_000
+HOT_DOCS, WORDS_A_DOC = 2_048, 2_000
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
