@@ -39,7 +39,7 @@ def plan_lists(n: int) -> tuple[int, int]:
     return lists, min(lists, math.ceil(4 * math.sqrt(lists)))
 
 
-def _pack_rows(batches: Iterator[pa.RecordBatch], cent: bytes, width: int, splits: int, blocks: int) -> Iterator[pa.RecordBatch]:
+def _pack_rows(batches: Iterator[pa.RecordBatch], cent: bytes, width: int, splits: int, blocks: int, spill: int) -> Iterator[pa.RecordBatch]:
     w = signs(np.frombuffer(cent, dtype=np.uint8).reshape(-1, width)).T.copy()
     for batch in batches:
         if not batch.num_rows:
@@ -47,7 +47,7 @@ def _pack_rows(batches: Iterator[pa.RecordBatch], cent: bytes, width: int, split
         ids, bits = batch.column(0).to_numpy(), fixed(batch.column(1), width)
         near = signs(bits) @ w
         of, row = [], []
-        for _ in range(min(SPILL, w.shape[1])):
+        for _ in range(min(spill, w.shape[1])):
             best = near.argmax(axis=1)
             near[np.arange(len(best)), best] = -np.inf
             of.append(best)
@@ -227,15 +227,16 @@ def nearest(rows: DataFrame, queries: DataFrame, nbits: int, k: int = 5, exhaust
     if not n:
         return spark.createDataFrame([], "id long, near_id long, distance int")
     lists, probes = plan_lists(n)
+    spill = SPILL
     if exhaustive:
-        probes = lists
+        probes, spill = lists, 1
     cent = b"".join(bytes(r[0]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(lists).select("bits").collect())
     queries = queries.select(F.col("id").cast("long").alias("id")).distinct()
     asked = rows.join(queries, "id", "left_semi")
     blocks = max(1, math.ceil(queries.count() / QUERIES_A_BLOCK))
     splits = max(1, math.ceil(n / ROWS_A_SPLIT))
     buckets = max(8, math.ceil(n / ROWS_A_SPLIT))
-    packed = rows.mapInArrow(lambda x: _pack_rows(x, cent, width, splits, blocks), "cell int, ids binary, lists binary, bits binary")
+    packed = rows.mapInArrow(lambda x: _pack_rows(x, cent, width, splits, blocks, spill), "cell int, ids binary, lists binary, bits binary")
     probing = asked.mapInArrow(lambda x: _pack_queries(x, cent, width, probes, splits, blocks), "cell int, ids binary, masks binary, bits binary")
     found = packed.groupBy("cell").cogroup(probing.groupBy("cell")).applyInArrow(lambda r, q: _scan(r, q, width, k, buckets, confidence), "bucket int, q binary, d binary, ids binary")
     return found.groupBy("bucket").applyInArrow(lambda t: _merge(t, k), "id long, near_id long, distance int")
