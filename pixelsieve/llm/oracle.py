@@ -16,6 +16,23 @@ QUALIFY row_number() OVER (PARTITION BY p.hash_name, p.idx ORDER BY bit_count(xo
 SELECT a.idx AS idx_a, b.idx AS idx_b FROM r a JOIN r b ON a.idx < b.idx AND a.keys IS DISTINCT FROM b.keys AND bit_count(xor(a.h, b.h)) < 60
 UNION ALL SELECT a.idx, b.idx FROM r a JOIN r b ON a.idx < b.idx AND (a.h IS NULL OR b.h IS NULL) AND a.keys != b.keys
   AND abs(length(a.keys) - length(b.keys)) <= 3 AND levenshtein(a.keys, b.keys) <= 3""",
+        "p2_groups": f"""WITH RECURSIVE {RECORDS},
+l AS (SELECT a.idx AS a, b.idx AS b FROM r a JOIN r b ON a.idx < b.idx AND bit_count(xor(a.h, b.h)) < 60
+  UNION ALL SELECT a.idx, b.idx FROM r a JOIN r b ON a.idx < b.idx AND (a.h IS NULL OR b.h IS NULL) AND a.keys != b.keys
+  AND abs(length(a.keys) - length(b.keys)) <= 3 AND levenshtein(a.keys, b.keys) <= 3),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c(idx, g) AS (SELECT a, a FROM e UNION SELECT c.idx, e.b FROM c JOIN e ON c.g = e.a)
+SELECT idx, min(g) AS group_idx FROM c GROUP BY idx""",
+        "p3_found": """WITH RECURSIVE
+old AS (SELECT keys, CASE WHEN octet_length(v_dhash) = 64 THEN v_dhash::BIT END AS h FROM sample_set),
+new AS (SELECT batch_id, idx, keys, CASE WHEN octet_length(v_dhash) = 64 THEN v_dhash::BIT END AS h FROM batch_set QUALIFY row_number() OVER (PARTITION BY idx ORDER BY batch_id) = 1),
+met AS (SELECT idx FROM new SEMI JOIN old USING (keys) UNION SELECT n.idx FROM new n JOIN old o ON bit_count(xor(n.h, o.h)) < 60),
+links AS (SELECT a.idx, a.batch_id, b.idx AS earlier FROM new a JOIN new b ON b.batch_id < a.batch_id AND (a.keys = b.keys OR bit_count(xor(a.h, b.h)) < 60) WHERE b.idx NOT IN (SELECT idx FROM met) AND a.idx NOT IN (SELECT idx FROM met)),
+packed AS (SELECT batch_id, list({'i': idx, 'e': earlier}) AS l FROM links GROUP BY batch_id),
+ordered AS (SELECT l, row_number() OVER (ORDER BY batch_id) AS n FROM packed),
+steps(n, cases) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT o.n, list_concat(s.cases, list_distinct(list_transform(list_filter(o.l, lambda x: NOT list_contains(s.cases, x.e)), lambda x: x.i))) FROM steps s JOIN ordered o ON o.n = s.n + 1)
+SELECT idx FROM met UNION SELECT unnest(cases) FROM (SELECT cases FROM steps ORDER BY n DESC LIMIT 1)""",
         "p4_found": """WITH RECURSIVE l AS (SELECT m_i AS a, m_j AS b FROM pair_t WHERE m_diff BETWEEN 0 AND 59 AND m_i != m_j),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(idx, g) AS (SELECT a, a FROM e UNION SELECT r.idx, e.b FROM r JOIN e ON r.g = e.a)
