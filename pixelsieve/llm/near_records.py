@@ -54,21 +54,27 @@ def near_pairs(records: DataFrame, below: int = BELOW, edits: int = EDITS) -> Da
     copied = ready.filter(F.col("bits").isNotNull()).select("bits", "idx").join(classes.filter(F.col("members") > 1).select("bits", "rep"), "bits").select("rep", "idx")
     alone = classes.filter(F.col("members") == 1).select("rep").join(ends, "rep", "left_semi").select("rep", F.col("rep").alias("idx"))
     members = checkpointed(copied.union(alone).join(ready.select("idx", "keys"), "idx").select("rep", "idx", "keys"))
-    x, y = (members.select(F.col("rep").alias(f"rep_{s}"), F.col("idx").alias(f"idx_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "xy")
-    across = links.join(x, F.col("a") == F.col("rep_x")).join(y, F.col("b") == F.col("rep_y"))
-    within = x.join(y, (F.col("rep_x") == F.col("rep_y")) & (F.col("idx_x") < F.col("idx_y")))
-    cols = ["idx_x", "idx_y", "keys_x", "keys_y"]
-    by_hash = across.select(cols).union(within.select(cols)).filter(~F.col("keys_x").eqNullSafe(F.col("keys_y")))
-    by_hash = by_hash.select(F.least("idx_x", "idx_y").alias("idx_a"), F.greatest("idx_x", "idx_y").alias("idx_b"))
+    # equal bits and equal keys are no pair: sets of both meet first, so that the work follows the result
+    sets = checkpointed(members.groupBy("rep", "keys").agg(F.min("idx").alias("kid")))
+    x, y = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "keys", "kid")]) for s in "xy")
+    across = links.join(x, F.col("a") == F.col("rep_x")).join(y, F.col("b") == F.col("rep_y")).filter(~F.col("keys_x").eqNullSafe(F.col("keys_y")))
+    within = x.join(y, (F.col("rep_x") == F.col("rep_y")) & (F.col("kid_x") < F.col("kid_y")))
+    met = across.select("kid_x", "kid_y").union(within.select("kid_x", "kid_y"))
+    m, n = members.alias("m"), sets.alias("n")
+    of = m.join(n, (F.col("m.rep") == F.col("n.rep")) & F.col("m.keys").eqNullSafe(F.col("n.keys"))).select("n.kid", "m.idx")
+    x, y = (of.select(F.col("kid").alias(f"kid_{s}"), F.col("idx").alias(f"idx_{s}")) for s in "xy")
+    by_hash = met.join(x, "kid_x").join(y, "kid_y").select(F.least("idx_x", "idx_y").alias("idx_a"), F.greatest("idx_x", "idx_y").alias("idx_b"))
 
     key_links = checkpointed(_key_links(ready, edits))
     firsts = key_links.select(F.col("a").alias("rep")).union(key_links.select(F.col("b").alias("rep"))).distinct()
     named = ready.filter(F.col("keys").isNotNull())
     wanted = named.join(firsts, named["idx"] == firsts["rep"]).select("keys", "rep")
     listed = checkpointed(named.join(wanted, "keys").select("rep", "idx", F.col("bits").isNull().alias("missing")))
-    x, y = (listed.select(F.col("rep").alias(f"rep_{s}"), F.col("idx").alias(f"idx_{s}"), F.col("missing").alias(f"missing_{s}")) for s in "xy")
-    by_key = key_links.join(x, F.col("a") == F.col("rep_x")).join(y, F.col("b") == F.col("rep_y")).filter(F.col("missing_x") | F.col("missing_y"))
-    by_key = by_key.select(F.least("idx_x", "idx_y").alias("idx_a"), F.greatest("idx_x", "idx_y").alias("idx_b"))
+    kinds = listed.select("rep", "missing").distinct()
+    x, y = (kinds.select(F.col("rep").alias(r), F.col("missing").alias(f"missing_{r}")) for r in "ab")
+    met = key_links.join(x, "a").join(y, "b").filter("missing_a OR missing_b")
+    x, y = (listed.select(F.col("rep").alias(r), F.col("missing").alias(f"missing_{r}"), F.col("idx").alias(f"idx_{r}")) for r in "ab")
+    by_key = met.join(x, ["a", "missing_a"]).join(y, ["b", "missing_b"]).select(F.least("idx_a", "idx_b").alias("idx_a"), F.greatest("idx_a", "idx_b").alias("idx_b"))
     return by_hash.union(by_key)
 
 

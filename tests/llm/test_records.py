@@ -79,6 +79,15 @@ def test_copies_with_different_keys_and_equal_records(spark):
     assert got == brute_pairs(rows)
 
 
+def test_many_equal_records_are_no_pairs(spark):
+    """A third of the rows are the same record: their pairs would be millions, and none is a result."""
+    rows = records(6, 60)
+    rows += [(10_000 + i, "/same/key.jpg", b"\5" * 64) for i in range(4000)] + [(20_000, "/other/key.jpg", b"\5" * 64)]
+    got = near_records.near_pairs(frame(spark, rows))
+    assert got.filter("idx_a >= 10000").count() == 4000
+    assert {(r.idx_a, r.idx_b) for r in got.filter("idx_b < 10000").collect()} <= brute_pairs(rows[:60])
+
+
 def find(pairs):
     root = {}
 
