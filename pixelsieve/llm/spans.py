@@ -32,6 +32,8 @@ BROADCAST_IDS = 500_000
 #: An anchor in more places than this is looked at again with windows of the full length.
 CROWD = 100
 CROWDED_AT_ONCE = 500_000
+#: A pair with more shifts than this is compared by windows.
+MANY_SHIFTS = 64
 #: Of a hash 48 bits are kept.
 SHIFT = np.uint64(16)
 
@@ -109,10 +111,22 @@ def _positions(gaps: bytes, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[first] - gap[first], counts)
 
 
+def _partners(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j), i < j, of places with equal hashes, of sorted hashes, in slices by their difference."""
+    start, length = run_starts(h)
+    end, i, step = np.repeat(start + length, length), np.arange(len(h)), 1
+    while len(i):
+        keep = i + step < end
+        i, end = i[keep], end[keep]
+        yield i, i + step
+        step += 1
+
+
 def _match(cells: pa.Table, most: int | None) -> pa.Table:
     """Pairs of classes with equal anchors: ``a < b`` and the position in a less that in b.
 
-    An anchor in more than ``most`` places gives no pairs but its hash as ``a``, with null as ``b``.
+    An anchor in more than ``most`` places gives no pairs but its hash as ``a``, with null as ``b``. Without ``most`` the
+    anchors are windows of the full length, and classes become pairs without a position.
     """
     cls, at = [], []
     for c, n, g in zip(cells["classes"].to_pylist(), cells["counts"].to_pylist(), cells["gaps"].to_pylist()):
@@ -126,42 +140,69 @@ def _match(cells: pa.Table, most: int | None) -> pa.Table:
     order = order[np.repeat(lengths > 1, lengths)]  # most anchors are alone
     order = order[np.lexsort((at[order], cls[order], h[order]))]
     h, cls, at = h[order], cls[order], at[order]
-    out = [np.empty((0, 3), dtype=np.int64)]
-    start, length = run_starts(h)
     crowded = np.empty(0, np.int64)
-    if most is not None:
-        crowded = h[start[length > most]].astype(np.int64)
-        few = np.repeat(length <= most, length)
-        h, cls, at = h[few], cls[few], at[few]
+    if most is None:
+        keep = np.r_[True, (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])][: len(h)]
+    else:
         start, length = run_starts(h)
-    end, i, step = np.repeat(start + length, length), np.arange(len(h)), 1
-    while len(i):
-        keep = i + step < end
-        i, end = i[keep], end[keep]
-        a, b = i, i + step
+        crowded = h[start[length > most]].astype(np.int64)
+        keep = np.repeat(length <= most, length)
+    h, cls, at = h[keep], cls[keep], at[keep]
+    out = [np.empty((0, 3), dtype=np.int64)]
+    for a, b in _partners(h):
         other = cls[a] != cls[b]  # sorted by class within equal hashes
-        out.append(np.unique(np.stack([cls[a], cls[b], at[a] - at[b]], axis=1)[other], axis=0))
-        step += 1
+        shift = at[a] - at[b] if most is not None else np.zeros(len(a), np.int64)
+        out.append(np.unique(np.stack([cls[a], cls[b], shift], axis=1)[other], axis=0))
     pairs = np.unique(np.concatenate(out), axis=0)
     null = pa.nulls(len(crowded), pa.int64())
-    cols = [pa.chunked_array([pairs[:, 0].copy(), crowded]), *(pa.chunked_array([pa.array(pairs[:, k].copy()), null]) for k in (1, 2))]
+    shift = pa.array(pairs[:, 2].copy()) if most is not None else pa.nulls(len(pairs), pa.int64())
+    cols = [pa.chunked_array([pairs[:, 0].copy(), crowded]), pa.chunked_array([pa.array(pairs[:, 1].copy()), null]), pa.chunked_array([shift, null])]
     return pa.table(cols, names=["a", "b", "shift"])
 
 
+def _along(x: np.ndarray, y: np.ndarray, shifts: list[int], shortest: int) -> Iterator[tuple[int, int, int]]:
+    """(start in x, start in y, length) of the runs along each shift."""
+    for s in shifts:
+        xs, ys = max(0, s), max(0, -s)
+        n = min(len(x) - xs, len(y) - ys)
+        same = np.r_[False, x[xs : xs + n] == y[ys : ys + n], False]
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if j - i >= shortest:
+                yield xs + i, ys + i, j - i
+
+
+def _by_windows(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, shortest: int) -> Iterator[tuple[int, int, int]]:
+    """Runs that cover whatever x shares with y: whole where y has it in one piece, else in pieces of the least length."""
+    order = np.argsort(hy, kind="stable")
+    place = np.searchsorted(hy[order], hx)
+    hit = hy[order[np.minimum(place, len(hy) - 1)]] == hx
+    edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
+    for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        first, n = int(order[place[i]]), j - i + shortest - 1
+        if np.array_equal(x[i : i + n], y[first : first + n]):
+            yield i, first, n
+        else:
+            for k in sorted({*range(i, j, shortest), j - 1}):
+                other = int(order[place[k]])
+                if np.array_equal(x[k : k + shortest], y[other : other + shortest]):
+                    yield k, other, shortest
+
+
 def _extend(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
-    """Runs of at least ``shortest`` equal characters of each pair of texts, along each of its shifts."""
+    """Runs of at least ``shortest`` equal characters of each pair of texts: along each of its shifts, or, where there are
+    many or none is known, as in repetitive texts, by all windows of both."""
     for batch in batches:
         rows = []
-        for a, b, shifts, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (ta, tb))
-            for s in shifts:
-                xs, ys = max(0, s), max(0, -s)
-                n = min(len(x) - xs, len(y) - ys)
-                same = np.r_[False, x[xs : xs + n] == y[ys : ys + n], False]
-                edge = np.flatnonzero(same[1:] != same[:-1])
-                for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    if j - i >= shortest:
-                        rows.append((a, b, xs + i, ys + i, j - i))
+        for a, b, shifts, whole, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            tx, ty = Text([ta]), Text([tb])
+            x, y = tx.points, ty.points
+            if whole or len(shifts) > MANY_SHIFTS:
+                hx, hy = (t.windows(np.arange(len(t.points) - shortest + 1), shortest) for t in (tx, ty))
+                runs = {*_by_windows(x, y, hx, hy, shortest), *((i, k, n) for k, i, n in _by_windows(y, x, hy, hx, shortest))}
+            else:
+                runs = _along(x, y, shifts, shortest)
+            rows += [(a, b, *r) for r in runs]
         cols = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "start_a", "start_b", "length"])
 
@@ -203,13 +244,13 @@ def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST) -
     reps = classes.filter("doc_id = cls").select("code", "cls")
     x, y = (reps.toDF(s, f"cls_{s}") for s in "ab")
     named = matches.join(x, "a").join(y, "b")
-    pairs = checkpointed(named.groupBy("cls_a", "cls_b").agg(F.collect_set("shift").alias("shifts")))
+    pairs = checkpointed(named.groupBy("cls_a", "cls_b").agg(F.collect_set("shift").alias("shifts"), F.max(F.col("shift").isNull()).alias("whole")))
     ends = checkpointed(pairs.select(F.col("cls_a").alias("doc_id")).union(pairs.select("cls_b")).distinct())
     if ends.count() <= BROADCAST_IDS:
         ends = F.broadcast(ends)  # then only the texts of pairs are shuffled
     texts = first.join(ends, "doc_id", "left_semi")
     x, y = (texts.select(F.col("doc_id").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
-    both = pairs.join(x, "cls_a").join(y, "cls_b").select("cls_a", "cls_b", "shifts", "text_a", "text_b")
+    both = pairs.join(x, "cls_a").join(y, "cls_b").select("cls_a", "cls_b", "shifts", "whole", "text_a", "text_b")
     runs = both.mapInArrow(lambda t: _extend(t, shortest), "a long, b long, start_a long, start_b long, length long")
     swap = F.col("a") > F.col("b")
     turned = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("start_a", "start_b"), ("start_b", "start_a"))]

@@ -199,6 +199,16 @@ def test_crowded_windows(spark, monkeypatch, crowd, at_once):
     assert {(x.doc_a, x.doc_b) for x in spans.shared_pairs(df).collect()} == plain_spans(texts, 400)[0]
 
 
+def test_long_repetitive_texts(spark):
+    r = random.Random(8)
+    line = "".join(r.choice("abc") for _ in range(37))
+    texts = {0: "z" * 60_000, 1: "z" * 45_000 + "y", 2: line * 1500, 3: "q" + line * 900 + "q", 4: " \n" * 20_000, 5: "x" + " \n" * 300, 6: "z" * 399}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(x.doc_a, x.doc_b) for x in spans.shared_pairs(df).collect()} == {(0, 1), (2, 3), (4, 5)}
+    got = {x.doc_id: x.shared_chars for x in spans.coverage(df).collect()}
+    assert got == {0: 60_000, 1: 45_000, 2: 37 * 1500, 3: 37 * 900, 4: 40_000, 5: 600, 6: 0}
+
+
 def test_covers():
     for shortest in (400, 399, 398, 100, 50, 9, 3, 2, 1):
         period, cover = spans.cover_for(shortest)
