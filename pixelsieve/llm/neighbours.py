@@ -30,6 +30,10 @@ ROWS_A_SPLIT = 1_000_000
 QUERIES_A_BLOCK = 50_000
 #: Bound of the test in standard deviations, for partial distances of randomly rotated vectors.
 CONFIDENCE = 2.1
+#: Differing bits that the test allows beyond a query's bound, so that rounding never decides about vectors as near as a bound of 0.
+SLACK = 1
+#: Candidates that may wait before they are cut to the k nearest of each query.
+WAITING = 4_000_000
 SEED = 20_011
 
 
@@ -88,18 +92,21 @@ class _Best:
     """The k nearest so far of each query, by distance and then id."""
 
     def __init__(self, queries: int, k: int, far: int):
-        self.k, self.bound, self.new = k, np.full(queries, far, dtype=np.int64), []
+        self.k, self.bound, self.new, self.waiting = k, np.full(queries, far, dtype=np.int64), [], 0
         self.found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
 
     def add(self, q: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
         if len(q):
             self.new.append((q, d, ids))
+            self.waiting += len(q)
+            if self.waiting > WAITING:
+                self.settle()
 
     def settle(self) -> None:
         if not self.new:
             return
         q, d, ids = (np.concatenate([x, *y]) for x, y in zip(self.found, zip(*self.new)))
-        self.new = []
+        self.new, self.waiting = [], 0
         order = np.lexsort((ids, d, q))
         q, d, ids = q[order], d[order], ids[order]
         first = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]  # equal ids have equal distances, so they are neighbours
@@ -112,7 +119,8 @@ class _Best:
 
 
 def _first_bounds(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, xv: np.ndarray, xid: np.ndarray) -> None:
-    """A first bound, from some rows of the list, for queries that have none."""
+    """A first bound, from some rows of the list, for queries that have none. The rows that set it are added, so that no
+    bound rests on rows that the test drops."""
     n = xv.shape[1]
     q = q[best.bound[q] > n]
     some = xv[: 64 * best.k]
@@ -120,7 +128,16 @@ def _first_bounds(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, x
         return
     dist = np.rint((n - qv[q] @ some.T) / 2)
     dist[qid[q][:, None] == xid[None, : len(some)]] = n + 1
-    best.bound[q] = np.minimum(best.bound[q], np.partition(dist, best.k - 1, axis=1)[:, best.k - 1].astype(np.int64))
+    near = np.argpartition(dist, best.k - 1, axis=1)[:, : best.k]
+    dist = np.take_along_axis(dist, near, axis=1).astype(np.int64)
+    best.bound[q] = np.minimum(best.bound[q], dist.max(axis=1))
+    i, j = np.nonzero(dist <= n)
+    best.add(q[i], dist[i, j], xid[near[i, j]])
+
+
+def _limit(bound: np.ndarray, columns: int, n: int, confidence: float) -> np.ndarray:
+    """Squared distance after so many of n columns up to which a candidate may still be within the bound."""
+    return 4.0 * (bound + SLACK) * (columns / n) * (1 + confidence / math.sqrt(columns)) ** 2
 
 
 def _scan_whole(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, xv: np.ndarray, xid: np.ndarray) -> None:
@@ -146,7 +163,7 @@ def _scan_blocks(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, xv
     part = dot[i, j] + np.einsum("ij,ij->i", a[i, d1:d2], xv[j, d1:d2])
     square = np.einsum("ij,ij->i", a[:, :d2], a[:, :d2])[i] + np.einsum("ij,ij->i", xv[:, :d2], xv[:, :d2])[j] - 2 * part
     bound = best.bound[q]
-    left = square <= 4.0 * bound[i] * (d2 / n) * (1 + confidence / math.sqrt(d2)) ** 2
+    left = square <= _limit(bound[i], d2, n, confidence)
     i, j, part = i[left], j[left], part[left]
     dist = np.rint((n - part - np.einsum("ij,ij->i", a[i, d2:], xv[j, d2:])) / 2).astype(np.int64)
     keep = (dist <= bound[i]) & (qid[q[i]] != xid[j])
@@ -162,7 +179,7 @@ def _scan_list(best: _Best, q: np.ndarray, qv: np.ndarray, qid: np.ndarray, xv:
     _first_bounds(best, q, qv, qid, xv, xid)
     n = xv.shape[1]
     d1 = n // 4
-    limit = 4.0 * best.bound[q] * (d1 / n) * (1 + confidence / math.sqrt(d1)) ** 2
+    limit = _limit(best.bound[q], d1, n, confidence)
     tight = limit <= 2 * d1 - 2.6 * math.sqrt(d1)
     if tight.any():
         _scan_blocks(best, q[tight], qv, qid, xv, xid, limit[tight], confidence)
@@ -230,7 +247,10 @@ def nearest(rows: DataFrame, queries: DataFrame, nbits: int, k: int = 5, exhaust
     spill = SPILL
     if exhaustive:
         probes, spill = lists, 1
-    cent = b"".join(bytes(r[0]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(lists).select("bits").collect())
+    # of equal centroids only the first would get rows, while queries would probe any of them
+    sample = dict.fromkeys(bytes(r[0]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(lists).select("bits").collect())
+    cent, lists = b"".join(sample), len(sample)
+    probes = min(probes, lists)
     queries = queries.select(F.col("id").cast("long").alias("id")).distinct()
     asked = rows.join(queries, "id", "left_semi")
     blocks = max(1, math.ceil(queries.count() / QUERIES_A_BLOCK))

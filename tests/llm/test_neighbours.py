@@ -80,3 +80,45 @@ def test_bits_and_signs():
 
     x = np.array([[0b10000001]], dtype=np.uint8)
     assert signs(x).tolist() == [[1, -1, -1, -1, -1, -1, -1, 1]]
+
+
+def copies(seed, hot, total):
+    """hot equal rows, mixed with groups of 8 equal rows."""
+    r = random.Random(seed)
+    out = [r.randbytes(64)] * hot
+    while len(out) < total:
+        out += [r.randbytes(64)] * 8
+    first = out[0]
+    r.shuffle(out)
+    return list(enumerate(out[:total])), [i for i, b in enumerate(out[:total]) if b == first]
+
+
+@pytest.mark.parametrize("seed, hot, total", [(0, 20, 1200), (1, 20, 1200), (0, 2800, 4096), (3, 4096, 12_288)])
+def test_equal_vectors_in_one_list(seed, hot, total):
+    rows, same = copies(seed, hot, total)
+    queries = sorted({same[0], *range(0, total, 3 * total // 1200)})
+    bits = np.array([list(b) for _, b in rows], dtype=np.uint8)
+    v = N.signs(bits) @ N.rotation(512, N.SEED)
+    ids, qid = np.arange(total), np.array(queries)
+    best = N._Best(len(qid), 5, 513)
+    for s in range(0, total, 8192):
+        N._scan_list(best, np.arange(len(qid)), v[qid], qid, v[s : s + 8192], ids[s : s + 8192], N.CONFIDENCE)
+        best.settle()
+    q, _, near = best.found
+    assert set(zip(qid[q].tolist(), near.tolist())) == N.brute_force(rows, queries, 512)
+
+
+def test_a_third_of_equal_vectors_in_the_nearest_lists(spark):
+    rows, same = copies(6, 1400, 4000)
+    queries = same[:20] + list(range(0, 4000, 40))
+    assert run(spark, rows, queries) == N.brute_force(rows, queries, 512)
+
+
+def test_waiting_candidates_are_cut(monkeypatch):
+    monkeypatch.setattr(N, "WAITING", 10)
+    best = N._Best(1, 2, 513)
+    for i in range(30):
+        best.add(np.zeros(4, np.int64), np.full(4, 30 - i), np.arange(4) + 4 * i)
+        assert sum(len(x[0]) for x in best.new) <= 10
+    best.settle()
+    assert best.found[2].tolist() == [116, 117]
