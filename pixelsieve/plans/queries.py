@@ -1,7 +1,7 @@
 """The operators over the driver's tables, and the same results as SQL for DuckDB.
 
 The tables hold no images, so texts stand in for files: their bytes for content, the code points of their first 289 and
-256 characters for a 17 x 17 and a 16 x 16 grid. Hashes, keys and pairs of images are taken from the project's tables.
+256 characters for a 17 x 17 and a 16 x 16 grid, or all their bytes for the levels of a gray image (whole_hashes). Hashes, keys and pairs of images are taken from the project's tables.
 """
 
 from __future__ import annotations
@@ -99,6 +99,18 @@ def phash_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir, 256).select("doc_id", hashing.median_hash(F.col("grid")).alias("phash"))
 
 
+def whole_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both hashes of every text as images have them, by resizing and cosine transform: all bytes of the text are the
+    levels of the squarest gray image that holds them, its last row filled up with 0. Empty texts have null hashes."""
+    size = F.length("content")
+    width = F.ceil(F.sqrt(size)).cast("int")
+    files = _files(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "content", size.alias("size"), width.alias("width"))
+    files = files.withColumn("height", F.when(F.col("size") > 0, F.ceil(F.col("size") / F.col("width"))).otherwise(0).cast("int"))
+    data = F.rpad("content", F.col("height") * F.col("width"), F.lit(b"\0"))
+    hashes = hashing.image_hashes(files.select("path", "height", "width", F.lit(1).alias("nChannels"), data.alias("data")))
+    return hashes.select(F.col("path").cast("long").alias("doc_id"), bits.to_hex(F.col("v_dhash")).alias("dhash"), bits.to_hex(F.col("v_phash")).alias("phash"))
+
+
 def embedding_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64)
     return rows.select("vec_id", hashing.median_hash(F.col("embedding"), 64).alias("hash"))
@@ -245,7 +257,7 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     md5_gen, dedup_md5, dedup_md5_samples, filter_ext, filter_size, filter_magic, filter_geometry, filter_quality, dhash_gen, phash_gen,
-    embedding_hash, popcount_hist, pairs_dhash, pairs_phash, pairs_banded, pairs_embedding, remain_dhash, remain_phash, merge_dhash, merge_phash,
+    whole_hashes, embedding_hash, popcount_hist, pairs_dhash, pairs_phash, pairs_banded, pairs_embedding, remain_dhash, remain_phash, merge_dhash, merge_phash,
     concat_lists, greedy_pairs, dedup_dhash, dedup_phash, hash_roundtrip, load_lines, pair_lines, scanner_classify, scanner_clean, scanner_summary,
     pipeline_full, p5_found, p5_loaded,
 ]

@@ -30,3 +30,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_texts_are_hashed(spark, tmp_path):
+    import numpy as np
+
+    from pixelsieve.functions import hashing
+
+    head = "".join(chr(33 + i * i % 90) for i in range(400))
+    texts = [head + "~" * 3000, head + "!~" * 1500, "short", "x", "", None, "ä€" * 200]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.dhash, r.phash) for r in queries.queries()["whole_hashes"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 6] and got[4] == (None, None)
+    assert got[0][0] != got[1][0] and got[0][1] != got[1][1]
+    for i in (0, 1, 2, 3, 6):
+        data = texts[i].encode()
+        width = int(np.ceil(np.sqrt(len(data))))
+        gray = np.frombuffer(data.ljust(-(-len(data) // width) * width, b"\0"), np.uint8).reshape(-1, width)
+        assert got[i] == (hashing.dhash_of(gray).hex(), hashing.phash_of(gray).hex())
