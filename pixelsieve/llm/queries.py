@@ -119,7 +119,7 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest shared runs of each pair of different texts, by the smallest doc_id of either text."""
     docs = table(spark, sf_dir, "documents")
-    return spans.class_spans(docs, checkpointed(spans.text_classes(docs)))
+    return spans.class_spans(docs, checkpointed(spans.text_classes(docs)), every=True)
 
 
 QUERIES = [

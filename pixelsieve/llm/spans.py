@@ -34,6 +34,7 @@ CROWD = 100
 CROWDED_AT_ONCE = 500_000
 #: A pair with more shifts than this is compared by windows.
 MANY_SHIFTS = 64
+ROWS_AT_ONCE = 200_000
 #: Of a hash 48 bits are kept.
 SHIFT = np.uint64(16)
 
@@ -189,9 +190,61 @@ def _by_windows(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, sh
                     yield k, other, shortest
 
 
-def _extend(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
+def _true_hashes(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, shortest: int) -> bool:
+    """Whether all windows of x and y with the hash of a window of y equal the first such window."""
+    known, first = np.unique(hy, return_index=True)
+    for t, h in ((x, hx), (y, hy)):
+        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        at = np.flatnonzero(known[place] == h)
+        rep = first[place[at]]
+        new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(rep) != 1)][: len(at)])
+        for i, k, n in zip(at[new].tolist(), rep[new].tolist(), np.diff(np.r_[new, len(at)]).tolist()):
+            if not np.array_equal(t[i : i + n + shortest - 1], y[k : k + n + shortest - 1]):
+                return False
+    return True
+
+
+def _edges(hx: np.ndarray, hy: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with hx[i] == hy[j] and cx[i] != cy[j], by i - j and then i."""
+    known, ry = np.unique(hy, return_inverse=True)
+    place = np.minimum(np.searchsorted(known, hx), len(known) - 1)
+    i = np.flatnonzero(known[place] == hx)
+    r = place[i].astype(np.int64) << 22  # above any code point
+    key = (ry.astype(np.int64) << 22) + cy
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    parts = []
+    for lo, hi in ((r, r + cx[i]), (r + cx[i] + 1, r + (1 << 22))):
+        lo, hi = np.searchsorted(key, lo), np.searchsorted(key, hi)
+        n = hi - lo
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        parts.append((np.repeat(i, n), order[np.repeat(lo, n) + within]))
+    i, j = (np.concatenate(k) for k in zip(*parts))
+    by = np.lexsort((i, i - j))
+    return i[by], j[by]
+
+
+def _every_run(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, shortest: int) -> Iterator[tuple[int, int, int]]:
+    """(start in x, start in y, length) of all runs that cannot be made longer, along whatever shift. The work follows the
+    windows and the runs: a run begins at equal windows behind different characters and ends at the next ones before such."""
+    if not _true_hashes(x, y, hx, hy, shortest):
+        number: dict[bytes, int] = {}
+        hx, hy = (np.array([number.setdefault(t[i : i + shortest].tobytes(), len(number)) for i in range(len(t) - shortest + 1)]) for t in (x, y))
+    px, py = x.astype(np.int64) + 2, y.astype(np.int64) + 2  # 0 and 1 stand for no character
+    i, j = _edges(hx, hy, np.r_[0, px[: len(hx) - 1]], np.r_[1, py[: len(hy) - 1]])
+    end, _ = _edges(hx, hy, np.r_[px[shortest:], 0], np.r_[py[shortest:], 1])
+    return zip(i.tolist(), j.tolist(), (end - i + shortest).tolist())
+
+
+def _extend(batches: Iterator[pa.RecordBatch], shortest: int, every: bool) -> Iterator[pa.RecordBatch]:
     """Runs of at least ``shortest`` equal characters of each pair of texts: along each of its shifts, or, where there are
-    many or none is known, as in repetitive texts, by all windows of both."""
+    many or none is known, as in repetitive texts, by all windows of both; then with every all runs whole, else runs
+    that cover the same characters."""
+
+    def packed(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "start_a", "start_b", "length"])
+
     for batch in batches:
         rows = []
         for a, b, shifts, whole, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(6))):
@@ -199,12 +252,18 @@ def _extend(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.Rec
             x, y = tx.points, ty.points
             if whole or len(shifts) > MANY_SHIFTS:
                 hx, hy = (t.windows(np.arange(len(t.points) - shortest + 1), shortest) for t in (tx, ty))
-                runs = {*_by_windows(x, y, hx, hy, shortest), *((i, k, n) for k, i, n in _by_windows(y, x, hy, hx, shortest))}
+                if every:
+                    runs = _every_run(x, y, hx, hy, shortest)
+                else:
+                    runs = {*_by_windows(x, y, hx, hy, shortest), *((i, k, n) for k, i, n in _by_windows(y, x, hy, hx, shortest))}
             else:
                 runs = _along(x, y, shifts, shortest)
-            rows += [(a, b, *r) for r in runs]
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "start_a", "start_b", "length"])
+            for r in runs:
+                rows.append((a, b, *r))
+                if len(rows) == ROWS_AT_ONCE:
+                    yield packed(rows)
+                    rows = []
+        yield packed(rows)
 
 
 def _ready(docs: DataFrame) -> DataFrame:
@@ -221,9 +280,11 @@ def text_classes(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return long.join(first, "digest").select("doc_id", "cls", "code")
 
 
-def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST, every: bool = False) -> DataFrame:
     """``a, b, start_a, start_b, length``: the longest runs that the texts of two classes share; a < b.
 
+    With every each run comes out whole. Without it, texts with windows in many places or at many shifts give runs that
+    may be cut, but cover the same characters; that is enough to tell pairs and coverage, and keeps the rows few.
     classes as text_classes gives it, checkpointed. Positions and lengths are in code points from 0.
     """
     first = _ready(docs).filter(F.char_length("text") >= shortest)
@@ -251,7 +312,7 @@ def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST) -
     texts = first.join(ends, "doc_id", "left_semi")
     x, y = (texts.select(F.col("doc_id").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
     both = pairs.join(x, "cls_a").join(y, "cls_b").select("cls_a", "cls_b", "shifts", "whole", "text_a", "text_b")
-    runs = both.mapInArrow(lambda t: _extend(t, shortest), "a long, b long, start_a long, start_b long, length long")
+    runs = both.mapInArrow(lambda t: _extend(t, shortest, every), "a long, b long, start_a long, start_b long, length long")
     swap = F.col("a") > F.col("b")
     turned = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("start_a", "start_b"), ("start_b", "start_a"))]
     return runs.select(*turned, "length")

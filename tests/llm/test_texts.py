@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,59 @@ def test_covers():
 def test_columns_with_clashing_names(spark):
     df = frame(spark, ["same " * 100, "same " * 100]).withColumn("digest", F.lit(1)).withColumn("a", F.lit(2))
     assert spans.shared_pairs(df).count() == 1
+
+
+def plain_runs(x, y, shortest):
+    """Every run that cannot be made longer, shift by shift."""
+    out = set()
+    for s in range(-len(y), len(x)):
+        i = max(0, s)
+        while i < len(x) and i - s < len(y):
+            n = 0
+            while i + n < len(x) and i - s + n < len(y) and x[i + n] == y[i - s + n]:
+                n += 1
+            if n >= shortest:
+                out.add((i, i - s, n))
+            i += n + 1
+    return out
+
+
+@pytest.mark.parametrize("shortest", [1, 3, 8])
+@pytest.mark.parametrize("truth", [True, False])
+def test_every_run_is_whole(monkeypatch, shortest, truth):
+    if not truth:
+        monkeypatch.setattr(spans, "_true_hashes", lambda *a: False)
+    r = random.Random(shortest)
+    texts = [("a" * 40, "a" * 30), ("ab" * 20, "b" + "ab" * 9 + "c"), ("", "a")]
+    for _ in range(60):
+        parts = ["".join(r.choice("ab\0🙂") for _ in range(r.randrange(1, 12))) for _ in range(4)]
+        texts.append(tuple("".join(r.choice(parts) for _ in range(r.randrange(1, 8))) for _ in range(2)))
+    for a, b in texts:
+        if min(len(a), len(b)) < shortest:
+            continue
+        x, y = spans.Text([a]), spans.Text([b])
+        hx, hy = (t.windows(np.arange(len(t.points) - shortest + 1), shortest) for t in (x, y))
+        got = list(spans._every_run(x.points, y.points, hx, hy, shortest))
+        assert len(got) == len(set(got)) and set(got) == plain_runs(a, b, shortest)
+
+
+def test_equal_hashes_of_different_windows():
+    x, y = (np.array([ord(c) for c in t], dtype=np.uint32) for t in ("abcabd", "abcabe"))
+    h = np.array([7, 7, 8, 9], dtype=np.uint64)
+    assert not spans._true_hashes(x, y, h, h, 3)
+    assert set(spans._every_run(x, y, h, h, 3)) == plain_runs("abcabd", "abcabe", 3) == {(0, 0, 5)}
+
+
+def test_spans_are_the_same_on_either_side_of_a_switch(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    p, q = word(400), word(300)
+    texts = [word(50) + p + word(60) + p + q + word(20), word(70) + p + word(80) + p + q + word(30), *[word(9) + p + word(d) for d in range(8)]]
+    df = frame(spark, texts)
+    want = {(a, b, *run) for a in range(10) for b in range(a + 1, 10) for run in plain_runs(texts[a], texts[b], 400)}
+    assert max(w[4] for w in want if w[:2] == (0, 1)) == 700 and len([w for w in want if w[:2] == (0, 1)]) == 4
+    for crowd, shifts in ((10**6, 10**6), (2, 10**6), (10**6, 0)):
+        monkeypatch.setattr(spans, "CROWD", crowd)
+        monkeypatch.setattr(spans, "MANY_SHIFTS", shifts)
+        got = [tuple(x) for x in spans.class_spans(df, spans.checkpointed(spans.text_classes(df)), every=True).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
