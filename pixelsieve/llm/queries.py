@@ -83,7 +83,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen.error_rates(*_digests(spark, sf_dir))
+    """Short fingerprints, where wrong answers can be counted, and last the filter of p6_found itself."""
+    return seen.error_rates(*_digests(spark, sf_dir)).unionByName(seen.filter_rates(*_digests(spark, sf_dir)))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

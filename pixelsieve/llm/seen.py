@@ -141,6 +141,25 @@ def error_rates(stream: DataFrame, known: DataFrame, bits: tuple[int, ...] = (12
     # of the keys of one fingerprint the first is answered rightly
     wrong = F.col("new") - F.when(F.col("low") >= 0, 1).otherwise(0)
     whole = by_print.groupBy("bits").agg(F.sum("n").alias("keys"), F.sum("new").alias("new_keys"), F.sum(wrong).alias("wrong"))
+    return _rates(whole)
+
+
+def filter_rates(stream: DataFrame, known: DataFrame, remainder_bits: int = REMAINDER_BITS) -> DataFrame:
+    """error_rates for seen_before itself: its answers, with the bits it uses, beside those of the exact keys."""
+    answered = seen_before(stream, known, remainder_bits).select("id").distinct().withColumn("said", F.lit(True))
+    rows = known.filter("key IS NOT NULL").select("key", F.lit(-1).cast("long").alias("order"))
+    rows = rows.union(stream.filter("key IS NOT NULL AND id IS NOT NULL").select("key", F.col("id").cast("long")))
+    firsts = rows.groupBy("key").agg(F.min("order").alias("id"))
+    new = F.col("id") >= 0
+    whole = firsts.join(answered, "id", "left").agg(F.count("*").alias("keys"), F.coalesce(F.sum(new.cast("long")), F.lit(0)).alias("new_keys"), F.coalesce(F.sum((new & F.col("said").isNotNull()).cast("long")), F.lit(0)).alias("wrong"))
+    return _rates(whole.filter("keys > 0").withColumn("bits", F.lit(bits_for(stream.count() + known.count(), remainder_bits))))
+
+
+def _rates(whole: DataFrame) -> DataFrame:
     q, m0 = F.pow(F.lit(2.0), -F.col("bits")), F.col("keys") - F.col("new_keys")
-    derived = 1 - (F.pow(1 - q, m0) - F.pow(1 - q, F.col("keys"))) / (q * F.greatest(F.col("new_keys"), F.lit(1)))
+    # log1p and expm1 keep the digits that 1 - q loses when q is small
+    power = lambda m: F.expm1(m * F.log1p(-q))
+    derived = 1 - (power(m0) - power(F.col("keys"))) / (q * F.greatest(F.col("new_keys"), F.lit(1)))
+    # where even that leaves nothing of the difference to 1: m * q on average
+    derived = F.when(q * F.col("keys") < 1e-6, q * (m0 + F.col("keys") - 1) / 2).otherwise(derived)
     return whole.select("bits", "keys", "new_keys", "wrong", (F.col("wrong") / F.greatest("new_keys", F.lit(1))).alias("measured"), F.when(F.col("new_keys") == 0, 0.0).otherwise(derived).alias("derived"))

@@ -250,3 +250,16 @@ def test_error_rates_are_as_derived(spark):
         assert got[b].new_keys == 4000 and abs(got[b].measured - got[b].derived) < 0.2 * got[b].derived
     assert got[30].measured <= 0.001
     assert seen.error_rates(stream.limit(0), known.limit(0)).count() == 0
+
+
+def test_rates_of_the_filter_itself(spark, monkeypatch):
+    r = random.Random(8)
+    keys = [bytearray(r.randbytes(16)) for _ in range(3000)]
+    stream = spark.createDataFrame([(i, k) for i, k in enumerate([*keys, *keys[:200], None])], "id long, key binary")
+    known = spark.createDataFrame([(k,) for k in keys[:500]], "key binary")
+    got = seen.filter_rates(stream, known).collect()
+    assert [(x.keys, x.new_keys, x.wrong, x.measured, x.bits) for x in got] == [(3000, 2500, 0, 0.0, seen.bits_for(3701))]
+    assert got[0].derived == pytest.approx(2.0 ** -got[0].bits * (500 + 2999) / 2)
+    assert seen.filter_rates(stream.limit(0), known.limit(0)).count() == 0
+    monkeypatch.setattr(seen, "seen_before", lambda stream, *a: stream.filter("id < 600").select("id"))
+    assert [(x.new_keys, x.wrong) for x in seen.filter_rates(stream, known).collect()] == [(2500, 100)]
