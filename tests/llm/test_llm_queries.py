@@ -19,3 +19,9 @@ def test_same_as_sql(spark, small, con, name):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(SQL)))
 def test_runs(spark, small, name):
     assert queries.queries()[name](spark, small).count() > 0
+
+
+def test_rates_say_what_they_are_of(spark, small):
+    assert {(r.hash_name, r.asked) for r in queries.queries()["p1_wrong"](spark, small).collect()} == {(h, a) for h in queries.HASHES for a in ("knn_probe", "idx % 50 = 0")}
+    bits = [r.bits for r in queries.queries()["p6_error_rates"](spark, small).collect()]
+    assert len(bits) == len(set(bits)) == 5 and max(bits) > 40
