@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import image_hashes
 from ..functions.quality import Rules, big_enough, signed, well_shaped
-from ..operators.dedup import keep_first
+from ..operators.dedup import keep_first, missing_hash
 from ..operators.scanner import cleaned, scan, write_side_files
 from ..operators.setops import dedup_near, merge, remain
 from ..schema import DHASH, MD5, PHASH, SPECS, HashSpec
@@ -24,10 +24,14 @@ def _listed(paths: DataFrame, files: DataFrame) -> DataFrame:
     return paths.join(files.withColumn("path", local_path()), "path", "left")
 
 
+def _sized(paths: DataFrame, files: DataFrame, rules: Rules) -> DataFrame:
+    return _listed(paths, files).filter(big_enough(F.col("length"), rules) & signed(F.col("path"), F.col("content"))).select("idx", "path")
+
+
 def filter_files(paths: DataFrame, files: DataFrame, images: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``idx, path`` of the files that meet every rule. Signatures are looked at only in files of sufficient size, pixels
     only in files with the right signatures; a missing or undecodable file is dropped."""
-    sized = _listed(paths, files).filter(big_enough(F.col("length"), rules) & signed(F.col("path"), F.col("content"))).select("idx", "path")
+    sized = _sized(paths, files, rules)
     shapes = images.filter("height > 0").select(local_path().alias("path"), "height", "width")
     return sized.join(shapes, "path").filter(well_shaped(F.col("width"), F.col("height"), rules)).select("idx", "path")
 
@@ -102,18 +106,26 @@ def cmd_scan(spark: SparkSession, name: str, target: str, batch: int = 2000) ->
 def cmd_pipeline(spark: SparkSession, root: str, name: str, rules: Rules = Rules()) -> str:
     """filter, MD5, phash and dhash in turn; every stage leaves its file, named by the chain of suffixes.
 
-    All hashes of the kept files are computed in one pass over the pixels and used by later stages.
+    All hashes of the kept files are computed in one pass over the pixels and used by later stages. Files of sufficient
+    size and the right signatures that cannot be decoded go to ``.filt.rejected``, files that then have no hash to
+    ``.rejected`` behind the names of the stages before.
     """
-    kept = checkpointed(filter_files(read_paths(spark, name), read_files(spark, root), read_images(spark, root), rules))
+    sized = _sized(read_paths(spark, name), read_files(spark, root), rules)
+    shapes = checkpointed(_listed(sized, read_images(spark, root).select("path", "height", "width")))
+    decoded = F.coalesce(F.col("height") > 0, F.lit(False))
+    kept = checkpointed(shapes.filter(decoded & well_shaped(F.col("width"), F.col("height"), rules)).select("idx", "path"))
     at = f"{name}.filt"
     write_lines(_value(kept), at)
+    write_lines(_value(shapes.filter(~decoded)), f"{at}.rejected")
     digests = checkpointed(_hash_files(spark, root, kept, MD5))
     write_lines(hash_lines(digests, MD5), f"{at}.md5")
     rows = checkpointed(keep_first(digests, "md5"))
     at = f"{at}.md5.dedup"
     write_lines(_value(rows), at)
     looked = image_hashes(read_images(spark, root)).select("path", F.col("v_dhash").alias("dhash"), F.col("v_phash").alias("phash"))
-    rows = checkpointed(_listed(rows.select("idx", "path"), looked).filter("dhash IS NOT NULL"))
+    rows = checkpointed(_listed(rows.select("idx", "path"), looked))
+    write_lines(_value(missing_hash(rows, DHASH)), f"{at}.rejected")
+    rows = rows.filter("dhash IS NOT NULL")
     for spec in (PHASH, DHASH):
         write_lines(hash_lines(rows, spec), f"{at}.{spec.name}")
         left, pairs = dedup_near(rows, spec)

@@ -6,6 +6,8 @@ The tables hold no images, so texts stand in for files: their bytes for content,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -239,6 +241,17 @@ def scanner_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanner.summary(v.select("path"), v.select("path", "class")).select("class", F.col("n").cast("long").alias("n"))
 
 
+def without_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source, idx, path, hash_name``: each hash that a record lacks. dedup_*, remain_*, merge_*, dedup_md5_samples and
+    pipeline_full leave such records out, not as duplicates but because they cannot be compared."""
+    parts = []
+    for source, rows in (("sample_set", _samples(spark, sf_dir)), ("batch_set", _batches(spark, sf_dir))):
+        for spec in (DHASH, PHASH):
+            parts.append(dedup.missing_hash(rows, spec).select(F.lit(source).alias("source"), "idx", "path", F.lit(spec.name).alias("hash_name")))
+    parts.append(_samples(spark, sf_dir).filter("md5 IS NULL").select(F.lit("sample_set").alias("source"), "idx", "path", F.lit("md5").alias("hash_name")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule on the extension, equal MD5, then near phash, then near dhash, over the image records."""
     rows = _samples(spark, sf_dir).filter(quality.extension(F.col("path")).isin("jpg", "jpeg", "png", "webp"))
@@ -259,7 +272,7 @@ QUERIES = [
     md5_gen, dedup_md5, dedup_md5_samples, filter_ext, filter_size, filter_magic, filter_geometry, filter_quality, dhash_gen, phash_gen,
     whole_hashes, embedding_hash, popcount_hist, pairs_dhash, pairs_phash, pairs_banded, pairs_embedding, remain_dhash, remain_phash, merge_dhash, merge_phash,
     concat_lists, greedy_pairs, dedup_dhash, dedup_phash, hash_roundtrip, load_lines, pair_lines, scanner_classify, scanner_clean, scanner_summary,
-    pipeline_full, p5_found, p5_loaded,
+    pipeline_full, without_hash, p5_found, p5_loaded,
 ]
 
 

@@ -178,3 +178,15 @@ def test_growing_gallery_as_a_stream(spark, tmp_path):
     q = stream.writeStream.foreachBatch(accept_into(str(tmp_path / "g"), DHASH)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "g")).count() == 1
+
+
+def test_pipeline_keeps_undecoded_files_apart(spark, folder):
+    from pixelsieve.functions import quality
+
+    (folder / "broken.png").write_bytes(bytes.fromhex(quality.PNG_HEAD) + b"no picture " * 100 + bytes.fromhex(quality.PNG_TAIL))
+    (folder / "more").write_text("\n".join(str(folder / f"{c}.png") for c in ("a", "broken", "d")))
+    commands.cmd_pipeline(spark, str(folder), str(folder / "more"), Rules(min_bytes=500))
+    name = lambda f: sorted(r.value.rpartition("/")[2] for r in spark.read.text(str(folder / f)).collect())
+    assert name("more.filt") == ["a.png", "d.png"]
+    assert name("more.filt.rejected") == ["broken.png"]
+    assert name("more.filt.md5.dedup.rejected") == []

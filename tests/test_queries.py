@@ -48,3 +48,15 @@ def test_whole_texts_are_hashed(spark, tmp_path):
         width = int(np.ceil(np.sqrt(len(data))))
         gray = np.frombuffer(data.ljust(-(-len(data) // width) * width, b"\0"), np.uint8).reshape(-1, width)
         assert got[i] == (hashing.dhash_of(gray).hex(), hashing.phash_of(gray).hex())
+
+
+def test_every_record_is_compared_or_without_hash(spark, small):
+    q = queries.queries()
+    missing = {(r.source, r.hash_name, r.idx) for r in q["without_hash"](spark, small).collect()}
+    rows = spark.read.parquet(f"{small}/sample_set.parquet").collect()
+    for column, good in (("dhash", lambda r: len(r.v_dhash or b"") == 64), ("phash", lambda r: len(r.v_phash or b"") == 32), ("md5", lambda r: r.v_md5 is not None)):
+        assert {i for s, h, i in missing if (s, h) == ("sample_set", column)} == {r.idx for r in rows if not good(r)} != set()
+    new = spark.read.parquet(f"{small}/batch_set.parquet").collect()
+    left = {r.idx for r in q["remain_dhash"](spark, small).collect()}
+    lost = {i for s, h, i in missing if (s, h) == ("batch_set", "dhash")}
+    assert lost == {r.idx for r in new if len(r.v_dhash or b"") != 64} and not lost & left
