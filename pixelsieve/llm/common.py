@@ -15,7 +15,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import checkpointed, forget  # noqa: F401
 
@@ -134,6 +133,3 @@ class Text:
         return (self.prefix[start + length] - self.prefix[start]) * self.down[start]
 
 
-def bounded(df: DataFrame, rows: int, key: str) -> DataFrame:
-    """At most so many rows, spread over the table by a hash of the key."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)

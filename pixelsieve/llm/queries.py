@@ -41,18 +41,28 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of wrong neighbours that the lists of p1_found give, against a scan of everything without the hypothesis
-    test: of the probes, and of every record whose idx is divisible by 50, as ordinary records."""
+    test: of the probes, and of every record whose idx is divisible by 50, as ordinary records. Beside it the pairs that the lists
+    bring to the test, their share of all pairs, and the shares that the test abandons after the first block and altogether."""
     parts = []
     for name, nbits in HASHES.items():
         rows = _hash_rows(spark, sf_dir, name)
         probe = table(spark, sf_dir, "knn_probe").filter(F.col("hash_name") == name).select(F.col("idx").alias("id"))
         for asked, ids in (("knn_probe", probe), ("idx % 50 = 0", rows.filter("id % 50 = 0").select("id"))):
-            true = neighbours.nearest(rows, ids, nbits, exhaustive=True, confidence=float("inf")).select("id", "near_id")
+            true = neighbours.nearest(rows, ids, nbits, exhaustive=True, alpha=0.0).select("id", "near_id")
             got = neighbours.nearest(rows, ids, nbits).select("id", "near_id", F.lit(1).alias("hit"))
-            both = true.join(got, ["id", "near_id"], "left")
-            parts.append(both.agg(F.lit(name).alias("hash_name"), F.lit(asked).alias("asked"), F.count("*").alias("neighbours"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("wrong")))
-    share = F.col("wrong") / F.greatest(F.col("neighbours"), F.lit(1))
-    return reduce(DataFrame.unionByName, parts).withColumn("share", share)
+            wrong = true.join(got, ["id", "near_id"], "left").agg(F.count("*").alias("neighbours"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("wrong"))
+            left = lambda block: F.coalesce(F.sum(F.when(F.col("block") == block, F.col("pairs"))), F.lit(0))
+            work = neighbours.scan_work(rows, ids, nbits).agg(left(0).alias("compared"), left(1).alias("first"), left(nbits // 64).alias("last"))
+            present = rows.filter(F.length("bits") == nbits // 8)
+            sizes = present.agg(F.count("*").alias("rows")).crossJoin(present.join(ids.distinct(), "id", "left_semi").agg(F.count("*").alias("queries")))
+            parts.append(wrong.crossJoin(work).crossJoin(sizes).select(F.lit(name).alias("hash_name"), F.lit(asked).alias("asked"), "*"))  # of single rows
+    of = lambda a, b: a / F.greatest(b, F.lit(1))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select(
+        "hash_name", "asked", "neighbours", "wrong", of(F.col("wrong"), F.col("neighbours")).alias("share"), "compared",
+        of(F.col("compared"), F.col("rows") * F.col("queries")).alias("compared_share"),
+        of(F.col("compared") - F.col("first"), F.col("compared")).alias("abandoned_first"), of(F.col("compared") - F.col("last"), F.col("compared")).alias("abandoned"),
+    )
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
