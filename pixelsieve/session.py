@@ -5,22 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sieve-ckpt-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes the rows to the checkpoint folder (spark.checkpoint.dir) and returns the table read from there.
 
     A table survives the loss of executors, is compressed, and has its true size in the plans built on it; a plan
-    checkpoint would keep estimates, which multiply with every join of a loop until planning no longer ends. Only
-    where no folder is named, as in tests on one machine, a temporary one is set. Like Spark's own checkpoints, the
+    checkpoint would keep estimates, which multiply with every join of a loop until planning no longer ends. On one
+    machine, where no folder is named, a temporary one is set; on a cluster that is an error. Like Spark's own checkpoints, the
     tables stay until the folder is cleaned, but for those that forget() removes.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieve-ckpt-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._sieve_path = path
