@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, fixed, joined, joined_ints, mix64, pack_ints, words64
+from .common import by_bucket, checkpointed, fixed, joined, joined_ints, mix64, pack_ints, words64
 from .segments import expand
 
 TABLES = 4
@@ -388,9 +388,10 @@ class _Search:
         return self.packed.groupBy("cell").cogroup(probing.groupBy("cell"))
 
     def found(self) -> list[DataFrame]:
-        """What each round finds."""
+        """What each round finds; the next starts from it, so that it is written."""
         out: list[DataFrame] = []
         for levels in self.rounds:
+            out[-1:] = [checkpointed(x) for x in out[-1:]]
             out.append(self.cells(out[-1] if out else None).applyInArrow(self.scanner(_found, self.buckets, levels), _FOUND))
         return out
 
