@@ -11,12 +11,14 @@ wait. Partners are kept as the earliest batch per key and per hash, so copies ne
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, forget
-from .segments import CELLS, emit, measure, near_bits, plan_tables, probe_both, probe_held, sketch_bound
+from .segments import CELLS, emit, measure, near_bits, plan_tables, probe_both, probe_held
 
 BITS, BELOW = 512, 60
 MAX_ROUNDS = 10_000
@@ -27,6 +29,12 @@ def _bits() -> Column:
     return F.when(F.length("v_dhash") == BITS // 8, F.col("v_dhash"))
 
 
+def _new(batches: DataFrame) -> DataFrame:
+    """``idx, batch_id, keys, bits``: each record once, as in its first batch."""
+    new = batches.filter("batch_id IS NOT NULL AND idx IS NOT NULL").select(F.col("idx").cast("long").alias("idx"), F.struct(F.col("batch_id").cast("long").alias("batch_id"), "keys", _bits().alias("bits")).alias("r"))
+    return new.groupBy("idx").agg(F.min("r").alias("r")).select("idx", "r.*")
+
+
 def decide(history: DataFrame, batches: DataFrame, below: int = BELOW) -> DataFrame:
     """``batch_id, idx, is_case`` for each record of the batches.
 
@@ -36,8 +44,7 @@ def decide(history: DataFrame, batches: DataFrame, below: int = BELOW) -> DataFr
     64 bytes long match nothing. A record delivered repeatedly counts once, as in its first batch; rows without batch_id
     or idx are left out. Empty tables give no rows (batches) or no history (history).
     """
-    new = batches.filter("batch_id IS NOT NULL AND idx IS NOT NULL").select(F.col("idx").cast("long").alias("idx"), F.struct(F.col("batch_id").cast("long").alias("batch_id"), "keys", _bits().alias("bits")).alias("r"))
-    new = new.groupBy("idx").agg(F.min("r").alias("r")).select("idx", "r.*")
+    new = _new(batches)
     old = history.select("idx", "keys", _bits().alias("bits"))
     hashes = old.select("bits", (F.col("idx") * 2).alias("id"), F.lit(1).alias("old"), F.lit(0).alias("new"))
     hashes = hashes.union(new.select("bits", F.col("idx") * 2 + 1, F.lit(0), F.lit(1))).filter("bits IS NOT NULL AND id IS NOT NULL")
@@ -73,35 +80,13 @@ def decide(history: DataFrame, batches: DataFrame, below: int = BELOW) -> DataFr
     return state.select("batch_id", "idx", (F.col("status") == CASE).alias("is_case"))
 
 
-def brute_force(history: list[tuple], batches: list[tuple], below: int = BELOW) -> set[int]:
-    """idx of the cases, batch by batch; history (idx, keys, hash), batches (batch_id, idx, keys, hash); for tests."""
-    def bits(h):
-        return int.from_bytes(h) if h is not None and len(h) == BITS // 8 else None
-
-    known, cases = [(k, bits(h)) for _, k, h in history], set()
-    once: dict[int, tuple] = {}
-    for b, i, k, h in batches:
-        if b is not None and i is not None and (i not in once or b < once[i][0]):
-            once[i] = (b, k, bits(h))
-    for batch in sorted({b for b, _, _ in once.values()}):
-        taken = []
-        for i, (b, k, h) in once.items():
-            if b == batch:
-                if any((k is not None and k == k2) or (h is not None and h2 is not None and (h ^ h2).bit_count() < below) for k2, h2 in known):
-                    cases.add(i)
-                else:
-                    taken.append((k, h))
-        known += taken
-    return cases
-
-
 class HistoryIndex:
     """The accepted records as a growing index on shared storage, for batches that arrive one at a time.
 
     ``cells`` holds the packed segments of every accepted hash, ``records`` its key and hash. A batch is looked up against
     the stored segments as they are: the history is neither hashed nor grouped nor paired again, and what the batch
-    accepts is appended. The look-up is a pass over the stored cells with the batch's own held by each task, if the batch is small
-    (at most HELD_ROWS distinct hashes); a larger batch is joined by bucket. Only candidates are shuffled.
+    accepts is appended. The look-up is a pass over the stored cells and keys. If the batch is small (at most HELD_ROWS distinct
+    hashes), each task holds its cells and only candidates are shuffled; for a larger batch the stored cells are shuffled by bucket.
 
     Each batch writes a subfolder of its own that a repeated delivery overwrites, and reads only those of smaller
     batch_id, so a batch can be taken again after a failure. capacity sets the length of segments and may not change.
@@ -111,8 +96,7 @@ class HistoryIndex:
 
     def __init__(self, spark: SparkSession, path: str, capacity: int = 10_000_000, below: int = BELOW):
         self.spark, self.path, self.below = spark, path, below
-        self.k, self.fixed, self.tables = plan_tables(capacity, BITS, below)
-        self.bound = sketch_bound(BITS, below)
+        self.plan = plan_tables(capacity, BITS, below)
 
     def _stored(self, name: str, schema: str, batch_id: int) -> DataFrame:
         try:
@@ -128,9 +112,9 @@ class HistoryIndex:
 
     def _cells(self, classes: DataFrame, side: int) -> DataFrame:
         """Packed segments of ``bits, id``."""
-        k, fixed, tables = self.k, self.fixed, self.tables
+        plan = self.plan
         rows = classes.select("id", "bits", F.lit(side).cast("long").alias("side"))
-        return rows.mapInArrow(lambda x: emit(x, BITS // 8, k, fixed, tables), CELLS)
+        return rows.mapInArrow(lambda x: emit(x, BITS // 8, plan), CELLS)
 
     def add(self, records: DataFrame, batch_id: int) -> None:
         """Appends records ``idx, keys, v_dhash`` as accepted by a batch, without looking them up."""
@@ -149,22 +133,43 @@ class HistoryIndex:
         classes = checkpointed(rows.filter("bits IS NOT NULL").groupBy("bits").agg(F.min("idx").alias("id")))
         stored = self._stored("records", "idx long, keys string, bits binary", batch_id)
         old, new = self._stored("cells", CELLS, batch_id), self._cells(classes, 2)
-        k, fixed, bound = self.k, self.fixed, self.bound
+        plan = self.plan
         if classes.count() <= self.HELD_ROWS:
             held = {}
-            for r in new.collect():  # a bounded batch: at most HELD_ROWS * tables entries of 16 bytes
-                held.setdefault(r.bucket, []).append((bytes(r.vals), bytes(r.codes), bytes(r.sketches)))
+            for r in new.collect():  # a bounded batch: at most HELD_ROWS * tables entries of 12 bytes
+                held.setdefault(r.bucket, []).append((bytes(r.words), bytes(r.codes)))
             known = self.spark.sparkContext.broadcast(held)
-            pairs = old.mapInArrow(lambda x: probe_held(x, known.value, bound, k, fixed), "old long, new long")
+            pairs = old.mapInArrow(lambda x: probe_held(x, known.value, BITS, plan), "old long, new long")
         else:
-            pairs = old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(lambda a, b: probe_both(a, b, bound, k, fixed), "old long, new long")
+            pairs = old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(lambda a, b: probe_both(a, b, BITS, plan), "old long, new long")
         pairs = checkpointed(pairs.distinct())
         olds = stored.select(F.col("idx").alias("old"), F.col("bits").alias("bits_a")).join(pairs.select("old").distinct(), "old", "left_semi")
         both = pairs.join(olds, "old").join(classes.select(F.col("id").alias("new"), F.col("bits").alias("bits_b")), "new").select(F.col("old").alias("a"), F.col("new").alias("b"), "bits_a", "bits_b")
         below = self.below
         near = both.mapInArrow(lambda x: measure(x, BITS // 8, below), "a long, b long, distance int").select(F.col("b").alias("id")).distinct()
         by_hash = rows.join(classes.join(near, "id", "left_semi"), "bits", "left_semi").select("idx")
-        by_key = rows.join(stored.select("keys").distinct(), "keys", "left_semi").select("idx")
+        asked = rows.filter("keys IS NOT NULL").select("keys").distinct()
+        by_key = rows.join(stored.select("keys").join(asked, "keys", "left_semi").distinct(), "keys", "left_semi").select("idx")
         cases = checkpointed(by_hash.union(by_key).distinct())
         self.add(rows.join(cases, "idx", "left_anti").select("idx", "keys", F.col("bits").alias("v_dhash")), batch_id)
         return cases
+
+
+def arrive(history: DataFrame, batches: DataFrame, path: str, below: int = BELOW) -> DataFrame:
+    """``batch_id, idx, is_case`` as decide() gives it, by a HistoryIndex under ``path`` that takes the batches one at a time.
+
+    The driver reads the batch_ids. Each batch costs a pass over what is stored and work by its own size.
+    """
+    new = checkpointed(_new(batches).withColumnRenamed("bits", "v_dhash"))
+    ids = sorted(r.batch_id for r in new.select("batch_id").distinct().collect())
+    if not ids:
+        return history.sparkSession.createDataFrame([], "batch_id long, idx long, is_case boolean")
+    n = history.count() + new.count()
+    index = HistoryIndex(history.sparkSession, path, n, below)
+    index.add(history, ids[0] - 1)
+    out = []
+    for b in ids:
+        batch = new.filter(F.col("batch_id") == b)
+        cases = index.take(batch, b)
+        out.append(batch.join(cases.withColumn("is_case", F.lit(True)), "idx", "left").select("batch_id", "idx", F.coalesce("is_case", F.lit(False)).alias("is_case")))
+    return reduce(DataFrame.unionByName, out)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import history, near_records, neighbours, packing, seen, spans, tokens
-from .common import checkpointed, table
+from .common import checkpointed, shared_path, table
 from .components import components, links_of_pairs
 from .oracle import oracle_sql  # noqa: F401
 
@@ -78,8 +78,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records and cases of each batch."""
-    decided = history.decide(table(spark, sf_dir, "sample_set"), table(spark, sf_dir, "batch_set"))
+    """Records and cases of each batch, the batches taken one at a time by an index that grows with what they add."""
+    decided = history.arrive(table(spark, sf_dir, "sample_set"), table(spark, sf_dir, "batch_set"), shared_path(spark, "history"))
     return decided.groupBy("batch_id").agg(F.count("*").alias("records"), F.sum(F.col("is_case").cast("long")).alias("cases"))
 
 

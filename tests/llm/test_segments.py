@@ -24,21 +24,40 @@ def brute(values, sides, below):
     return {(i, j) for j in range(len(bits)) for i in range(j) if (sides[i] | sides[j]) & 2 and (bits[i] ^ bits[j]).bit_count() < below}
 
 
-def run(spark, values, sides, below, nbits=512):
+def run(spark, values, sides, below, nbits=512, **kw):
     df = spark.createDataFrame([(i, bytearray(v), s) for i, (v, s) in enumerate(zip(values, sides))], "id long, bits binary, side int")
-    got = S.near_bits(df, nbits, below).collect()
+    got = S.near_bits(df, nbits, below, **kw).collect()
     pairs = [(r.a, r.b) for r in got]
     assert len(pairs) == len(set(pairs))
     return set(pairs)
 
 
-@pytest.mark.parametrize("limit", [10**6, 100])
-def test_pairs_by_bits(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit", [10**6, 100, 20])
+@pytest.mark.parametrize("exact", [False, True])
+def test_pairs_by_bits(spark, monkeypatch, limit, exact):
     monkeypatch.setattr(S, "ROWS_A_BUCKET", limit)
     values = near(1, 500, 80)
     sides = [3] * len(values)
-    want, got = brute(values, sides, 60), run(spark, values, sides, 60)
-    assert got <= want and len(got) >= 0.995 * len(want)
+    assert run(spark, values, sides, 60, exact=exact) == brute(values, sides, 60)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_a_hot_list_in_small_cells(spark, monkeypatch, exact):
+    """A third of the rows differ in one or two bits each from one another."""
+    monkeypatch.setattr(S, "ROWS_A_BUCKET", 30)
+    monkeypatch.setattr(S, "PAIRS_AT_ONCE", 500)
+    r = random.Random(4)
+    base = int.from_bytes(r.randbytes(64))
+    values = [(base ^ 1 << i).to_bytes(64) for i in range(0, 400, 4)] + [r.randbytes(64) for _ in range(200)]
+    sides = [1 + 2 * (i % 5 != 0) for i in range(len(values))]
+    assert run(spark, values, sides, 60, exact=exact) == brute(values, sides, 60)
+
+
+@pytest.mark.parametrize("below, nbits", [(1, 64), (2, 64), (20, 64), (64, 64), (3, 128), (60, 256)])
+def test_other_sizes(spark, below, nbits):
+    values = near(below, 60, 30, nbits // 8)
+    for exact in (False, True):
+        assert run(spark, values, [3] * 60, below, nbits, exact=exact) == brute(values, [3] * 60, below)
 
 
 def test_sides(spark):
@@ -55,15 +74,24 @@ def test_no_rows(spark):
 
 def test_expected_misses():
     for n in (100, 10**5, 10**7, 10**9):
-        k, fixed, tables = S.plan_tables(n, 512, 60)
-        assert 8 <= k <= 32 and fixed < k
+        plan = S.plan_tables(n, 512, 60, miss=0.01)
+        assert plan.parts < plan.k <= 40 and S.plan_tables(n, 512, 60).tables > plan.tables
         r = np.random.default_rng(n % 1000)
+        at = S._positions(512, plan)
         hit = 0
-        for _ in range(300):
+        for _ in range(1000):
             flips = np.zeros(512, bool)
             flips[r.choice(512, 59, replace=False)] = True
-            hit += any((d := flips[r.choice(512, k, replace=False)]).sum() == 0 or (d.sum() == 1 and not d[:fixed].any()) for _ in range(tables))
-        assert hit >= 295
+            d = flips[at]
+            hit += ((d[:, : plan.k].sum(axis=1) <= S.FLIPS) & ~d[:, : plan.parts].any(axis=1) & (d[:, plan.k :].sum(axis=1) <= plan.bound)).any()
+        assert 970 <= hit <= 1000
+
+
+def test_exact_tables_cover_every_position():
+    plan = S.plan_tables(10**6, 512, 60, exact=True)
+    own = [at[: int(S._value_mask(512, plan, t)).bit_count()] for t, at in enumerate(S._positions(512, plan))]
+    assert sorted(np.concatenate(own).tolist()) == list(range(512))
+    assert len(own) * (S.FLIPS + 1) > 59
 
 
 def plain(a, b):
