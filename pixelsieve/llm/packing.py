@@ -2,10 +2,15 @@
 
 A grouping genetic algorithm: an individual is a division of the items into containers. Crossover puts whole
 well-filled containers of one parent into the other, takes out the containers that repeat an item (removing
-duplicates), and places the displaced items by best fit, largest first. Items are spread by a hash over shards of
-bounded size; ISLANDS populations evolve each shard apart and send their elite to the next island between EPOCHS. At
-the end the worst-filled containers of MERGE shards are opened and filled once more, so that a shard's last, half empty
-container doesn't count against it.
+duplicates), and places the displaced items; mutation empties a few containers and places what was in them. Displaced items
+first replace smaller ones wherever that leaves a container fuller, and what is then displaced goes by best fit, largest first.
+
+The population starts from best fit by falling size over all items: counts by size, of which there are at most CLASSES for
+a capacity however many items there are, are all it takes to say which rank of which size goes where. Its containers are
+dealt over shards, so that every shard begins with its part of that division and others of its own. ISLANDS populations evolve each
+shard apart and send their elite to the next island between EPOCHS, each until it needs no more containers than a lower bound says
+or its GENERATIONS are over. The best of a population is never lost, so the result never takes more containers than best fit
+over everything. At the end the worst-filled containers of MERGE shards are filled once more, if that takes fewer.
 
 An item larger than the capacity is cut into full containers and a rest, which is an item like others; nothing else is
 cut. All sizes are integers, every item is placed once, and a container's sum never exceeds the capacity.
@@ -15,21 +20,29 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined_ints, pack_ints, unpack_ints
+from .common import checkpointed, joined_ints, pack_ints, run_starts, unpack_ints
 
-ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 3, 2, 3
-#: A shard holds about so many containers, but at least so many and at most so many items.
-SHARD_CONTAINERS, LEAST_ITEMS, MOST_ITEMS = 120, 1_500, 40_000
+ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 4, 3, 15
+SHARD_ITEMS = 2_500
 MERGE = 32
 #: Containers emptier than this share are opened at the end.
 OPEN_BELOW = 0.95
+#: Sizes of larger capacities are rounded up to one of so many classes for the start.
+CLASSES = 65_536
+#: Free items that may replace others in one round, and rounds.
+CONSIDERED, ROUNDS = 12, 4
+#: Of one class so many items are ranked in one task.
+ITEMS_A_RANKING = 1_000_000
+#: Classes of the capacities worked off together.
+CLASSES_AT_ONCE = 4 * CLASSES
 
 
 def best_fit(sizes: np.ndarray, order: np.ndarray, capacity: int, bins: np.ndarray, fill: list[int]) -> None:
@@ -47,18 +60,132 @@ def best_fit(sizes: np.ndarray, order: np.ndarray, capacity: int, bins: np.ndarr
         insort(room, (left - s, b))
 
 
-def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> float:
-    """Few and unevenly filled containers are better: the negated number, plus the mean square of their filling."""
-    fill = np.bincount(bins, weights=sizes)
-    fill = fill[np.bincount(bins) > 0] / capacity
-    return float((fill**2).mean() - len(fill)) if len(fill) else 0.0
+def best_fit_of_counts(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Best fit by falling size of so many items of each size, none 0: (size, first rank, first container, items a container)
+    for runs of equal items, and the number of containers.
+
+    Containers of equal room are kept as ranges. Of equal items the fullest container that takes one takes as many as it can.
+    """
+    room: list[int] = []
+    ranges: dict[int, list[tuple[int, int]]] = {}
+    slots, bins = [], 0
+
+    def keep(left: int, first: int, n: int) -> None:
+        if n:
+            if left not in ranges:
+                ranges[left] = []
+                insort(room, left)
+            ranges[left].append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        rank, todo = 0, counts[size]
+        while todo:
+            at = bisect_left(room, size)
+            if at < len(room):
+                left = room[at]
+                first, n = ranges[left].pop()
+                if not ranges[left]:
+                    del ranges[left]
+                    room.pop(at)
+            else:
+                left, first, n = capacity, bins, -(-todo // (capacity // size))
+                bins += n
+            each = left // size
+            full = min(n, todo // each)
+            rest = todo - full * each if full < n else 0
+            if full:
+                slots.append((size, rank, first, each))
+            if rest:
+                slots.append((size, rank + full * each, first + full, rest))
+            keep(left - each * size, first, full)
+            keep(left - rest * size, first + full, int(rest > 0))
+            keep(left, first + full + (rest > 0), n - full - (rest > 0))
+            rank, todo = rank + full * each + rest, todo - full * each - rest
+    return slots, bins
+
+
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """Containers that any division needs (the bound of Martello and Toth)."""
+    s = np.sort(sizes)
+    total = np.r_[0, np.cumsum(s)]
+    half = np.searchsorted(s, capacity // 2, "right")  # items up to it are small
+    k = np.unique(np.r_[0, s[:half]])
+    small = np.searchsorted(s, k, "left")
+    large = np.searchsorted(s, capacity - k, "right")  # from there on nothing of size k fits beside
+    room = (large - half) * capacity - (total[large] - total[half])
+    more = np.maximum(0, -(-(total[half] - total[small] - room) // capacity))
+    return int((len(s) - half + more).max(initial=0))
+
+
+def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, float]:
+    """Few containers are better, then unevenly filled ones: smaller is better."""
+    fill = np.bincount(bins, weights=sizes) / capacity
+    return len(fill), -float((fill**2).sum())
+
+
+def _couples(order: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every two items of one container, for items in the order of their containers."""
+    start, length = run_starts(bins[order])
+    at = np.arange(len(order))
+    n = np.repeat(start + length, length) - at - 1
+    other = np.repeat(at, n) + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return order[np.repeat(at, n)], order[other]
+
+
+def replaced(sizes: np.ndarray, capacity: int, bins: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Puts one or two free items in the place of one or two smaller ones where that leaves a container fuller; returns
+    the items that are free then. bins is -1 for free items."""
+    for _ in range(ROUNDS):
+        if not len(free):
+            break
+        free = free[np.argsort(-sizes[free], kind="stable")]
+        some, rest = free[:CONSIDERED], free[CONSIDERED:]
+        placed = np.flatnonzero(bins >= 0)
+        order = placed[np.argsort(bins[placed], kind="stable")]
+        room = capacity - np.bincount(bins[placed], weights=sizes[placed]).astype(np.int64)
+        i, j = _couples(order, bins) if len(order) <= 16 * len(room) else (order[:0], order[:0])  # couples of many small items are too many
+        a, b = np.triu_indices(len(some), 1)
+        out_first, out_second = np.r_[order, i], np.r_[np.full(len(order), -1), j]
+        in_first, in_second = np.r_[np.arange(len(some)), a], np.r_[np.full(len(some), -1), b]
+        out_size, in_size = np.r_[sizes[order], sizes[i] + sizes[j]], np.r_[sizes[some], sizes[some[a]] + sizes[some[b]]]
+        of = bins[out_first]
+        gain = in_size[None] - out_size[:, None]
+        r, c = np.nonzero((gain > 0) & (gain <= room[of][:, None]))
+        if not len(r):
+            break
+        gain = gain[r, c]
+        best = np.argpartition(-gain, 200)[:200] if len(gain) > 200 else np.arange(len(gain))
+        best = best[np.lexsort((room[of[r[best]]], -gain[best]))]
+        taken, touched, gone = set(), set(), []
+        for x in best.tolist():
+            where, put = int(of[r[x]]), [int(y) for y in (in_first[c[x]], in_second[c[x]]) if y >= 0]
+            if where in touched or taken.intersection(put):
+                continue
+            touched.add(where)
+            taken.update(put)
+            for y in (out_first[r[x]], out_second[r[x]]):
+                if y >= 0:
+                    bins[y] = -1
+                    gone.append(int(y))
+            bins[some[put]] = where
+        free = np.r_[[y for k, y in enumerate(some.tolist()) if k not in taken], rest, gone].astype(np.int64)
+    return free
+
+
+def settled(sizes: np.ndarray, capacity: int, bins: np.ndarray) -> np.ndarray:
+    """A whole division again: free items (-1) placed by replacement, then by best fit."""
+    free = replaced(sizes, capacity, bins, np.flatnonzero(bins < 0))
+    placed = np.flatnonzero(bins >= 0)
+    names, bins[placed] = np.unique(bins[placed], return_inverse=True)
+    fill = np.bincount(bins[placed], weights=sizes[placed], minlength=len(names)).astype(np.int64).tolist()
+    best_fit(sizes, free[np.argsort(-sizes[free], kind="stable")], capacity, bins, fill)
+    return bins
 
 
-def started(sizes: np.ndarray, capacity: int, rng: np.random.Generator, exact: bool) -> np.ndarray:
-    """Best fit by falling size, or by sizes with some noise."""
+def started(sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """Best fit by falling size with some noise."""
     bins, fill = np.zeros(len(sizes), dtype=np.int64), []
-    keys = sizes if exact else sizes * rng.uniform(0.7, 1.0, len(sizes))
-    best_fit(sizes, np.argsort(-keys, kind="stable"), capacity, bins, fill)
+    best_fit(sizes, np.argsort(-sizes * rng.uniform(0.8, 1.0, len(sizes)), kind="stable"), capacity, bins, fill)
     return bins
 
 
@@ -67,142 +194,230 @@ def crossed(sizes: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity: i
     fill = np.bincount(giver, weights=sizes)
     full = np.argsort(-fill, kind="stable")[: max(1, len(fill) // 2)]
     chosen = np.zeros(len(fill), dtype=bool)
-    chosen[full[rng.random(len(full)) < 0.5]] = True
+    chosen[full[rng.random(len(full)) < rng.uniform(0.1, 0.6)]] = True
     injected = chosen[giver]
     gone = np.zeros(taker.max() + 1, dtype=bool)
     gone[taker[injected]] = True
     kept = ~injected & ~gone[taker]
-    child = np.zeros(len(sizes), dtype=np.int64)
-    names, child_in = np.unique(giver[injected], return_inverse=True)
-    child[injected] = child_in
-    names_kept, child_kept = np.unique(taker[kept], return_inverse=True)
-    child[kept] = child_kept + len(names)
-    displaced = np.flatnonzero(~injected & ~kept)
-    placed = injected | kept
-    new_fill = np.bincount(child[placed], weights=sizes[placed], minlength=len(names) + len(names_kept)).astype(np.int64).tolist()
-    best_fit(sizes, displaced[np.argsort(-sizes[displaced], kind="stable")], capacity, child, new_fill)
-    return child
+    child = np.full(len(sizes), -1)
+    child[injected] = giver[injected]
+    child[kept] = taker[kept] + len(fill)
+    return settled(sizes, capacity, child)
+
+
+def mutated(sizes: np.ndarray, bins: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """A few containers emptied, among them the emptiest, and their items placed again."""
+    fill = np.bincount(bins, weights=sizes)
+    n = min(len(fill), int(rng.integers(2, 6)))
+    emptied = np.r_[np.argsort(fill, kind="stable")[: max(1, n // 2)], rng.choice(len(fill), n, replace=False)]
+    return settled(sizes, capacity, np.where(np.isin(bins, emptied), -1, bins))
 
 
 def evolved(sizes: np.ndarray, capacity: int, people: list[np.ndarray], rng: np.random.Generator) -> list[np.ndarray]:
     """The best of the population and its children after some generations, best first."""
-    bound = -(-int(sizes.sum()) // capacity)
-    scored = sorted(((fitness(sizes, b, capacity), k, b) for k, b in enumerate(people)), key=lambda x: (-x[0], x[1]))
+    bound = lower_bound(sizes, capacity)
+    scored = sorted(((*fitness(sizes, b, capacity), k, b) for k, b in enumerate(people)), key=lambda x: x[:3])
     for g in range(GENERATIONS):
-        if len(scored) < 2 or len(np.unique(scored[0][2])) <= bound:
+        if len(scored) < 2 or scored[0][0] <= bound:
             break
         i, j = sorted(rng.choice(len(scored), 2, replace=False))
-        child = crossed(sizes, scored[i][2], scored[j][2], capacity, rng)
-        scored.append((fitness(sizes, child, capacity), 1000 + g, child))
-        scored = sorted(scored, key=lambda x: (-x[0], x[1]))[: max(2, len(people))]
-    return [b for _, _, b in scored]
-
-
-_STATE = "cap_id long, capacity long, shard long, island int, ids binary, parts binary, sizes binary, bins binary"
-_NAMES = [x.split()[0] for x in _STATE.split(", ")]
+        child = mutated(sizes, crossed(sizes, scored[i][3], scored[j][3], capacity, rng), capacity, rng)
+        other = mutated(sizes, scored[0][3], capacity, rng)
+        scored += [(*fitness(sizes, b, capacity), 1000 + 2 * g + k, b) for k, b in enumerate((child, other))]
+        scored = sorted(scored, key=lambda x: x[:3])[:POPULATION]
+    return [x[3] for x in scored[:POPULATION]]
 
 
-def _state(rows: list[tuple]) -> pa.Table:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=_NAMES)
+_STATE = "cap_id long, capacity long, shard long, island int, ids binary, parts binary, sizes binary, people array<binary>, done boolean"
+_SCHEMA = pa.schema([("cap_id", pa.int64()), ("capacity", pa.int64()), ("shard", pa.int64()), ("island", pa.int32()), ("ids", pa.binary()), ("parts", pa.binary()), ("sizes", pa.binary()), ("people", pa.list_(pa.binary())), ("done", pa.bool_())])
 
 
-def _out(key: tuple, capacity: int, island: int, people: list[np.ndarray], ids: bytes, parts: bytes, sizes: bytes, last: bool) -> list[tuple]:
-    """Rows of an island's population, and of its elite for the next island."""
-    kept = people[:1] if last else people[:POPULATION]
-    rows = [(*key, capacity, island, b) for b in kept]
-    if not last and ISLANDS > 1:
-        rows.append((*key, capacity, (island + 1) % ISLANDS, people[0]))
-    return [(c, cap, s, i, ids, parts, sizes, pack_ints(b)) for c, s, cap, i, b in rows]
+def _state(*rows: tuple) -> pa.Table:
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
 
-def _found(table: pa.Table) -> pa.Table:
-    """First epoch: items of a shard become the population of one island."""
-    cap_id, capacity, shard, island = (table[x][0].as_py() for x in ("cap_id", "capacity", "shard", "island"))
-    ids, parts, sizes = (table[x].to_numpy() for x in ("id", "part", "size"))
+def _gathered(table: pa.Table) -> pa.Table:
+    """The items of a shard, and their part of the first division."""
+    key = [table[x][0].as_py() for x in ("cap_id", "capacity", "shard")]
+    ids, parts, sizes, bins = (table[x].to_numpy() for x in ("id", "part", "size", "bin"))
     at = np.lexsort((parts, ids))
-    ids, parts, sizes = ids[at], parts[at], sizes[at]
-    rng = np.random.default_rng([abs(cap_id), shard, island, 1])
-    people = [started(sizes, capacity, rng, exact=island == 0 and k == 0) for k in range(POPULATION)]
-    people = evolved(sizes, capacity, people, rng)
-    return _state(_out((cap_id, shard), capacity, island, people, pack_ints(ids), pack_ints(parts), pack_ints(sizes), EPOCHS == 1))
+    names, bins = np.unique(bins[at], return_inverse=True)
+    sizes = sizes[at]
+    return _state((*key, -1, pack_ints(ids[at]), pack_ints(parts[at]), pack_ints(sizes), [pack_ints(bins)], len(names) <= lower_bound(sizes, key[1])))
 
 
-def _later(epoch: int) -> Callable[[pa.Table], pa.Table]:
-    return lambda table: _continued(table, epoch)
+def _epoch(epoch: int) -> Callable[[pa.Table], pa.Table]:
+    """An island's population and the elite that came to it; only the island's own row holds the items."""
 
+    def work(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["ids"] is None)
+        own = rows[0]
+        key, island, sizes = (own["cap_id"], own["capacity"], own["shard"]), own["island"], unpack_ints(own["sizes"])
+        rng = np.random.default_rng([abs(key[0]), key[2], island, epoch])
+        people = [unpack_ints(x) for r in rows for x in r["people"]]
+        if epoch == 1:
+            people += [started(sizes, key[1], rng) for _ in range(POPULATION - 1)]
+        people = [pack_ints(b) for b in evolved(sizes, key[1], people, rng)]
+        if epoch == EPOCHS:
+            return _state((*key, island, own["ids"], own["parts"], own["sizes"], people[:1], True))
+        elite = (*key, (island + 1) % ISLANDS, None, None, None, people[:1], False)
+        return _state((*key, island, own["ids"], own["parts"], own["sizes"], people, False), *[elite] * (ISLANDS > 1))
 
-def _continued(table: pa.Table, epoch: int) -> pa.Table:
-    """A later epoch: an island's population and the elite that came to it."""
-    cap_id, capacity, shard, island = (table[x][0].as_py() for x in ("cap_id", "capacity", "shard", "island"))
-    ids, parts, packed = (table[x][0].as_py() for x in ("ids", "parts", "sizes"))
-    sizes = unpack_ints(packed)
-    people = [unpack_ints(x) for x in sorted(table["bins"].to_pylist())]
-    people = evolved(sizes, capacity, people, np.random.default_rng([abs(cap_id), shard, island, epoch]))
-    return _state(_out((cap_id, shard), capacity, island, people, ids, parts, packed, epoch == EPOCHS))
+    return work
 
 
 def _finish(table: pa.Table) -> pa.Table:
-    """The better island of each shard; the emptiest containers of all shards here are filled once more."""
+    """The best island of each shard; the emptiest containers of all shards here are filled once more."""
     cap_id, capacity = table["cap_id"][0].as_py(), table["capacity"][0].as_py()
     best: dict[int, tuple] = {}
-    for r in table.select(["shard", "island", "ids", "parts", "sizes", "bins"]).to_pylist():
-        sizes, bins = unpack_ints(r["sizes"]), unpack_ints(r["bins"])
-        score = (-fitness(sizes, bins, capacity), r["island"])
+    for r in table.to_pylist():
+        sizes, bins = unpack_ints(r["sizes"]), unpack_ints(r["people"][0])
+        score = (*fitness(sizes, bins, capacity), r["island"])
         if r["shard"] not in best or score < best[r["shard"]][0]:
-            best[r["shard"]] = (score, unpack_ints(r["ids"]), unpack_ints(r["parts"]), sizes, np.unique(bins, return_inverse=True)[1])
+            best[r["shard"]] = (score, unpack_ints(r["ids"]), unpack_ints(r["parts"]), sizes, bins)
     shards = [v for _, v in sorted(best.items())]
     offset = np.cumsum([0] + [v[4].max() + 1 for v in shards])
     ids, parts, sizes = (np.concatenate([v[k] for v in shards]) for k in (1, 2, 3))
     bins = np.concatenate([v[4] + o for v, o in zip(shards, offset)])
-    fill = np.bincount(bins, weights=sizes)
-    opened = (fill < OPEN_BELOW * capacity)[bins]
+    opened = (np.bincount(bins, weights=sizes) < OPEN_BELOW * capacity)[bins]
     if opened.any():
         again, more = np.zeros(len(ids), dtype=np.int64), []
         loose = np.flatnonzero(opened)
         best_fit(sizes, loose[np.argsort(-sizes[loose], kind="stable")], capacity, again, more)
-        if len(more) <= len(np.unique(bins[opened])):
+        if len(more) < len(np.unique(bins[opened])):
             bins = np.where(opened, again + offset[-1], bins)
     names = np.unique(bins, return_inverse=True)[1]
-    group = table["shard"][0].as_py() // MERGE
-    n = len(ids)
+    n, group = len(ids), table["shard"][0].as_py() // MERGE
     return pa.table({"cap_id": np.full(n, cap_id), "id": ids, "part": parts, "size": sizes, "group": np.full(n, group), "bin": names})
 
 
+class _Start:
+    """Best fit of all items for one capacity, by ranks within the classes of sizes."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.unit = -(-capacity // CLASSES)
+        slots, self.bins = best_fit_of_counts(counts, capacity // self.unit)
+        slots = np.array(sorted(slots), dtype=np.int64).reshape(-1, 4)
+        self.key, (_, self.rank, self.first, self.each) = (slots[:, 0] << 40) + slots[:, 1], slots.T
+        self.shards = max(1, min(self.bins, round(sum(counts.values()) / SHARD_ITEMS)))
+        self.groups = -(-self.shards // MERGE)
+
+    def container(self, cls: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.key, (cls << 40) + rank, "right") - 1
+        return self.first[at] + (rank - self.rank[at]) // self.each[at]
+
+
+def _placed(batches: Iterator[pa.RecordBatch], starts: dict[int, _Start]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cap, cls, rank = (batch.column(i).to_numpy() for i in (0, 5, 6))
+        bins, shard = np.zeros(len(cap), dtype=np.int64), np.zeros(len(cap), dtype=np.int64)
+        for c in np.unique(cap):
+            at = np.flatnonzero(cap == c)
+            bins[at] = starts[c].container(cls[at], rank[at])
+            shard[at] = bins[at] % starts[c].shards
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(shard), pa.array(bins)], names=["cap_id", "capacity", "id", "part", "size", "shard", "bin"])
+
+
+def _sized(items: DataFrame) -> DataFrame:
+    return items.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("size"))
+
+
+def _capacities(capacities: DataFrame) -> list[list[tuple[int, int]]]:
+    """The settings, in blocks that share their work."""
+    rows = capacities.select(F.col("cap_id").cast("long"), F.col("capacity").cast("long")).filter("cap_id IS NOT NULL AND capacity > 0").distinct()
+    blocks: list[list[tuple[int, int]]] = []
+    room = 0
+    for cap in sorted({(r[0], r[1]) for r in rows.collect()}):
+        room -= min(cap[1], CLASSES)
+        if room < 0 or len(blocks[-1]) == 500 or any(c == cap[0] for c, _ in blocks[-1]):
+            blocks.append([])
+            room = CLASSES_AT_ONCE - min(cap[1], CLASSES)
+        blocks[-1].append(cap)
+    return blocks
+
+
+def _each(items: DataFrame, caps: list[tuple[int, int]]) -> DataFrame:
+    """Items for each capacity: ``cap_id, capacity, id, whole, size, cls``, whole the full containers that it takes, size the rest."""
+    settings = F.array(*[F.struct(F.lit(c).cast("long").alias("cap_id"), F.lit(cap).cast("long").alias("capacity")) for c, cap in caps])
+    each = items.select("id", "size", F.explode(settings).alias("c")).select("c.*", "id", "size")
+    whole = F.when(F.col("size") > F.col("capacity"), F.expr("size div capacity")).otherwise(F.lit(0).cast("long"))
+    each = each.withColumn("whole", whole).withColumn("size", F.expr("size - whole * capacity"))
+    unit = F.expr(f"(capacity + {CLASSES - 1}) div {CLASSES}")
+    return each.withColumn("unit", unit).withColumn("cls", F.expr("least((size + unit - 1) div unit, capacity div unit)")).drop("unit")
+
+
+def _starts(each: DataFrame, caps: list[tuple[int, int]]) -> dict[int, _Start]:
+    counts: dict[int, dict[int, int]] = {c: {} for c, _ in caps}
+    for r in each.filter("size > 0").groupBy("cap_id", "cls").count().collect():  # at most CLASSES a capacity, however many items
+        counts[r[0]][r[1]] = r[2]
+    return {c: _Start(counts[c], cap) for c, cap in caps}
+
+
+def _ranked(loose: DataFrame, total: int) -> DataFrame:
+    """Adds ``rank``, 0, 1, ... within cap_id and cls. A class that many items share is ranked in salted pieces."""
+    salts = max(1, math.ceil(total / ITEMS_A_RANKING))
+    salted = loose.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("cap_id", "cls", "salt").orderBy("id", "part")).cast("long") - 1
+    ranked = salted.withColumn("rank", rank)
+    if salts > 1:
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("cap_id", "cls").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sizes = salted.groupBy("cap_id", "cls", "salt").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
+        ranked = ranked.join(sizes, ["cap_id", "cls", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    return ranked.select("cap_id", "capacity", "id", "part", "size", "cls", "rank")
+
+
+def _packed(items: DataFrame, total: int, caps: list[tuple[int, int]]) -> DataFrame:
+    each = _each(items, caps)
+    starts = _starts(each, caps)
+    full = each.filter("whole > 0").select("cap_id", "capacity", "id", F.explode(F.expr("sequence(0L, whole - 1)")).alias("part"))
+    full = full.select("cap_id", "capacity", "id", "part", F.col("capacity").alias("size"), F.concat_ws("-", F.lit("full"), "id", "part").alias("container"))
+    groups = F.element_at(F.create_map(*[F.lit(x).cast("long") for c, _ in caps for x in (c, starts[c].groups)]), F.col("cap_id"))
+    # any container takes an item of size 0: the first of a group, so that no task has to hold them
+    none = each.filter("size = 0 AND whole = 0").select("cap_id", "capacity", "id", F.lit(0).cast("long").alias("part"), "size", F.concat_ws("-", F.pmod(F.xxhash64("id"), groups), F.lit(0)).alias("container"))
+    loose = _ranked(each.filter("size > 0").select("cap_id", "capacity", "id", F.col("whole").alias("part"), "size", "cls"), total)
+    placed = loose.mapInArrow(lambda x: _placed(x, starts), "cap_id long, capacity long, id long, part long, size long, shard long, bin long")
+    shards = checkpointed(placed.groupBy("cap_id", "shard").applyInArrow(_gathered, _STATE))
+    state = shards.filter("NOT done").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
+    for epoch in range(1, EPOCHS + 1):
+        state = state.groupBy("cap_id", "shard", "island").applyInArrow(_epoch(epoch), _STATE)
+    whole = shards.filter("done").unionByName(state)
+    merged = whole.withColumn("group", F.expr(f"shard div {MERGE}")).groupBy("cap_id", "group").applyInArrow(_finish, "cap_id long, id long, part long, size long, `group` long, bin long")
+    capacity_of = F.element_at(F.create_map(*[F.lit(x).cast("long") for c in caps for x in c]), F.col("cap_id"))
+    rest = merged.select("cap_id", capacity_of.alias("capacity"), "id", "part", "size", F.concat_ws("-", "group", "bin").alias("container"))
+    return reduce(DataFrame.unionByName, (rest, full, none))
+
+
+_RESULT = "cap_id long, capacity long, id long, part long, start long, size long, container string"
+
+
 def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
     """``cap_id, capacity, id, part, start, size, container``: where each item, or part of one, goes for each capacity.
 
-    items: ``id bigint`` (unique), ``size`` (integer); capacities: ``cap_id``, ``capacity`` (positive; a bounded table of
-    settings, at most 1,000 rows, which the driver reads). A null or negative size counts as 0; items of size 0 take a place in some
+    items: ``id bigint`` (unique), ``size`` (integer); capacities: ``cap_id``, ``capacity`` (positive; a table of settings, which the
+    driver reads and works off in blocks). A null or negative size counts as 0; items of size 0 take a place in some
     container too. Rows with a null id, cap_id or capacity, or a capacity below 1, are left out; repeated capacities
-    count once. ``container`` is unique within a cap_id. No items give no rows. Only an item larger than the capacity
+    count once. ``container`` is unique within cap_id and capacity. No items give no rows. Only an item larger than the capacity
     has several parts, at ``start`` 0, capacity, 2 * capacity and so on.
     """
-    caps = sorted({(r[0], r[1]) for r in capacities.select(F.col("cap_id").cast("long"), F.col("capacity").cast("long")).filter("cap_id IS NOT NULL AND capacity > 0").distinct().limit(1_001).collect()})
-    if len(caps) > 1_000:
-        raise ValueError("more than 1,000 capacities")
+    blocks = _capacities(capacities)
     spark = items.sparkSession
-    schema = "cap_id long, capacity long, id long, part long, start long, size long, container string"
-    items = items.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("size"))
-    if not caps:
-        return spark.createDataFrame([], schema)
-    items = checkpointed(items)  # sizes are costly and read several times
-    total = items.agg(F.count("*"), F.avg("size")).first()
-    if not total[0]:
-        return spark.createDataFrame([], schema)
-    per = {c: min(MOST_ITEMS, max(LEAST_ITEMS, int(SHARD_CONTAINERS * cap / max(total[1], 1)))) for c, cap in caps}
-    settings = F.array(*[F.struct(F.lit(c).cast("long").alias("cap_id"), F.lit(cap).cast("long").alias("capacity"), F.lit(max(1, math.ceil(total[0] / per[c]))).cast("long").alias("shards")) for c, cap in caps])
-    each = items.select("id", "size", F.explode(settings).alias("c")).select("id", "size", "c.*")
-    whole = F.when(F.col("size") > F.col("capacity"), F.expr("size div capacity")).otherwise(F.lit(0).cast("long"))
-    full = each.filter("size > capacity").select("cap_id", "capacity", "id", F.explode(F.expr("sequence(0L, size div capacity - 1)")).alias("part"))
-    full = full.select("cap_id", "capacity", "id", "part", (F.col("part") * F.col("capacity")).alias("start"), F.col("capacity").alias("size"), F.concat_ws("-", F.lit("full"), "id", "part").alias("container"))
-    loose = each.select("cap_id", "capacity", F.pmod(F.xxhash64("id"), F.col("shards")).alias("shard"), "id", whole.alias("part"), (F.col("size") - whole * F.col("capacity")).alias("size"))
-    loose = loose.filter((F.col("size") > 0) | (F.col("part") == 0)).select("*", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"))
-    key = ["cap_id", "shard", "island"]
-    state = loose.groupBy(*key).applyInArrow(_found, _STATE)
-    for epoch in range(2, EPOCHS + 1):
-        state = state.groupBy(*key).applyInArrow(_later(epoch), _STATE)
-    merged = state.withColumn("group", F.expr(f"shard div {MERGE}")).groupBy("cap_id", "group").applyInArrow(_finish, "cap_id long, id long, part long, size long, `group` long, bin long")
-    capacity_of = F.element_at(F.create_map(*[F.lit(x).cast("long") for c in caps for x in c]), F.col("cap_id"))
-    rest = merged.withColumn("capacity", capacity_of).select("cap_id", "capacity", "id", "part", (F.col("part") * F.col("capacity")).alias("start"), "size", F.concat_ws("-", "group", "bin").alias("container"))
-    return rest.unionByName(full)
+    if not blocks:
+        return spark.createDataFrame([], _RESULT)
+    items = checkpointed(_sized(items))  # sizes are costly and read several times
+    total = items.count()
+    if not total:
+        return spark.createDataFrame([], _RESULT)
+    out = reduce(DataFrame.unionByName, [_packed(items, total, caps) for caps in blocks])
+    return out.select("cap_id", "capacity", "id", "part", (F.col("part") * F.col("capacity")).alias("start"), "size", "container")
+
+
+def best_fit_alone(items: DataFrame, capacities: DataFrame) -> DataFrame:
+    """``cap_id, capacity, best_fit, least``: containers that best fit by falling size over all items takes, and the least
+    number that the sum of sizes allows; full containers of larger items included."""
+    items, rows = checkpointed(_sized(items)), []
+    for caps in _capacities(capacities):
+        each = _each(items, caps)
+        starts = _starts(each, caps)
+        sums = {r[0]: r for r in each.groupBy("cap_id").agg(F.sum("whole"), F.sum("size")).collect()}
+        rows += [(c, cap, int(sums[c][1]) + starts[c].bins, int(sums[c][1]) + -(-int(sums[c][2]) // cap)) for c, cap in caps if c in sums]
+    return items.sparkSession.createDataFrame(rows, "cap_id long, capacity long, best_fit long, least long")

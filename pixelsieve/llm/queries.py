@@ -111,16 +111,38 @@ def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks=ranks).select("doc_id", "ids"), ranks=ranks).select("doc_id", "text")
 
 
+def _token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), into="size").select("id", "size")
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = tokens.count_tokens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), into="size")
-    return packing.pack(sized.select("id", "size"), table(spark, sf_dir, "pack_capacity")).withColumnRenamed("id", "doc_id")
+    return packing.pack(_token_sizes(spark, sf_dir), table(spark, sf_dir, "pack_capacity")).withColumnRenamed("id", "doc_id")
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each capacity the containers used, the least number that the sum of sizes allows, and the unused share."""
-    used = p8_packed(spark, sf_dir).groupBy("cap_id", "capacity", "container").agg(F.sum("size").alias("fill"))
+    """For each capacity the containers used, those that best fit alone takes, the least number that the sum of sizes allows, and
+    the unused share."""
+    sizes, caps = checkpointed(_token_sizes(spark, sf_dir)), table(spark, sf_dir, "pack_capacity")
+    used = packing.pack(sizes, caps).groupBy("cap_id", "capacity", "container").agg(F.sum("size").alias("fill"))
     per = used.groupBy("cap_id", "capacity").agg(F.count("*").alias("containers"), F.sum("fill").alias("tokens"))
-    return per.withColumn("least", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))
+    both = per.join(packing.best_fit_alone(sizes, caps), ["cap_id", "capacity"])
+    return both.withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))
+
+
+def p8_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capacity the documents packed, and what must be 0: documents left out or packed twice, sizes that differ from the
+    text's, containers beyond the capacity, documents cut although they fit, containers beyond those of best fit alone."""
+    sizes, caps = checkpointed(_token_sizes(spark, sf_dir)), table(spark, sf_dir, "pack_capacity")
+    packed = checkpointed(packing.pack(sizes, caps))
+    by_doc = packed.groupBy("cap_id", "capacity", "id").agg(F.sum("size").alias("packed"), F.count("*").alias("n"), F.countDistinct("part").alias("parts"))
+    whole = sizes.filter("id IS NOT NULL")
+    docs = by_doc.join(whole, "id", "right").groupBy("cap_id", "capacity").agg(
+        F.count("n").alias("documents"), F.sum((F.col("packed") != F.col("size")).cast("long")).alias("wrong_size"),
+        F.sum((F.col("n") != F.col("parts")).cast("long")).alias("repeated"), F.sum(((F.col("n") > 1) & (F.col("size") <= F.col("capacity"))).cast("long")).alias("cut"),
+    )
+    bins = packed.groupBy("cap_id", "capacity", "container").agg(F.sum("size").alias("fill")).groupBy("cap_id", "capacity").agg(F.sum((F.col("fill") > F.col("capacity")).cast("long")).alias("overfull"), F.count("*").alias("containers"))
+    out = docs.join(bins, ["cap_id", "capacity"]).join(packing.best_fit_alone(sizes, caps), ["cap_id", "capacity"])
+    return out.select("cap_id", "capacity", "documents", "wrong_size", "repeated", "cut", "overfull", F.greatest(F.col("containers") - F.col("best_fit"), F.lit(0)).alias("beyond_best_fit"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +161,7 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     p1_found, p1_neighbours, p1_wrong, p2_found, p2_groups, p3_found, p3_batches, p4_found, p6_found, p6_error_rates, p7_ids, p7_text,
-    p8_packed, p8_fill, p9_found, p9_coverage, p9_spans,
+    p8_packed, p8_fill, p8_valid, p9_found, p9_coverage, p9_spans,
 ]
 
 

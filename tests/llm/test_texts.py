@@ -94,18 +94,74 @@ def check_packing(rows, sizes, caps):
     return {k: len({r.container for r in p}) for k, p in by.items()}
 
 
-def test_packing(spark, monkeypatch):
-    monkeypatch.setattr(packing, "LEAST_ITEMS", 100)
-    monkeypatch.setattr(packing, "SHARD_CONTAINERS", 10)
+def plain_best_fit(sizes, cap):
+    """Containers of best fit by falling size, item by item."""
+    room = []
+    for s in sorted((s for s in sizes if s), reverse=True):
+        at = min((x for x in range(len(room)) if room[x] >= s), key=lambda x: room[x], default=None)
+        if at is None:
+            room.append(cap)
+            at = -1
+        room[at] -= s
+    return len(room)
+
+
+@pytest.mark.parametrize("shard, ranking", [(2500, 10**6), (60, 50)])
+def test_packing(spark, monkeypatch, shard, ranking):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", shard)
+    monkeypatch.setattr(packing, "ITEMS_A_RANKING", ranking)
     r = random.Random(3)
     sizes = [r.choice([r.randrange(5), r.randrange(900), r.randrange(100, 300), 512, 5000]) for _ in range(900)] + [None, -4, 0, 1024, 1025, 2048]
-    caps = [1024, 4096, 700]
+    caps = [1024, 4096, 700, 100_000]
     rows = packing.pack(items_frame(spark, sizes), caps_frame(spark, caps)).collect()
     used = check_packing(rows, sizes, caps)
-    total = sum(max(s or 0, 0) for s in sizes)
+    alone = {r.cap_id: r for r in packing.best_fit_alone(items_frame(spark, sizes), caps_frame(spark, caps)).collect()}
     for k, n in used.items():
-        if caps[k] != 700:
-            assert n <= 1.04 * total / caps[k] + 1
+        rest = [max(s or 0, 0) for s in sizes]
+        full = sum(s // caps[k] for s in rest if s > caps[k])
+        rest = [s % caps[k] if s > caps[k] else s for s in rest]
+        if caps[k] <= packing.CLASSES:
+            assert alone[k].best_fit == full + plain_best_fit(rest, caps[k])
+        assert alone[k].least <= n <= alone[k].best_fit
+
+
+def test_best_fit_of_counts_is_best_fit():
+    r = random.Random(5)
+    for _ in range(60):
+        cap = r.randrange(1, 60)
+        sizes = [r.randrange(1, cap + 1) for _ in range(r.randrange(80))]
+        counts = {s: sizes.count(s) for s in sizes}
+        slots, bins = packing.best_fit_of_counts(counts, cap)
+        assert bins == plain_best_fit(sizes, cap)
+        start = packing._Start(counts, cap)
+        fill = {}
+        for s, n in counts.items():
+            for b in start.container(np.full(n, s), np.arange(n)).tolist():
+                fill[b] = fill.get(b, 0) + s
+        assert sorted(fill) == list(range(bins)) and max(fill.values(), default=0) <= cap
+
+
+def test_lower_bounds_hold_and_evolution_gains():
+    r = np.random.default_rng(7)
+    won = 0
+    for _ in range(12):
+        sizes = r.integers(200, 500, 300)
+        best, fill = np.zeros(300, np.int64), []
+        packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), 1000, best, fill)
+        bound = packing.lower_bound(sizes, 1000)
+        assert -(-int(sizes.sum()) // 1000) <= bound <= len(fill)
+        found = packing.evolved(sizes, 1000, [best, *(packing.started(sizes, 1000, r) for _ in range(3))], r)[0].max() + 1
+        assert bound <= found <= len(fill)
+        won += found < len(fill)
+    assert won >= 3
+    assert packing.lower_bound(np.array([6, 6, 6, 4]), 10) == 3 and packing.lower_bound(np.array([5, 5, 5]), 10) == 2
+
+
+def test_capacities_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CLASSES_AT_ONCE", 50)
+    sizes = [3, 9, 30, 8, 8, 1, 0] * 5
+    caps = [10, 20, 30, 40, 5]
+    check_packing(packing.pack(items_frame(spark, sizes), caps_frame(spark, caps)).collect(), sizes, caps)
 
 
 def test_packing_same_result_each_time(spark):
@@ -124,12 +180,10 @@ def test_packing_edge_cases(spark):
 
 
 def test_children_keep_every_item():
-    import numpy as np
-
     r = np.random.default_rng(1)
     for n in (1, 2, 50, 400):
         sizes = r.integers(0, 100, n)
-        people = [packing.started(sizes, 100, r, k == 0) for k in range(4)]
+        people = [packing.started(sizes, 100, r) for _ in range(4)]
         for p in [*people, packing.crossed(sizes, people[0], people[-1], 100, r), *packing.evolved(sizes, 100, people, r)]:
             assert len(p) == n and np.bincount(p, weights=sizes).max() <= 100
 
