@@ -39,6 +39,8 @@ r(idx, g) AS (SELECT a, a FROM e UNION SELECT r.idx, e.b FROM r JOIN e ON r.g =
 SELECT idx, min(g) AS group_idx FROM r GROUP BY idx""",
         "p6_found": """SELECT idx FROM (SELECT idx, v_md5, row_number() OVER (PARTITION BY v_md5 ORDER BY idx) AS n FROM sample_set WHERE v_md5 IS NOT NULL)
 WHERE n > 1 OR v_md5 IN (SELECT v_md5 FROM seen_md5)""",
+        "p6_exact": """WITH k AS (SELECT v_md5, min(i) AS i FROM (SELECT v_md5, -1::BIGINT AS i FROM seen_md5 UNION ALL SELECT v_md5, idx FROM sample_set) WHERE v_md5 IS NOT NULL GROUP BY v_md5)
+SELECT r AS remainder_bits, (SELECT count(*) FROM k) AS keys, (SELECT count(*) FROM k WHERE i >= 0) AS new_keys, 0::BIGINT AS missed FROM (VALUES (4), (8), (12), (32)) t(r)""",
         "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p8_valid": """SELECT cap_id::BIGINT AS cap_id, capacity::BIGINT AS capacity, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS documents,
   0::BIGINT AS wrong_size, 0::BIGINT AS repeated, 0::BIGINT AS cut, 0::BIGINT AS overfull, 0::BIGINT AS beyond_best_fit

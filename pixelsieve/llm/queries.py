@@ -97,8 +97,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short fingerprints, where wrong answers can be counted, and last the filter of p6_found itself."""
-    return seen.error_rates(*_digests(spark, sf_dir)).unionByName(seen.filter_rates(*_digests(spark, sf_dir)))
+    """The answers of p6_found's filter with 4, 8 and 12 remainder bits, where wrong ones can be counted, and with its own 32."""
+    return seen.error_rates(*_digests(spark, sf_dir))
+
+
+def p6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of p6_error_rates: the keys, the new ones, and that none that was seen is missed."""
+    return p6_error_rates(spark, sf_dir).select("remainder_bits", "keys", "new_keys", "missed")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +165,7 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    p1_found, p1_neighbours, p1_wrong, p2_found, p2_groups, p3_found, p3_batches, p4_found, p6_found, p6_error_rates, p7_ids, p7_text,
+    p1_found, p1_neighbours, p1_wrong, p2_found, p2_groups, p3_found, p3_batches, p4_found, p6_found, p6_error_rates, p6_exact, p7_ids, p7_text,
     p8_packed, p8_fill, p8_valid, p9_found, p9_coverage, p9_spans,
 ]
 

@@ -264,25 +264,43 @@ def test_filter_holds_and_merges():
     assert not none.has(np.array([0, 5], np.uint64)).any()
 
 
-def test_error_rates_are_as_derived(spark):
+def test_stored_filters_are_the_same(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for bits in (9, 20, 33, 50, 64):
+        for n in (0, 1, 500):
+            f = seen.QuotientFilter(np.unique(r.integers(0, 2**64 if bits == 64 else 2**bits, n, dtype=np.uint64)), bits)
+            g = seen.QuotientFilter.load(f.offsets.tobytes(), f.remainders.tobytes(), bits)
+            assert (g.size, g.shift, g.kind) == (f.size, f.shift, f.kind) and g.prints().tolist() == f.prints().tolist()
+
+
+def test_batches_meet_the_stored_filters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seen, "CHUNK", 100)
+    r = random.Random(9)
+    keys = [r.randbytes(8) for _ in range(600)]
+    index = seen.SeenFilter(spark, str(tmp_path / "seen"), 2000)
+    before = []
+    for b in range(4):
+        batch = [(1000 * b + i, r.choice(keys) if r.random() < 0.95 else None) for i in range(300 if b != 2 else 0)]
+        df = spark.createDataFrame([(i, None if k is None else bytearray(k), "x") for i, k in batch], "id long, key binary, bucket string")
+        got = {x.id for x in index.take(df).collect()}
+        assert got == {i for i in plain_seen(before + batch, []) if i >= 1000 * b}
+        before += batch
+
+
+def test_error_rates_are_those_of_the_filter(spark, monkeypatch):
     r = random.Random(7)
-    stream = spark.createDataFrame([(i, bytearray(r.randbytes(16))) for i in range(4000)], "id long, key binary")
-    known = spark.createDataFrame([(bytearray(r.randbytes(16)),) for _ in range(500)], "key binary")
-    got = {x.bits: x for x in seen.error_rates(stream, known, (10, 14, 30)).collect()}
-    for b in (10, 14):
-        assert got[b].new_keys == 4000 and abs(got[b].measured - got[b].derived) < 0.2 * got[b].derived
-    assert got[30].measured <= 0.001
-    assert seen.error_rates(stream.limit(0), known.limit(0)).count() == 0
-
-
-def test_rates_of_the_filter_itself(spark, monkeypatch):
-    r = random.Random(8)
-    keys = [bytearray(r.randbytes(16)) for _ in range(3000)]
+    keys = [bytearray(r.randbytes(16)) for _ in range(4000)]
     stream = spark.createDataFrame([(i, k) for i, k in enumerate([*keys, *keys[:200], None])], "id long, key binary")
-    known = spark.createDataFrame([(k,) for k in keys[:500]], "key binary")
-    got = seen.filter_rates(stream, known).collect()
-    assert [(x.keys, x.new_keys, x.wrong, x.measured, x.bits) for x in got] == [(3000, 2500, 0, 0.0, seen.bits_for(3701))]
-    assert got[0].derived == pytest.approx(2.0 ** -got[0].bits * (500 + 2999) / 2)
-    assert seen.filter_rates(stream.limit(0), known.limit(0)).count() == 0
+    known = spark.createDataFrame([(bytearray(r.randbytes(16)),) for _ in range(500)] + [(keys[0],)], "key binary")
+    got = {x.remainder_bits: x for x in seen.error_rates(stream, known, (2, 6, 32)).collect()}
+    for b in (2, 6):
+        assert got[b].new_keys == 3999 and got[b].keys == 4500 and abs(got[b].measured - got[b].derived) < 0.2 * got[b].derived
+        assert got[b].bits == seen.bits_for(4702, b) and got[b].measured <= 2.0**-b
+    assert (got[32].wrong, got[32].measured) == (0, 0.0) and got[32].derived == pytest.approx(2.0 ** -got[32].bits * (501 + 4499) / 2, rel=0.01)
+    assert all(x.missed == 0 for x in got.values())
+    assert seen.error_rates(stream.limit(0), known.limit(0), (8,)).count() == 0
     monkeypatch.setattr(seen, "seen_before", lambda stream, *a: stream.filter("id < 600").select("id"))
-    assert [(x.new_keys, x.wrong) for x in seen.filter_rates(stream, known).collect()] == [(2500, 100)]
+    assert [(x.missed, x.wrong) for x in seen.error_rates(stream, known, (8,)).collect()] == [(200, 599)]
+
