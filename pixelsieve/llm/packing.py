@@ -32,6 +32,7 @@ from .common import checkpointed, joined_ints, pack_ints, run_starts, unpack_int
 
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 4, 3, 15
 SHARD_ITEMS = 2_500
+ISLANDS_A_TASK = 8
 MERGE = 32
 #: Containers emptier than this share are opened at the end.
 OPEN_BELOW = 0.95
@@ -378,7 +379,10 @@ def _packed(items: DataFrame, total: int, caps: list[tuple[int, int]]) -> DataFr
     placed = loose.mapInArrow(lambda x: _placed(x, starts), "cap_id long, capacity long, id long, part long, size long, shard long, bin long")
     shards = checkpointed(placed.groupBy("cap_id", "shard").applyInArrow(_gathered, _STATE))
     state = shards.filter("NOT done").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
+    # few bytes but much work: a stated number of partitions isn't coalesced by size, and all epochs share it
+    tasks = max(12, math.ceil(sum(s.shards for s in starts.values()) * ISLANDS / ISLANDS_A_TASK))
     for epoch in range(1, EPOCHS + 1):
+        state = state.repartition(tasks, "cap_id", "shard", "island")
         state = state.groupBy("cap_id", "shard", "island").applyInArrow(_epoch(epoch), _STATE)
     whole = shards.filter("done").unionByName(state)
     merged = whole.withColumn("group", F.expr(f"shard div {MERGE}")).groupBy("cap_id", "group").applyInArrow(_finish, "cap_id long, id long, part long, size long, `group` long, bin long")
