@@ -5,8 +5,12 @@ array of pieces and, beside each, the rank of its join with the next; a step joi
 looks up the two ranks that change. Ranks are a literal: an array of small maps, chosen by a hash of the piece, because
 Spark searches a map from its start. Bytes are written as the characters U+0000 to U+00FF, so that pieces are strings.
 
+A step costs as much as the array is long. Words of more than LONG bytes are therefore kept in about sqrt(n) chunks, each
+with its lowest rank: a step looks for the lowest chunk and rebuilds that one only. (Spark still copies the state once a step.)
+
 Words repeat, so the encodings of distinct words are computed once where that pays: the HOT_WORDS words that
-most of at most HOT_DOCS texts hold are folded first and become a second literal. This is a cache of bounded size; a word outside
+most texts of a sample hold, about HOT_DOCS rows chosen by a hash from all parts of the table, are folded first and become a second
+literal. This is a cache of bounded size (words of at most HOT_BYTES bytes, counted by the executors); a word outside
 it is folded where it stands, so the result is the same whatever the cache holds. The encoding is one pass over the
 texts without a shuffle.
 """
@@ -15,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import json
-from collections import Counter
 from collections.abc import Callable
 
 import xxhash
@@ -27,8 +30,10 @@ PATTERN = r"""(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUCKETS = 1 << 15
 HOT_WORDS = 32_768
-#: The cache is filled from at most so many texts, and so many different words of each.
-HOT_DOCS, WORDS_A_DOC = 2_048, 2_000
+#: The cache is filled from about so many texts, with words of at most so many bytes.
+HOT_DOCS, HOT_BYTES = 4_096, 64
+#: Words of more bytes than this are folded in chunks.
+LONG = 256
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -38,8 +43,8 @@ def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value), with the value computed once: the fold of nothing, whose end sees the start. Unlike a transform it copies nothing."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, body)
 
 
 def _bucket(s: Column) -> Column:
@@ -78,15 +83,68 @@ def _merge(state: Column, ranks: Column) -> Column:
     return _let(F.array_min(r), lambda low: F.when(low.isNull(), state).otherwise(_let(F.array_position(r, low).cast("int"), at)))
 
 
+def _pieces(s: Column, ranks: Column) -> Column:
+    """The characters of s as pieces, and the rank of each one's join with the next."""
+    return _let(F.split(s, ""), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x, i: F.when(i + 1 < F.size(p), _lookup(ranks, F.concat(x, F.get(p, i + 1))))).alias("r")))
+
+
+def _chunk(p: Column, r: Column) -> Column:
+    return F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("low"))
+
+
+def _merge_chunk(chunks: Column, ranks: Column) -> Column:
+    """One merge in chunks of pieces, none of them empty. A chunk's last rank is that of its last piece with the next chunk's first."""
+
+    def at(c: Column, j: Column) -> Column:
+        """Merge of piece j of chunk c with the next one (both from 1)."""
+        here, after, before = F.get(chunks, c - 1), F.get(chunks, c), F.get(chunks, c - 2)
+        p, r, n = here["p"], here["r"], F.size(here["p"])
+        inside = j < n
+        # the chunk after, without the piece that goes into this one
+        rest = F.when(inside | after.isNull(), after).when(F.size(after["p"]) > 1, _chunk(F.slice(after["p"], F.lit(2), F.size(after["p"])), F.slice(after["r"], F.lit(2), F.size(after["p"]))))
+        later = F.slice(chunks, c + 2, F.size(chunks))
+        new = F.concat(F.get(p, j - 1), F.when(inside, F.get(p, j)).otherwise(F.get(after["p"], F.lit(0))))
+
+        def built(x: Column) -> Column:
+            new, rest, later = x["new"], x["rest"], x["later"]
+            following = F.coalesce(F.when(j + 1 < n, F.get(p, j + 1)), F.get(rest["p"], F.lit(0)), F.get(F.get(later, F.lit(0))["p"], F.lit(0)))
+            own = F.when(following.isNotNull(), _lookup(ranks, F.concat(new, following)))
+            left = F.when(j > 1, F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), F.array(_lookup(ranks, F.concat(F.get(p, j - 2), new))))).otherwise(F.slice(r, 1, 0))
+            mine = _chunk(F.concat(F.slice(p, F.lit(1), j - 1), F.array(new), F.slice(p, j + 2, n)), F.concat(left, F.array(own), F.slice(r, j + 2, n)))
+            m = F.size(before["p"])
+            joined = _lookup(ranks, F.concat(F.get(before["p"], m - 1), new))
+            earlier = F.when((j > 1) | before.isNull(), before).otherwise(_chunk(before["p"], F.concat(F.slice(before["r"], F.lit(1), m - 1), F.array(joined))))
+            some = F.filter(F.array(earlier, mine, rest), lambda x: x.isNotNull())
+            return F.concat(F.slice(chunks, F.lit(1), F.greatest(c - 2, F.lit(0))), some, later)
+
+        return _let(F.struct(new.alias("new"), rest.alias("rest"), later.alias("later")), built)
+
+    lows = F.transform(chunks, lambda x: x["low"])
+    place = lambda all_lows: _let(F.array_min(all_lows), lambda low: F.when(low.isNull(), chunks).otherwise(
+        _let(F.array_position(all_lows, low).cast("int"), lambda c: _let(F.array_position(F.get(chunks, c - 1)["r"], low).cast("int"), lambda j: at(c, j)))))
+    return _let(lows, place)
+
+
+def _fold_long(s: Column, ranks: Column) -> Column:
+    """The pieces of a long word."""
+
+    def cut(st: Column) -> Column:
+        n = F.size(st["p"])
+        size = F.ceil(F.sqrt(n)).cast("int")
+        chunks = _let(size, lambda b: F.transform(F.sequence(F.lit(0), ((n - 1) / b).cast("int")), lambda i: _chunk(F.slice(st["p"], i * b + 1, b), F.slice(st["r"], i * b + 1, b))))
+        done = _let(chunks, lambda first: F.aggregate(F.slice(st["p"], F.lit(2), n), first, lambda acc, _: _merge_chunk(acc, ranks)))
+        return F.flatten(F.transform(done, lambda x: x["p"]))
+
+    return _let(_pieces(s, ranks), cut)
+
+
 def fold(word: Column, ranks: Column) -> Column:
     """ids of a word (not empty)."""
     chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
     def merged(s: Column) -> Column:
-        pieces = F.split(s, "")
-        start = _let(pieces, lambda p: F.struct(p.alias("p"), F.transform(p, lambda x, i: F.when(i + 1 < F.size(p), _lookup(ranks, F.concat(x, F.get(p, i + 1))))).alias("r")))
-        done = _let(start, lambda st: F.aggregate(F.slice(st["p"], F.lit(2), F.size(st["p"])), st, lambda acc, _: _merge(acc, ranks)))
-        return F.transform(done["p"], lambda x: _lookup(ranks, x))
+        short = _let(_pieces(s, ranks), lambda st: F.aggregate(F.slice(st["p"], F.lit(2), F.size(st["p"])), st, lambda acc, _: _merge(acc, ranks))["p"])
+        return F.transform(F.when(F.length(s) > LONG, _fold_long(s, ranks)).otherwise(short), lambda x: _lookup(ranks, x))
 
     return _let(chars, lambda s: _let(_lookup(ranks, s), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(s))))
 
@@ -96,15 +154,11 @@ def words(text: Column) -> Column:
 
 
 def hot_words(docs: DataFrame, text: str, ranks: dict[bytes, int]) -> dict[str, list[int]]:
-    """Encodings of at most HOT_WORDS words, found in most of at most HOT_DOCS texts; only a cache.
-
-    The limit stops after the first partitions, so the rest of the corpus is not read for it.
-    """
-    some = docs.select(F.slice(F.array_distinct(words(F.col(text))), 1, WORDS_A_DOC).alias("w")).filter(F.col("w").isNotNull()).limit(HOT_DOCS)
-    count: Counter[str] = Counter()
-    for r in some.collect():
-        count.update(r.w)
-    top = sorted(count, key=lambda w: (-count[w], w))[:HOT_WORDS]
+    """Encodings of at most HOT_WORDS words that most texts of a hashed sample of the rows hold; only a cache."""
+    every = max(1, docs.count() // HOT_DOCS)
+    some = docs.select(text).filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
+    count = some.select(F.explode(F.array_distinct(words(F.col(text)))).alias("w")).filter(F.octet_length("w") <= HOT_BYTES).groupBy("w").count()
+    top = [r.w for r in count.orderBy(F.desc("count"), "w").limit(HOT_WORDS).collect()]
     if not top:
         return {}
     coded = docs.sparkSession.createDataFrame([(w,) for w in top], "w string").select("w", _let(rank_literal(ranks), lambda r: fold(F.col("w"), r)).alias("ids"))

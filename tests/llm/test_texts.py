@@ -40,6 +40,24 @@ def test_same_ids_as_the_reference_and_back(spark, ranks, reference):
         assert got[i].back == (t or "")
 
 
+def test_long_words(spark, ranks, reference):
+    r = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(r.choice(letters) for _ in range(n)) for n in (tokens.LONG - 1, tokens.LONG, tokens.LONG + 1, 700, 1500)]
+    texts += ["a" * 1001, "ab" * 300, "é" * 300, "日本語" * 150, "-=" * 300, "".join(r.choice("ab") for _ in range(900)), "".join(r.choice(["the", "ing", "a"]) for _ in range(300))]
+    got = {x.doc_id: x.ids for x in tokens.encode(frame(spark, texts), ranks=ranks).collect()}
+    assert got == {i: reference.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_the_cache_is_bounded_and_from_all_parts(spark, ranks, monkeypatch):
+    monkeypatch.setattr(tokens, "HOT_WORDS", 20)
+    monkeypatch.setattr(tokens, "HOT_BYTES", 8)
+    df = spark.createDataFrame([(f"part{i // 50} " + "x" * 9,) for i in range(200)], "text string").repartitionByRange(4, "text")
+    hot = tokens.hot_words(df, "text", ranks)
+    assert {"part", "0", "1", "2", "3", " "} >= {w for w in hot if w.strip() in "0123"} and {"0", "1", "2", "3"} <= set(hot)
+    assert len(hot) <= 20 and max(map(len, hot)) <= 8
+
+
 def test_without_the_cache(spark, ranks, reference, monkeypatch):
     monkeypatch.setattr(tokens, "HOT_WORDS", 3)
     df = frame(spark, TEXTS)
