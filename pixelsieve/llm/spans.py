@@ -7,16 +7,20 @@ place of the span. Texts that share a hashed window become a pair with the diffe
 pair is compared along that difference: every run of equal characters of the least length is found whole and exactly.
 
 Equal texts are one class, compared once. An anchor costs 6 bytes of hash and 2 of position in the shuffle.
+
+An anchor in more than CROWD places gives no pairs; a batch of texts sends no more than one place beyond that of it. Around such anchors all windows of
+the full length are looked at. Pairs are then those of classes with an equal one. How much of a text is shared needs no
+pairs there: a window is shared if two classes have it, which two of its places in each batch are enough to tell.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Text, by_bucket, checkpointed, joined, joined_ints, mix64, pack_ints, run_starts
@@ -60,41 +64,138 @@ def _slices(lengths: list[int], at_once: int = CHARS_AT_ONCE) -> Iterator[tuple[
         yield start, len(lengths)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], shortest: int, buckets: int, crowded: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Packs the anchors of the texts by bucket: hash, class and position, some texts at a time.
+def _first_places(h: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the values, of equal ones the first ``most``."""
+    order = np.argsort(h, kind="stable")
+    start, length = run_starts(h[order])
+    return np.sort(order[np.arange(len(h)) - np.repeat(start, length) < most])
+
 
-    With crowded not the anchors but all windows of the full length around those whose hash, cut to 48 bits, is among these.
-    """
+def _places(text: Text, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position and hash of the anchors, by text and position."""
     period, cover = cover_for(shortest)
     window, places = shortest - period + 1, np.array(cover)
+    # text by text the positions of the cover, cut to those that leave room for a window
+    n = (np.maximum(text.lengths - window, -1) // period + 1) * len(cover)
+    of = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = within // len(cover) * period + places[within % len(cover)]
+    ok = at + window <= text.lengths[of]
+    of, at = of[ok], at[ok]
+    return of, at, mix64(text.windows(text.starts[:-1][of] + at, window))
+
+
+def _around(text: Text, of: np.ndarray, at: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and position of all windows of the full length that hold one of the anchors."""
+    period = cover_for(shortest)[0]
+    around = np.unique((of << 40) + at + period - np.arange(period)[:, None])
+    of, at = around >> 40, (around & ((1 << 40) - 1)) - period
+    ok = (at >= 0) & (at + shortest <= text.lengths[of])
+    return of[ok], at[ok]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Text, list]]:
+    """Classes and their texts, some at a time, with what a third column says of them."""
     for batch in batches:
         cls = batch.column(0).to_numpy()
         _, first = np.unique(cls, return_index=True)  # copies within the batch
         cls, texts = cls[first], batch.column(1).take(pa.array(first)).to_pylist()
+        more = batch.column(2).take(pa.array(first)).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
         for begin, stop in _slices([len(x) for x in texts]):
-            text = Text(texts[begin:stop])
-            start, length = text.starts[:-1], text.lengths
-            # text by text the positions of the cover, cut to those that leave room for a window
-            n = (np.maximum(length - window, -1) // period + 1) * len(cover)
-            of = np.repeat(np.arange(len(n)), n)
-            within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            at = within // len(cover) * period + places[within % len(cover)]
-            ok = at + window <= length[of]
-            of, at = of[ok], at[ok]
-            h = mix64(text.windows(start[of] + at, window))
-            if crowded is not None:
-                hit = np.isin(h >> SHIFT, crowded)
-                around = np.unique((of[hit] << 40) + at[hit] + period - np.arange(period)[:, None])
-                of, at = around >> 40, (around & ((1 << 40) - 1)) - period
-                ok = (at >= 0) & (at + shortest <= length[of])
-                of, at = of[ok], at[ok]
-                h = mix64(text.windows(start[of] + at, shortest))
-            cells = []
-            for b, p in by_bucket((h % np.uint64(buckets)).astype(np.int64)):
-                k, counts = np.unique(of[p], return_counts=True)
-                cells.append((b, pack_ints(cls[begin + k]), pack_ints(counts), (h[p] >> SHIFT).astype(np.uint32).tobytes(), (h[p] >> np.uint64(48)).astype(np.uint16).tobytes(), _gaps(of[p], at[p])))
-            if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), (pa.int32(), *[pa.binary()] * 5))], names=["bucket", "classes", "counts", "low", "high", "gaps"])
+            yield cls[begin:stop], Text(texts[begin:stop]), more[begin:stop]
+
+
+_CELLS = "bucket int, classes binary, counts binary, low binary, high binary, gaps binary"
+
+
+def _cells(cells: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if cells:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), (pa.int32(), *[pa.binary()] * 5))], names=[x.split()[0] for x in _CELLS.split(", ")])
+
+
+def _cell(bucket: int, cls: np.ndarray, of: np.ndarray, at: np.ndarray, low: bytes, high: bytes) -> tuple:
+    """Places, by text and position, with their hashes."""
+    k, counts = np.unique(of, return_counts=True)
+    return bucket, pack_ints(cls[k]), pack_ints(counts), low, high, _gaps(of, at)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], shortest: int, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Packs the anchors of the texts by bucket: hash, class and position, at most ``most`` places of each."""
+    for cls, text, _ in _texts(batches):
+        of, at, h = _places(text, shortest)
+        few = _first_places(h, most)
+        of, at, h = of[few], at[few], h[few]
+        cells = ((b, p, (h[p] >> SHIFT)) for b, p in by_bucket((h % np.uint64(buckets)).astype(np.int64)))
+        yield from _cells([_cell(b, cls, of[p], at[p], x.astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint16).tobytes()) for b, p, x in cells])
+
+
+def _looked_at(batches: Iterator[pa.RecordBatch], shortest: int, crowded: np.ndarray | None) -> Iterator[tuple[np.ndarray, Text, np.ndarray, np.ndarray]]:
+    """All windows of the full length around anchors whose hash, cut to 48 bits, is among the crowded ones or, without them,
+    around the positions that a third column gives."""
+    for cls, text, more in _texts(batches):
+        if crowded is not None:
+            of, at, h = _places(text, shortest)
+            hit = np.isin(h >> SHIFT, crowded)
+            of, at = of[hit], at[hit]
+        else:
+            given = [joined_ints(x) for x in more]
+            of, at = np.repeat(np.arange(len(given)), [len(x) for x in given]), np.concatenate([np.empty(0, np.int64), *given])
+        yield cls, text, *_around(text, of, at, shortest)
+
+
+def _full_windows(batches: Iterator[pa.RecordBatch], shortest: int, buckets: int, crowded: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Like _anchors, of the windows that are looked at."""
+    for cls, text, of, at in _looked_at(batches, shortest, crowded):
+        h = mix64(text.windows(text.starts[:-1][of] + at, shortest))
+        cells = ((b, p, (h[p] >> SHIFT)) for b, p in by_bucket((h % np.uint64(buckets)).astype(np.int64)))
+        yield from _cells([_cell(b, cls, of[p], at[p], x.astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint16).tobytes()) for b, p, x in cells])
+
+
+def _of_two(cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places by their two hashes and class; whether each one's window has several classes; whether it is the first of its
+    window or the first of another class."""
+    order = np.lexsort((cls, two, one))
+    one, two, cls = one[order], two[order], cls[order]
+    new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(one)]
+    start = np.flatnonzero(new)
+    length = np.diff(np.r_[start, len(one)])
+    several = np.repeat(cls[start] != cls[start + length - 1], length) if len(start) else np.zeros(0, bool)
+    last = np.zeros(len(one), dtype=bool)
+    last[start + length - 1] = True
+    return order, several, new | last
+
+
+def _windows(batches: Iterator[pa.RecordBatch], shortest: int, buckets: int, crowded: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Packs the windows that are looked at with two hashes, together 128 bits. Those that several classes here have are known to be shared
+    and go to bucket -1; of them the places of two classes go on too."""
+    half = shortest // 2
+    for cls, text, of, at in _looked_at(batches, shortest, crowded):
+        start = text.starts[:-1][of] + at
+        one = mix64(text.windows(start, shortest))
+        two = mix64(text.windows(start, half)) ^ (text.windows(start + half, shortest - half) * np.uint64(0xD6E8FEB86659FD93))
+        order, several, ends = _of_two(cls[of], one, two)
+        known, go = np.sort(order[several]), np.sort(order[~several | ends])
+        cells = [_cell(-1, cls, of[known], at[known], b"", b"")] if len(known) else []
+        cells += [_cell(b, cls, of[go[p]], at[go[p]], one[go[p]].tobytes(), two[go[p]].tobytes()) for b, p in by_bucket((one[go] % np.uint64(buckets)).astype(np.int64))]
+        yield from _cells(cells)
+
+
+def _shared(cells: pa.Table) -> pa.Table:
+    """``code, starts``: the windows of each class that another class has too."""
+    cls, at = _unpacked(cells)
+    if cells["bucket"][0].as_py() >= 0:
+        order, several, _ = _of_two(cls, joined(cells["low"].to_pylist(), np.uint64), joined(cells["high"].to_pylist(), np.uint64))
+        cls, at = cls[order[several]], at[order[several]]
+    out = [(c, pack_ints(at[p])) for c, p in by_bucket(cls)]
+    return pa.table({"code": pa.array([c for c, _ in out], pa.int64()), "starts": pa.array([x for _, x in out], pa.binary())})
+
+
+def _joined_up(windows: pa.Table, shortest: int) -> pa.Table:
+    """``code, s, e``: the stretches that a class's windows cover."""
+    at = np.unique(joined_ints(windows["starts"].to_pylist()))
+    new = np.flatnonzero(np.r_[True, np.diff(at) > shortest])
+    last = np.r_[new[1:] - 1, len(at) - 1]
+    return pa.table({"code": np.full(len(new), windows["code"][0].as_py()), "s": at[new], "e": at[last] + shortest})
 
 
 def _gaps(of: np.ndarray, at: np.ndarray) -> bytes:
@@ -123,18 +224,23 @@ def _partners(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step += 1
 
 
+def _unpacked(cells: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Class and position of the places in cells."""
+    cls, at = [], []
+    for c, n, g in zip(cells["classes"].to_pylist(), cells["counts"].to_pylist(), cells["gaps"].to_pylist()):
+        n = joined_ints([n])
+        cls.append(np.repeat(joined_ints([c]), n))
+        at.append(_positions(g, n))
+    return np.concatenate(cls), np.concatenate(at)
+
+
 def _match(cells: pa.Table, most: int | None) -> pa.Table:
     """Pairs of classes with equal anchors: ``a < b`` and the position in a less that in b.
 
     An anchor in more than ``most`` places gives no pairs but its hash as ``a``, with null as ``b``. Without ``most`` the
     anchors are windows of the full length, and classes become pairs without a position.
     """
-    cls, at = [], []
-    for c, n, g in zip(cells["classes"].to_pylist(), cells["counts"].to_pylist(), cells["gaps"].to_pylist()):
-        n = joined_ints([n])
-        cls.append(np.repeat(joined_ints([c]), n))
-        at.append(_positions(g, n))
-    cls, at = np.concatenate(cls), np.concatenate(at)
+    cls, at = _unpacked(cells)
     h = joined(cells["low"].to_pylist(), np.uint32).astype(np.uint64) | (joined(cells["high"].to_pylist(), np.uint16).astype(np.uint64) << np.uint64(32))
     order = np.argsort(h, kind="stable")
     _, lengths = run_starts(h[order])
@@ -149,11 +255,15 @@ def _match(cells: pa.Table, most: int | None) -> pa.Table:
         crowded = h[start[length > most]].astype(np.int64)
         keep = np.repeat(length <= most, length)
     h, cls, at = h[keep], cls[keep], at[keep]
-    out = [np.empty((0, 3), dtype=np.int64)]
+    out, waiting = [np.empty((0, 3), dtype=np.int64)], 0
     for a, b in _partners(h):
         other = cls[a] != cls[b]  # sorted by class within equal hashes
         shift = at[a] - at[b] if most is not None else np.zeros(len(a), np.int64)
         out.append(np.unique(np.stack([cls[a], cls[b], shift], axis=1)[other], axis=0))
+        waiting += len(out[-1])
+        if waiting > 4_000_000:
+            out = [np.unique(np.concatenate(out), axis=0)]
+            waiting = 0
     pairs = np.unique(np.concatenate(out), axis=0)
     null = pa.nulls(len(crowded), pa.int64())
     shift = pa.array(pairs[:, 2].copy()) if most is not None else pa.nulls(len(pairs), pa.int64())
@@ -280,28 +390,47 @@ def text_classes(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return long.join(first, "digest").select("doc_id", "cls", "code")
 
 
-def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST, every: bool = False) -> DataFrame:
-    """``a, b, start_a, start_b, length``: the longest runs that the texts of two classes share; a < b.
+class _Search:
+    """Anchors of the texts and what they match."""
 
-    With every each run comes out whole. Without it, texts with windows in many places or at many shifts give runs that
-    may be cut, but cover the same characters; that is enough to tell pairs and coverage, and keeps the rows few.
-    classes as text_classes gives it, checkpointed. Positions and lengths are in code points from 0.
-    """
-    first = _ready(docs).filter(F.char_length("text") >= shortest)
-    total = first.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    period, cover = cover_for(shortest)
-    buckets = max(24, math.ceil(total * len(cover) / period / ANCHORS_A_BUCKET))
-    cells = first.select(F.xxhash64("text").alias("code"), "text").mapInArrow(lambda x: _anchors(x, shortest, buckets), "bucket int, classes binary, counts binary, low binary, high binary, gaps binary")
-    found = checkpointed(cells.groupBy("bucket").applyInArrow(lambda t: _match(t, CROWD), "a long, b long, shift long").distinct())
-    matches = found.filter("b IS NOT NULL")
-    # Windows in many texts, as a common preamble just too short has them, would give pairs without a run: look at the
-    # full length around them. All of them are looked at, CROWDED_AT_ONCE in a pass.
-    crowds = found.filter("b IS NULL").select("a")
-    passes = math.ceil(crowds.count() / CROWDED_AT_ONCE)
-    for k in range(passes):
-        some = np.sort(np.array([r.a for r in crowds.filter(F.pmod(F.xxhash64("a"), F.lit(passes)) == k).collect()], dtype=np.uint64))
-        full = first.select(F.xxhash64("text").alias("code"), "text").mapInArrow(lambda x, c=some: _anchors(x, shortest, buckets, c), "bucket int, classes binary, counts binary, low binary, high binary, gaps binary")
-        matches = matches.union(full.groupBy("bucket").applyInArrow(lambda t: _match(t, None), "a long, b long, shift long")).distinct()
+    def __init__(self, docs: DataFrame, shortest: int):
+        self.shortest, self.first = shortest, _ready(docs).filter(F.char_length("text") >= shortest)
+        total = self.first.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+        period, cover = cover_for(shortest)
+        self.buckets = buckets = max(24, math.ceil(total * len(cover) / period / ANCHORS_A_BUCKET))
+        self.coded = self.first.select(F.xxhash64("text").alias("code"), "text")
+        crowd = CROWD
+        cells = self.coded.mapInArrow(lambda x: _anchors(x, shortest, buckets, max(2, crowd + 1)), _CELLS)
+        found = checkpointed(cells.groupBy("bucket").applyInArrow(lambda t: _match(t, crowd), "a long, b long, shift long").distinct())
+        self.matches = found.filter("b IS NOT NULL")
+        self.crowds = found.filter("b IS NULL").select("a")
+        self.crowded = self.crowds.count()
+
+    def looking(self, what: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+        """Cells of the windows around crowded anchors, in one more pass over the texts: with the anchors in hand where they are few, else
+        with the places of each text, found by a join on the hash."""
+        shortest, buckets = self.shortest, self.buckets
+        if self.crowded <= CROWDED_AT_ONCE:
+            some = np.sort(np.array([r.a for r in self.crowds.collect()], dtype=np.uint64))
+            return self.coded.mapInArrow(lambda x: what(x, shortest, buckets, some), _CELLS)
+        places = self.coded.mapInArrow(lambda x: _listed(x, shortest), "code long, hash long, at long").join(self.crowds.withColumnRenamed("a", "hash"), "hash", "left_semi")
+        packed = places.groupBy("code").applyInArrow(_packed_places, "code long, places array<binary>")
+        return self.coded.join(packed, "code").select("code", "text", "places").mapInArrow(lambda x: what(x, shortest, buckets, None), _CELLS)
+
+
+def _listed(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text, one by one."""
+    for cls, text, _ in _texts(batches):
+        of, at, h = _places(text, shortest)
+        yield pa.RecordBatch.from_arrays([pa.array(cls[of]), pa.array((h >> SHIFT).astype(np.int64)), pa.array(at)], names=["code", "hash", "at"])
+
+
+def _packed_places(table: pa.Table) -> pa.Table:
+    return pa.table({"code": table["code"][:1], "places": pa.array([[pack_ints(np.unique(table["at"].to_numpy()))]], pa.list_(pa.binary()))})
+
+
+def _runs(search: _Search, matches: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
+    """The shared runs of matched classes, ``a, b, start_a, start_b, length``, a < b."""
     reps = classes.filter("doc_id = cls").select("code", "cls")
     x, y = (reps.toDF(s, f"cls_{s}") for s in "ab")
     named = matches.join(x, "a").join(y, "b")
@@ -309,15 +438,31 @@ def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST, e
     ends = checkpointed(pairs.select(F.col("cls_a").alias("doc_id")).union(pairs.select("cls_b")).distinct())
     if ends.count() <= BROADCAST_IDS:
         ends = F.broadcast(ends)  # then only the texts of pairs are shuffled
-    texts = first.join(ends, "doc_id", "left_semi")
+    texts = search.first.join(ends, "doc_id", "left_semi")
     x, y = (texts.select(F.col("doc_id").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
     both = pairs.join(x, "cls_a").join(y, "cls_b").select("cls_a", "cls_b", "shifts", "whole", "text_a", "text_b")
+    shortest = search.shortest
     runs = both.mapInArrow(lambda t: _extend(t, shortest, every), "a long, b long, start_a long, start_b long, length long")
     swap = F.col("a") > F.col("b")
     turned = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("b", "a"), ("start_a", "start_b"), ("start_b", "start_a"))]
     return runs.select(*turned, "length")
 
 
+def class_spans(docs: DataFrame, classes: DataFrame, shortest: int = SHORTEST, every: bool = False) -> DataFrame:
+    """``a, b, start_a, start_b, length``: the longest runs that the texts of two classes share; a < b.
+
+    With every each run comes out whole. Without it, texts with windows in many places or at many shifts give runs that
+    may be cut, but cover the same characters; that is enough to tell pairs and keeps the rows few.
+    classes as text_classes gives it, checkpointed. Positions and lengths are in code points from 0.
+    """
+    search = _Search(docs, shortest)
+    matches = search.matches
+    if search.crowded:  # a preamble just too short would give pairs without a run: look at the full length
+        full = search.looking(_full_windows).groupBy("bucket").applyInArrow(lambda t: _match(t, None), "a long, b long, shift long")
+        matches = matches.union(full).distinct()
+    return _runs(search, matches, classes, every)
+
+
 def shared_pairs(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """``doc_a, doc_b``, doc_a < doc_b: documents that share a run of at least ``shortest`` characters.
 
@@ -338,14 +483,19 @@ def shared_pairs(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
 def coverage(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """``doc_id, chars, shared_chars, shared_runs``: how much of each text lies in runs that occur in another document.
 
-    One row for each document with a doc_id; null and empty texts have 0. Overlapping runs count once.
+    One row for each document with a doc_id; null and empty texts have 0. Overlapping runs count once. Passages in more than CROWD
+    places make no pairs.
     """
     classes = checkpointed(text_classes(docs, shortest))
-    runs = class_spans(docs, classes, shortest)
+    search = _Search(docs, shortest)
+    runs = _runs(search, search.matches, classes, False)
     ends = runs.select(F.col("a").alias("cls"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e"))
-    ends = ends.union(runs.select("b", "start_b", F.col("start_b") + F.col("length"))).distinct()
-    from pyspark.sql import Window
-
+    ends = ends.union(runs.select("b", "start_b", F.col("start_b") + F.col("length")))
+    if search.crowded:
+        windows = search.looking(_windows).groupBy("bucket").applyInArrow(_shared, "code long, starts binary")
+        stretches = windows.groupBy("code").applyInArrow(lambda t: _joined_up(t, shortest), "code long, s long, e long")
+        ends = ends.union(stretches.join(classes.filter("doc_id = cls").select("code", "cls"), "code").select("cls", "s", "e"))
+    ends = ends.distinct()
     w = Window.partitionBy("cls").orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     parts = ends.withColumn("reach", reach).withColumn("from", F.greatest("s", F.coalesce("reach", "s")))

@@ -269,7 +269,23 @@ def test_crowded_windows(spark, monkeypatch, crowd, at_once):
     short, long = word(399), word(400)
     texts = {d: word(r.randrange(90)) + r.choice("xyz") + short + r.choice("xyz") + word(r.randrange(200)) + (long if d % 4 == 0 else "") + word(50) for d in range(40)} | make_texts(12)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {(x.doc_a, x.doc_b) for x in spans.shared_pairs(df).collect()} == plain_spans(texts, 400)[0]
+    pairs, cover = plain_spans(texts, 400)
+    assert {(x.doc_a, x.doc_b) for x in spans.shared_pairs(df).collect()} == pairs
+    assert {x.doc_id: x.shared_chars for x in spans.coverage(df).collect()} == cover
+
+
+def test_a_passage_in_all_texts_makes_no_pairs_for_coverage(spark, monkeypatch):
+    monkeypatch.setattr(spans, "CROWD", 5)
+    r = random.Random(6)
+    word = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    common = word(700)
+    texts = {d: word(spans.PERIOD * r.randrange(2)) + common + word(r.randrange(60)) for d in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    compared = []
+    runs = spans._runs
+    monkeypatch.setattr(spans, "_runs", lambda search, matches, *a: compared.append(matches.count()) or runs(search, matches, *a))
+    got = {x.doc_id: x.shared_chars for x in spans.coverage(df).collect()}
+    assert got == plain_spans(texts, 400)[1] and compared[0] < 60
 
 
 def test_long_repetitive_texts(spark):
