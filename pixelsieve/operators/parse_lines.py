@@ -2,8 +2,8 @@
 
 Structural indexing over a whole Arrow batch: the lines' bytes lie end to end; a mask of the quotes and the parity of
 its prefix sums, taken within each line, tell which commas end a field; record ends are known from the lengths. Counts
-per line and vector checks of the fields then give each line its reason, without looping over lines. Only the text of
-valid rows is cut out.
+per line and vector checks of the fields then give each line its reason, and gathers cut out the text and bytes of
+valid rows; nothing loops over lines. Lines come cut at their ends, so a quoted line break cannot occur.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ QUOTING, COLUMNS, VALUE = "quoting", "columns", "value"
 REASONS = np.array([None, QUOTING, COLUMNS, VALUE], dtype=object)
 HEX = np.zeros(256, dtype=bool)
 HEX[[*b"0123456789abcdef"]] = True
+NIBBLE = np.zeros(256, dtype=np.uint8)
+NIBBLE[[*b"0123456789abcdef"]] = np.arange(16)
 
 
 def _per_segment(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -32,10 +35,13 @@ def _per_segment(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 class Index:
     """Fields of a batch of lines: ``start``, ``end`` (of their bytes, quotes included) and ``line``."""
 
-    def __init__(self, lines: list[bytes]):
-        self.data = np.frombuffer(b"".join(lines), dtype=np.uint8)
-        length = np.array([len(x) for x in lines], dtype=np.int64)
-        self.begin = np.r_[0, np.cumsum(length)[:-1]].astype(np.int64) if len(lines) else np.empty(0, np.int64)
+    def __init__(self, lines: pa.Array):
+        lines = lines.fill_null("")
+        _, offsets, data = lines.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64) if len(lines) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] else np.empty(0, np.uint8)
+        length = np.diff(offsets)
+        self.begin = offsets[:-1] - offsets[0]
         stop = self.begin + length
         has = length > 0
         cut = np.zeros(len(lines), dtype=np.int64)
@@ -83,11 +89,6 @@ class Index:
         bad[of[odd]] = True
         return bad
 
-    def value(self, field: int) -> bytes:
-        """A well-formed field's bytes, quotes taken off."""
-        raw = self.data[self.start[field] : self.end[field]].tobytes()
-        return raw[1:-1].replace(b'""', b'"') if self.quoted[field] else raw
-
     def plain(self, field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of the fields without their enclosing quotes."""
         q = self.quoted[field].astype(np.int64)
@@ -108,71 +109,55 @@ def reasons(index: Index, columns: int = 2, hex_digits: int = 128) -> tuple[np.n
     return code, first
 
 
+def _binary(kind: pa.DataType, data: np.ndarray, length: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(length)].astype(np.int32)
+    return pa.Array.from_buffers(kind, len(length), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _texts(index: Index, field: np.ndarray) -> pa.Array:
+    """The text of well-formed fields, quotes taken off and doubled ones made one."""
+    s, e = index.plain(field)
+    length = e - s
+    at = np.repeat(s - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    text = _binary(pa.string(), index.data[at], length)
+    doubled = index.quoted[field] & (_per_segment(index.data == QUOTE, s, e) > 0)
+    return pc.if_else(pa.array(doubled), pc.replace_substring(text, '""', '"'), text) if doubled.any() else text
+
+
+def _bytes(index: Index, field: np.ndarray, hex_digits: int) -> pa.Array:
+    """The bytes that fields of so many hexadecimal digits stand for."""
+    s, _ = index.plain(field)
+    digits = NIBBLE[index.data[s[:, None] + np.arange(hex_digits)]] if len(s) else np.empty((0, hex_digits), np.uint8)
+    return _binary(pa.binary(), digits[:, ::2] << 4 | digits[:, 1::2], np.full(len(s), hex_digits // 2))
+
+
 def _parse(batches: Iterator[pa.RecordBatch], columns: int, hex_digits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        index = Index([(x or "").encode("utf-8", "surrogatepass") for x in texts])
+        index = Index(batch.column(2))
         code, first = reasons(index, columns, hex_digits)
         valid = code == 0
-        keys = [index.value(f).decode("utf-8", "surrogatepass") if v else None for f, v in zip(first, valid)]
-        digits = [index.value(f + columns - 1) if v else None for f, v in zip(first, valid)]
-        hashes = [bytes.fromhex(x.decode()) if x is not None else None for x in digits]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(hashes, pa.binary()), pa.array(REASONS[code].tolist(), pa.string())], names=["file_name", "line_no", "keys", "v_dhash", "reason"])
+        field = first[valid]
+        at = pa.array(np.cumsum(valid) - 1, mask=~valid)  # of each valid line its place among them, else null
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _texts(index, field).take(at), _bytes(index, field + columns - 1, hex_digits).take(at), pa.array(REASONS, pa.string()).take(pa.array(code))], names=["file_name", "line_no", "keys", "v_dhash", "reason"])
 
 
 def parse(lines: DataFrame, hex_digits: int = 128) -> DataFrame:
-    """``file_name, line_no, keys, v_dhash, reason``, one row for each different (file_name, line_no, line).
+    """``file_name, line_no, keys, v_dhash, reason``, one row for each row of ``lines``, in one pass without a shuffle.
 
     lines: ``file_name string``, ``line_no bigint``, ``line string``; other columns are ignored. A line is ``keys,hex``; one
     trailing carriage return is dropped. A valid line has ``keys`` and ``v_dhash`` and a null reason; a line that can't be
     loaded has only its reason: 'quoting', 'columns' or 'value', the first that holds. A null line counts as blank, so
-    its reason is 'columns'. An empty table gives no rows. A line delivered repeatedly counts once.
+    its reason is 'columns'. An empty table gives no rows. A line delivered repeatedly has a row each time.
     """
-    rows = lines.select("file_name", F.col("line_no").cast("long").alias("line_no"), "line").distinct()
+    rows = lines.select("file_name", F.col("line_no").cast("long").alias("line_no"), "line")
     return rows.mapInArrow(lambda x: _parse(x, 2, hex_digits), "file_name string, line_no long, keys string, v_dhash binary, reason string")
 
 
 def rejected(lines: DataFrame) -> DataFrame:
-    """``file_name, line_no, reason`` of the lines that can't be loaded, each once."""
+    """``file_name, line_no, reason`` of the lines that can't be loaded, each once; only these are shuffled."""
     return parse(lines).filter("reason IS NOT NULL").select("file_name", "line_no", "reason").distinct()
 
 
 def loaded(lines: DataFrame) -> DataFrame:
-    """``file_name, line_no, keys, v_dhash`` of the valid lines."""
-    return parse(lines).filter("reason IS NULL").drop("reason")
-
-
-def reason_of(line: str | None) -> str | None:
-    """The same for one line, character by character; for tests."""
-    text = (line or "").removesuffix("\r")
-    fields, i = [], 0
-    while True:
-        if text[i : i + 1] == '"':
-            value, i = "", i + 1
-            while True:
-                if i >= len(text):
-                    return QUOTING
-                if text[i] != '"':
-                    value, i = value + text[i], i + 1
-                elif text[i + 1 : i + 2] == '"':
-                    value, i = value + '"', i + 2
-                else:
-                    i += 1
-                    break
-            if i < len(text) and text[i] != ",":
-                return QUOTING
-        else:
-            end = text.find(",", i)
-            end = len(text) if end < 0 else end
-            value, i = text[i:end], end
-            if '"' in value:
-                return QUOTING
-        fields.append(value)
-        if i >= len(text):
-            break
-        i += 1
-    if len(fields) != 2:
-        return COLUMNS
-    if not fields[0] or len(fields[1]) != 128 or set(fields[1]) - set("0123456789abcdef"):
-        return VALUE
-    return None
+    """``file_name, line_no, keys, v_dhash`` of the valid lines, each different one once."""
+    return parse(lines).filter("reason IS NULL").drop("reason").distinct()
