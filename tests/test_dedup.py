@@ -120,11 +120,12 @@ def test_cover_is_the_plain_greedy_one(edges):
     assert all(a == b or a in gone or b in gone for a, b in edges)
 
 
-@pytest.mark.parametrize("together", [0, 10**6])
-def test_greedy_removal(spark, monkeypatch, together):
+@pytest.mark.parametrize("together, rounds", [(0, 60), (0, 2), (0, 0), (40, 60), (10**6, 60)])
+def test_greedy_removal(spark, monkeypatch, together, rounds):
     monkeypatch.setattr(graph, "ONE_TASK_EDGES", together)
+    monkeypatch.setattr(graph, "GREEDY_ROUNDS", rounds)
     r = random.Random(8)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(250)] + [(1000, i) for i in range(1001, 1040)] + [(5, 5)]
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(250)] + [(1000, i) for i in range(1001, 1040)] + [(2000 + i, 2001 + i) for i in range(12)] + [(5, 5)]
     got = {x.idx for x in graph.greedy_removal(spark.createDataFrame(edges, "i long, j long")).collect()}
     assert got == plain_cover(edges)
 
