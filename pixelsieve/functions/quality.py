@@ -19,6 +19,7 @@ class Rules:
     max_side: int = 2048
     max_ratio: float = 3.0
     max_channels: int = 3
+    strict_channels: bool = False
 
 
 def extension(path: Column) -> Column:

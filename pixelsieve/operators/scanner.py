@@ -26,11 +26,11 @@ TAG = "c_warning_or_error:"
 
 def reason_of(stderr: Column, exit_code: Column, timed_out: Column) -> Column:
     """The reason of a check's result; null if it ended well and wrote nothing."""
-    text = F.trim(F.array_join(F.filter(F.split(stderr, r"\R"), lambda x: F.trim(x) != ""), "\n"))
+    text = F.regexp_replace(F.array_join(F.filter(F.split(stderr, r"\R"), lambda x: x.rlike(r"\S")), "\n"), r"^\s+|\s+$", "")
     name = F.element_at(F.create_map(*[F.lit(x) for s in signal.Signals for x in (int(s), s.name)]), -exit_code)
     return (
         F.when(timed_out, F.lit("crash:timeout"))
-        .when(exit_code < 0, F.concat(F.lit("crash:signal "), F.coalesce(name, F.lit("unknown")), F.lit("("), -exit_code, F.lit(")")))
+        .when(exit_code < 0, F.concat(F.lit("crash:signal "), F.coalesce(name, (-exit_code).cast("string")), F.lit("("), -exit_code, F.lit(")")))
         .when(text != "", F.concat(F.lit(TAG), F.substring(text, 1, REASON_CHARS)))
         .when(exit_code != 0, F.concat(F.lit("error:exit "), exit_code.cast("string")))
     )
@@ -90,13 +90,46 @@ def png(b):
     except Exception as e: return "broken data: %s" % e
     return None if head[12] or got == want else "wrong amount of data"
 def jpeg(b):
-    return None if b[-2:] == b"\xff\xd9" and b"\xff\xda" in b else "truncated"
+    at, seen = 2, set()
+    while at + 4 <= len(b):
+        if b[at] != 255: return "no marker where one must be"
+        if b[at + 1] == 255: at += 1; continue
+        mark, n = b[at + 1], struct.unpack(">H", b[at + 2:at + 4])[0]
+        if mark == 0xd9: break
+        body = b[at + 4:at + 2 + n]
+        if n < 2 or len(body) < n - 2: return "truncated"
+        if 0xc0 <= mark <= 0xcf and mark not in (0xc4, 0xc8, 0xcc):
+            if len(body) < 6 or 0 in struct.unpack(">HH", body[1:5]): return "no size"
+            mark = 0xc0
+        seen.add(mark); at += 2 + n
+        if mark == 0xda:
+            if not {0xc0, 0xdb} <= seen: return "scan before its frame or tables"
+            restart = 0
+            while True:
+                at = b.find(b"\xff", at)
+                if at < 0 or at + 1 >= len(b): return "truncated"
+                if b[at + 1] == 0: at += 2
+                elif 0xd0 <= b[at + 1] <= 0xd7:
+                    if b[at + 1] != 0xd0 + restart: return "restart marker out of order"
+                    restart = (restart + 1) % 8; at += 2
+                else: break
+    return None if 0xda in seen and b[at:at + 2] == b"\xff\xd9" else "truncated"
+def webp(b):
+    end, at, kinds = 8 + struct.unpack("<I", b[4:8])[0], 12, []
+    if len(b) < end: return "truncated"
+    while at + 8 <= end:
+        name, n = struct.unpack("<4sI", b[at:at + 8])
+        if at + 8 + n > end: return "broken chunk " + name.decode("latin-1")
+        body = b[at + 8:at + 8 + n]
+        if name == b"VP8 " and body[3:6] != b"\x9d\x01\x2a" or name == b"VP8L" and body[:1] != b"\x2f": return "broken frame"
+        kinds.append(name); at += 8 + n + n % 2
+    return None if {b"VP8 ", b"VP8L", b"ANMF"} & set(kinds) else "no frame"
 for path in sys.argv[1:]:
     try: b = open(path, "rb").read()
     except Exception as e: fail("read_error:%s" % e)
     k = kind(b)
     if k is None: fail("decode_error:unknown format")
-    wrong = {"PNG": png, "JPEG": jpeg, "WEBP": lambda b: None if len(b) >= 8 + struct.unpack("<I", b[4:8])[0] else "truncated"}[k](b)
+    wrong = {"PNG": png, "JPEG": jpeg, "WEBP": webp}[k](b)
     if wrong: fail("decode_error:" + wrong)
     want = FORMATS.get(os.path.splitext(path)[1].lower().lstrip("."))
     if want and want != k: fail("fmt_mismatch:%s!=%s" % (k, want))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import image_hashes
@@ -29,11 +29,18 @@ def _sized(paths: DataFrame, files: DataFrame, rules: Rules) -> DataFrame:
 
 
 def filter_files(paths: DataFrame, files: DataFrame, images: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """``idx, path`` of the files that meet every rule. Signatures are looked at only in files of sufficient size, pixels
-    only in files with the right signatures; a missing or undecodable file is dropped."""
-    sized = _sized(paths, files, rules)
-    shapes = images.filter("height > 0").select(local_path().alias("path"), "height", "width")
-    return sized.join(shapes, "path").filter(well_shaped(F.col("width"), F.col("height"), rules)).select("idx", "path")
+    """``idx, path`` of the files that meet every rule; a missing or undecodable file is dropped.
+
+    files: ``path, length, content``; images: ``path, height, width, nChannels``. Spark's image source decodes what lies under
+    a folder before it can be joined with the list, so the decoded side is the whole folder's, looked at once.
+    """
+    shapes = images.filter("height > 0").select(local_path().alias("path"), "height", "width", "nChannels")
+    return _sized(paths, files, rules).join(shapes, "path").filter(_shaped(rules)).select("idx", "path")
+
+
+def _shaped(rules: Rules) -> Column:
+    """Decoders in colour give three channels whatever the file has, so only strict rules look at the file's own number."""
+    return well_shaped(F.col("width"), F.col("height"), rules, F.col("nChannels") if rules.strict_channels else None)
 
 
 def _value(rows: DataFrame) -> DataFrame:
@@ -110,10 +117,12 @@ def cmd_pipeline(spark: SparkSession, root: str, name: str, rules: Rules = Rules
     size and the right signatures that cannot be decoded go to ``.filt.rejected``, files that then have no hash to
     ``.rejected`` behind the names of the stages before.
     """
+    images = read_images(spark, root)
+    looked = checkpointed(images.select("path", "height", "width", "nChannels").join(image_hashes(images), "path"))
     sized = _sized(read_paths(spark, name), read_files(spark, root), rules)
-    shapes = checkpointed(_listed(sized, read_images(spark, root).select("path", "height", "width")))
+    shapes = checkpointed(_listed(sized, looked))
     decoded = F.coalesce(F.col("height") > 0, F.lit(False))
-    kept = checkpointed(shapes.filter(decoded & well_shaped(F.col("width"), F.col("height"), rules)).select("idx", "path"))
+    kept = checkpointed(shapes.filter(decoded & _shaped(rules)).select("idx", "path"))
     at = f"{name}.filt"
     write_lines(_value(kept), at)
     write_lines(_value(shapes.filter(~decoded)), f"{at}.rejected")
@@ -122,8 +131,7 @@ def cmd_pipeline(spark: SparkSession, root: str, name: str, rules: Rules = Rules
     rows = checkpointed(keep_first(digests, "md5"))
     at = f"{at}.md5.dedup"
     write_lines(_value(rows), at)
-    looked = image_hashes(read_images(spark, root)).select("path", F.col("v_dhash").alias("dhash"), F.col("v_phash").alias("phash"))
-    rows = checkpointed(_listed(rows.select("idx", "path"), looked))
+    rows = checkpointed(rows.select("idx", "path").join(shapes.select("idx", F.col("v_dhash").alias("dhash"), F.col("v_phash").alias("phash")), "idx"))
     write_lines(_value(missing_hash(rows, DHASH)), f"{at}.rejected")
     rows = rows.filter("dhash IS NOT NULL")
     for spec in (PHASH, DHASH):

@@ -60,10 +60,15 @@ def _bits(cells: str, n: int) -> str:
     return f"array_to_string(list_transform(range(0, {n // 4}), lambda q: substr('0123456789abcdef', (8 * ({cells})[4 * q + 1] + 4 * ({cells})[4 * q + 2] + 2 * ({cells})[4 * q + 3] + ({cells})[4 * q + 4] + 1)::INT, 1)), '')"
 
 
+#: The means of the code points of equal stretches of the whole text.
+GRID = """t AS (SELECT doc_id, length(text)::BIGINT AS n, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT) AS a FROM documents),
+p AS (SELECT doc_id, CASE WHEN n > 0 THEN list_transform(range(0, {0}), lambda k: CASE WHEN (k + 1) * n // {0} > k * n // {0}
+  THEN (list_sum(a[k * n // {0} + 1 : (k + 1) * n // {0}]) // ((k + 1) * n // {0} - k * n // {0}))::BIGINT ELSE a[k * n // {0} + 1] END) END AS g FROM t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     ext_keys, ext_path = EXT.format("keys"), EXT.format("path")
     jpeg = "ends_with(lower(path), '.jpg') OR ends_with(lower(path), '.jpeg')"
-    points = "list_transform(range(1, {0}), lambda k: unicode(substr(text, k, 1)))"
     return {
         "md5_gen": f"WITH {FILES} SELECT doc_id, md5(content) AS md5 FROM files",
         "dedup_md5": f"WITH {FILES} SELECT min(doc_id) AS idx, md5(content) AS md5 FROM files GROUP BY md5(content)",
@@ -76,12 +81,12 @@ WHERE NOT ({jpeg} OR ends_with(path, '.png')) OR doc_id // 4 % 4 = 0""",
 WHERE {SHAPED.format('width', 'height')}""",
         "filter_quality": f"""WITH {FILES}, sides AS (SELECT doc_id, (length(text) // 4)::INT AS w, (length(title) * 10)::INT AS h FROM documents)
 SELECT doc_id, path FROM files JOIN sides USING (doc_id) WHERE octet_length(content) >= 1000 AND NOT ({jpeg} OR ends_with(path, '.png')) AND {SHAPED.format('w', 'h')}""",
-        "dhash_gen": f"""WITH p AS (SELECT doc_id, {points.format(290)} AS g FROM documents WHERE length(text) >= 289),
+        "dhash_gen": f"""WITH {GRID.format(289)},
 b AS (SELECT doc_id, list_concat(list_transform(range(0, 256), lambda k: (g[k // 16 * 17 + k % 16 + 1] < g[k // 16 * 17 + k % 16 + 2])::INT), list_transform(range(0, 256), lambda k: (g[k % 16 * 17 + k // 16 + 1] < g[k % 16 * 17 + k // 16 + 18])::INT)) AS c FROM p)
-SELECT doc_id, {_bits('c', 512)} AS dhash FROM b""",
-        "phash_gen": f"""WITH p AS (SELECT doc_id, {points.format(257)} AS g FROM documents WHERE length(text) >= 256),
+SELECT doc_id, CASE WHEN c IS NOT NULL AND len(c) > 0 AND c[1] IS NOT NULL THEN {_bits('c', 512)} END AS dhash FROM b""",
+        "phash_gen": f"""WITH {GRID.format(256)},
 m AS (SELECT doc_id, g, list_aggregate(g, 'median') AS m FROM p), b AS (SELECT doc_id, list_transform(g, lambda v: (v > m)::INT) AS c FROM m)
-SELECT doc_id, {_bits('c', 256)} AS phash FROM b""",
+SELECT doc_id, CASE WHEN c IS NOT NULL AND c[1] IS NOT NULL THEN {_bits('c', 256)} END AS phash FROM b""",
         "embedding_hash": f"""WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS g FROM embeddings WHERE len(embedding) = 64),
 s AS (SELECT vec_id, g, list_sort(g) AS o FROM p), b AS (SELECT vec_id, list_transform(g, lambda v: (v > (o[32] + o[33]) / 2)::INT) AS c FROM s)
 SELECT vec_id, {_bits('c', 64)} AS hash FROM b""",
@@ -99,6 +104,7 @@ SELECT x.vec_id AS i, y.vec_id AS j, bit_count(xor(x.c, y.c))::INT AS diff FROM
         "merge_phash": _merge("phash", 50),
         "concat_lists": "SELECT idx, path, 0 AS part FROM merged_list UNION ALL SELECT idx, keys, 1 FROM sample_set",
         "greedy_pairs": f"""WITH RECURSIVE {_greedy("SELECT m_i AS a, m_j AS b FROM pair_t WHERE m_diff BETWEEN 1 AND 59")} SELECT v AS idx FROM gone""",
+        "greedy_rounds": f"""WITH RECURSIVE {_greedy("SELECT m_i AS a, m_j AS b FROM pair_t WHERE m_diff BETWEEN 1 AND 59")} SELECT v AS idx FROM gone""",
         "dedup_dhash": _dedup("dhash", 60),
         "dedup_phash": _dedup("phash", 50),
         "pipeline_full": f"""WITH RECURSIVE {SAMPLES},

@@ -1,20 +1,25 @@
 """The operators over the driver's tables, and the same results as SQL for DuckDB.
 
-The tables hold no images, so texts stand in for files: their bytes for content, the code points of their first 289 and
-256 characters for a 17 x 17 and a 16 x 16 grid, or all their bytes for the levels of a gray image (whole_hashes). Hashes, keys and pairs of images are taken from the project's tables.
+The tables hold no images, so texts stand in for files: their bytes for content, the means of their code points over equal stretches of
+the whole text for a 17 x 17 and a 16 x 16 grid, or all their bytes for the levels of a gray image (whole_hashes). Hashes, keys and pairs
+of images are taken from the project's tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, hashing, quality
 from ..operators import dedup, graph, parse_lines, scanner, setops
 from ..schema import DHASH, PHASH, HashSpec
-from ..sources.text import split_line
+from ..sources.text import hash_lines, split_line
+from . import commands
 
 RULES = quality.Rules(min_bytes=1_000)
 
@@ -81,16 +86,30 @@ def filter_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules in turn; sides stand in as the length of the text and that of its title."""
-    files = _files(spark, sf_dir).filter(quality.big_enough(F.length("content"), RULES) & quality.signed(F.col("path"), F.col("content")))
-    sides = table(spark, sf_dir, "documents").select("doc_id", (F.char_length("text") / 4).cast("int").alias("width"), (F.char_length("title") * 10).cast("int").alias("height"))
-    return files.join(sides, "doc_id").filter(quality.well_shaped(F.col("width"), F.col("height"))).select("doc_id", "path")
+    """The filter command; sides stand in as the length of the text and that of its title, or the first alone where there is none."""
+    files = _files(spark, sf_dir).withColumn("length", F.length("content"))
+    width = (F.char_length("text") / 4).cast("int")
+    sides = table(spark, sf_dir, "documents").select("doc_id", width.alias("width"), F.coalesce((F.char_length("title") * 10).cast("int"), width).alias("height"), F.lit(3).alias("nChannels"))
+    kept = commands.filter_files(files.select(F.col("doc_id").alias("idx"), "path"), files.select("path", "length", "content"), files.select("doc_id", "path").join(sides, "doc_id"), RULES)
+    return kept.select(F.col("idx").alias("doc_id"), "path")
+
+
+def _levels(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grids = []
+        for text in batch.column(1).to_pylist():
+            points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            edge = np.arange(n + 1) * len(points) // n
+            start, count = edge[:-1], np.diff(edge)
+            total = np.r_[0, np.cumsum(points)]
+            grids.append(np.where(count, (total[edge[1:]] - total[start]) // np.maximum(count, 1), points[start]).tolist() if len(points) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grids, pa.list_(pa.int64()))], names=["doc_id", "grid"])
 
 
 def _grid(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.char_length("text") >= n)
-    head = F.substring("text", 1, n)
-    return docs.select("doc_id", F.transform(F.split(head, ""), lambda c: F.ascii(c)).alias("grid"))
+    """``doc_id, grid``: the whole text as n levels, the mean code point of each of n equal stretches; a shorter text repeats its
+    code points. An empty or null text has a null grid."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(lambda x: _levels(x, n), "doc_id long, grid array<long>")
 
 
 def dhash_gen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +197,12 @@ def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.greedy_removal(edges)
 
 
+def greedy_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """greedy_pairs as it is worked off beyond the edges that fit in one task."""
+    edges = table(spark, sf_dir, "pair_t").filter("m_diff BETWEEN 1 AND 59 AND m_i != m_j").select(F.col("m_i").alias("i"), F.col("m_j").alias("j"))
+    return graph.greedy_removal(edges, together=0)
+
+
 def _dedup(spark: SparkSession, sf_dir: str, spec: HashSpec) -> DataFrame:
     return setops.dedup_near(_samples(spark, sf_dir).select("idx", "path", spec.name), spec)[0].select("idx", "path")
 
@@ -193,9 +218,8 @@ def dedup_phash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes written as ``path,hex`` and read again."""
     rows = _samples(spark, sf_dir).filter(F.length("dhash") == 64)
-    line = F.concat_ws(",", "path", bits.to_hex(F.col("dhash")))
-    path, back = split_line(line, DHASH)
-    return rows.select("idx", path.alias("path"), bits.to_hex(back).alias("hex"))
+    path, back = split_line(F.col("value"), DHASH)
+    return hash_lines(rows, DHASH).select("idx", path.alias("path"), bits.to_hex(back).alias("hex"))
 
 
 def load_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +295,7 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     md5_gen, dedup_md5, dedup_md5_samples, filter_ext, filter_size, filter_magic, filter_geometry, filter_quality, dhash_gen, phash_gen,
     whole_hashes, embedding_hash, popcount_hist, pairs_dhash, pairs_phash, pairs_banded, pairs_embedding, remain_dhash, remain_phash, merge_dhash, merge_phash,
-    concat_lists, greedy_pairs, dedup_dhash, dedup_phash, hash_roundtrip, load_lines, pair_lines, scanner_classify, scanner_clean, scanner_summary,
+    concat_lists, greedy_pairs, greedy_rounds, dedup_dhash, dedup_phash, hash_roundtrip, load_lines, pair_lines, scanner_classify, scanner_clean, scanner_summary,
     pipeline_full, without_hash, p5_found, p5_loaded,
 ]
 

@@ -190,3 +190,25 @@ def test_pipeline_keeps_undecoded_files_apart(spark, folder):
     assert name("more.filt") == ["a.png", "d.png"]
     assert name("more.filt.rejected") == ["broken.png"]
     assert name("more.filt.md5.dedup.rejected") == []
+
+
+def segment(mark, body):
+    return bytes([255, mark]) + (len(body) + 2).to_bytes(2) + body
+
+
+def test_structure_checks(tmp_path):
+    head = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xDB, bytes(65)) + segment(0xC0, b"\x08\0\x10\0\x10\x01\x01\x11\0")
+    scan = segment(0xDA, b"\x01\x01\0\0\x3f\0")
+    good = head + scan + b"ab\xff\0cd\xff\xd0ef\xff\xd1gh\xff\xd9"
+    vp8 = b"VP8 " + (10).to_bytes(4, "little") + b"\0\0\0\x9d\x01\x2a\0\1\0\1"
+    webp = lambda chunks: b"RIFF" + (4 + len(chunks)).to_bytes(4, "little") + b"WEBP" + chunks
+    files = {
+        "good.jpg": (good, ""), "tail.jpg": (good + b"tail", ""), "cut.jpg": (good[:-2], "truncated"), "gap.jpg": (head + scan + b"ab\xff\xd1gh\xff\xd9", "restart marker out of order"),
+        "two.jpg": (head + scan + b"ab" + scan + b"cd\xff\xd9", ""), "none.jpg": (head + b"\xff\xd9", "truncated"), "early.jpg": (b"\xff\xd8" + scan + b"ab\xff\xd9", "scan before its frame or tables"),
+        "size.jpg": (head.replace(b"\x08\0\x10\0\x10", b"\x08\0\0\0\x10") + scan + b"\xff\xd9", "no size"), "odd.jpg": (b"\xff\xd8\xffabc" + good, "truncated"),
+        "good.webp": (webp(vp8), ""), "cut.webp": (webp(vp8)[:-3], "truncated"), "chunk.webp": (webp(vp8[:4] + b"\x40" + vp8[5:]), "broken chunk"), "frame.webp": (webp(vp8.replace(b"\x9d", b"\0")), "broken frame"), "empty.webp": (webp(b""), "no frame"),
+    }
+    for name, (data, fault) in files.items():
+        (tmp_path / name).write_bytes(data)
+        text, code, late = scanner.run_check([str(tmp_path / name)], scanner.CHECK, 20)
+        assert not late and bool(code) == bool(fault) and fault in text, (name, text)
