@@ -9,7 +9,7 @@ links of a hub are spread over SALTS tasks. What is compared between rounds is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import checkpointed, forget
@@ -32,12 +32,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         moved = joined.filter(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         moved = moved.union(whole.select("u", F.col("low").alias("v")))
-    return moved.filter(F.col("u") != F.col("v")).distinct()
+    moved = moved.filter(F.col("u") != F.col("v"))
+    return moved if large else moved.distinct()  # repeated links do no harm to the minimum that small-star takes
 
 
-def _print(links: DataFrame) -> tuple[int, int]:
-    r = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _written(links: DataFrame) -> tuple[DataFrame, dict]:
+    """The links as a table, and their number and a sum of hashes, both taken while they are written."""
+    seen = Observation()
+    table = checkpointed(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")))
+    return table, seen.get
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -48,12 +51,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     now = ends.filter("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = checkpointed(now)
-    seen = _print(now)
+    now, seen = _written(now)
     for _ in range(MAX_ROUNDS):
-        old, now = now, checkpointed(_star(_star(now, large=True), large=False))
+        old, before = now, seen
+        now, seen = _written(_star(_star(old, large=True), large=False))
         forget(old)
-        before, seen = seen, _print(now)
         if before == seen:
             break
     else:
