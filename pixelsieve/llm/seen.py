@@ -177,8 +177,8 @@ def seen_before(stream: DataFrame, known: DataFrame, remainder_bits: int = REMAI
     """
     spark = stream.sparkSession
     index = SeenFilter(spark, shared_path(spark, "seen"), stream.count() + known.count(), remainder_bits)
-    index.take(known.select(F.lit(0).cast("long").alias("id"), "key"))
-    return index.take(stream.select("id", "key"))
+    both = known.select(F.lit(-1).cast("long").alias("id"), "key").union(stream.filter("id IS NOT NULL").select(F.col("id").cast("long"), "key"))
+    return index.take(both).filter("id >= 0")
 
 
 def error_rates(stream: DataFrame, known: DataFrame, remainder_bits: tuple[int, ...] = (4, 8, 12, REMAINDER_BITS)) -> DataFrame:
