@@ -31,7 +31,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUCKETS = 1 << 15
 HOT_WORDS = 32_768
 #: The cache is filled from about so many texts, with words of at most so many bytes.
-HOT_DOCS, HOT_BYTES = 4_096, 64
+HOT_DOCS, HOT_BYTES = 2_048, 64
 #: Words of more bytes than this are folded in chunks.
 LONG = 256
 
