@@ -8,7 +8,7 @@ distribution.
 Rows are kept in lists: in each of TABLES tables a row's list is its value at k of its columns, k growing with the logarithm
 of the rows so that lists stay short. A query probes the lists whose value differs from its own in at most ``flips``
 columns, nearest lists first; ``plan_lists`` chooses flips so that a neighbour at the share FAR of differing bits is met with
-a chance of RECALL, whatever the number of rows. Every row of a probed list is scanned in blocks of 64 columns: after each block
+a chance of at least RECALL, whatever the number of rows. Every row of a probed list is scanned in blocks of 64 columns: after each block
 a hypothesis test of level ALPHA abandons the candidates whose distance so far would be too large for one within the query's
 present k-th best. What is left is measured to the end, so reported distances are exact. No candidate is compared in another way.
 The search goes in two rounds: the lists less than ``flips`` columns away give each query a bound over all tables, with which
@@ -39,11 +39,13 @@ from .segments import expand
 TABLES = 4
 #: A neighbour that differs in the share FAR of its bits is met in some probed list with a chance of RECALL.
 FAR, RECALL = 0.2, 0.97
+#: So many rows are looked at for a query where that is more than it takes for RECALL.
+ROWS_A_QUERY = 25_000
 #: Rows a list has on average, and rows a cell has at most.
 ROWS_A_LIST = 8
 ROWS_A_CELL = 1_000_000
 #: Chance with which a test abandons a candidate exactly at the bound; smaller for nearer ones.
-ALPHA = 0.001
+ALPHA = 0.0001
 #: Candidates that may wait before they are cut to the k nearest of each query; pairs looked at in one step.
 WAITING, AT_ONCE = 4_000_000, 1 << 20
 SEED = 20_011
@@ -76,7 +78,9 @@ def plan_lists(n: int, nbits: int) -> Plan:
     chance = lambda flips, part_flips: 1 - (1 - meets(k, parts, flips, part_flips, FAR)) ** TABLES
     part_flips = next(g for g in range(parts + 1) if g == parts or chance(k, g) >= (1 + RECALL) / 2)
     flips = next(f for f in range(k + 1) if f == k or chance(f, part_flips) >= RECALL)
-    return Plan(TABLES, k, parts, flips, part_flips)
+    # short tables can afford more lists; of unrelated rows half the bits differ
+    flips = max(flips, max((f for f in range(k + 1) if TABLES * n * meets(k, parts, f, part_flips, 0.5) <= ROWS_A_QUERY), default=0))
+    return Plan(TABLES, k, parts, flips, parts if flips == k else part_flips)
 
 
 @functools.lru_cache(maxsize=4)
