@@ -1,8 +1,9 @@
 """New batches against everything accepted before (problem 3).
 
-The segment index of segments.py answers which hashes of the batches are near hashes of the history or of other
-batches; each set of equal hashes is one entry, and pairs within the history are never formed. Keys are compared
-whole, which is the segment index at edit distance 0: one segment, its value.
+Keys go through the segment index of segments.py for edit distance, with the bound 0 that the problem states: their segments are stored by
+length and position, a batch looks up its substrings, candidates are verified, and what is accepted is appended. Hashes differ by
+substitutions, in more bits than that index can bear; they go through its tables of sampled positions. Each set of equal keys or hashes
+is one entry, and pairs within the history are never formed.
 
 What a batch accepts depends on what earlier batches accepted. All batches are settled together in rounds: a record
 whose possible earlier partners are all cases is accepted, one with an accepted earlier partner is a case, the others
@@ -13,14 +14,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, forget
-from .segments import CELLS, emit, measure, near_bits, plan_tables, probe_both, probe_held
+from .segments import CELLS, STRING_CELLS, emit, measure, near_bits, near_strings, plan_tables, probe_both, probe_held, string_buckets, string_cells, strings_both, strings_held
 
-BITS, BELOW = 512, 60
+BITS, BELOW, EDITS = 512, 60, 0
 MAX_ROUNDS = 10_000
 WAITING, CASE, ACCEPTED = 0, 1, 2
 
@@ -35,6 +37,18 @@ def _new(batches: DataFrame) -> DataFrame:
     return new.groupBy("idx").agg(F.min("r").alias("r")).select("idx", "r.*")
 
 
+def _met_keys(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``keys`` of the batches that the history has, by the segment index."""
+    every = old.select("keys", (F.col("idx").cast("long") * 2).alias("id"), F.lit(1).alias("side")).union(new.select("keys", F.col("idx") * 2 + 1, F.lit(2)))
+    # a key of records without an idx is known by its hash
+    other = F.shiftright(F.xxhash64("keys"), 3).bitwiseOR(F.lit(1 << 60)) * -2
+    each = every.filter("keys IS NOT NULL").groupBy("keys", "side").agg(F.coalesce(F.min("id"), F.first(other)).alias("id"))
+    rows = checkpointed(each.select("id", F.col("keys").alias("s"), "side"))
+    pairs = near_strings(rows, EDITS)
+    own = F.when(F.col("a").bitwiseAND(F.lit(1)) == 1, F.col("a")).otherwise(F.col("b")).alias("id")
+    return rows.join(pairs.select(own).distinct(), "id", "left_semi").select(F.col("s").alias("keys"))
+
+
 def decide(history: DataFrame, batches: DataFrame, below: int = BELOW) -> DataFrame:
     """``batch_id, idx, is_case`` for each record of the batches.
 
@@ -56,7 +70,7 @@ def decide(history: DataFrame, batches: DataFrame, below: int = BELOW) -> DataFr
     known = both.filter("other % 2 != 0").select("cls").distinct()
 
     named = new.join(classes.filter("side = 3").select("bits", F.col("id").alias("cls")), "bits", "left").select("batch_id", "idx", "keys", "cls")
-    met_key = old.filter("keys IS NOT NULL").select("keys").distinct().withColumn("met_key", F.lit(True))
+    met_key = _met_keys(old, new).withColumn("met_key", F.lit(True))
     state = named.join(met_key, "keys", "left").join(known.withColumn("met_hash", F.lit(True)), "cls", "left")
     met = F.col("met_key").isNotNull() | F.col("met_hash").isNotNull() | F.coalesce(F.col("cls") % 2 != 0, F.lit(False))
     state = checkpointed(state.select("batch_id", "idx", "keys", "cls", F.when(met, CASE).otherwise(WAITING).alias("status")))
@@ -80,12 +94,17 @@ def decide(history: DataFrame, batches: DataFrame, below: int = BELOW) -> DataFr
     return state.select("batch_id", "idx", (F.col("status") == CASE).alias("is_case"))
 
 
+def _keyed(rows: DataFrame, side: int) -> DataFrame:
+    """``id, s, side`` of the different keys of ``idx, keys``."""
+    return rows.filter("keys IS NOT NULL AND idx IS NOT NULL").groupBy("keys").agg(F.min("idx").alias("id")).select("id", F.col("keys").alias("s"), F.lit(side).alias("side"))
+
+
 class HistoryIndex:
     """The accepted records as a growing index on shared storage, for batches that arrive one at a time.
 
-    ``cells`` holds the packed segments of every accepted hash, ``records`` its key and hash. A batch is looked up against
+    ``cells`` holds the packed segments of every accepted hash, ``strings`` those of every accepted key, ``records`` both. A batch is looked up against
     the stored segments as they are: the history is neither hashed nor grouped nor paired again, and what the batch
-    accepts is appended. The look-up is a pass over the stored cells and keys. If the batch is small (at most HELD_ROWS distinct
+    accepts is appended. The look-up is a pass over the stored cells, and over the records for the candidates. If the batch is small (at most HELD_ROWS distinct
     hashes), each task holds its cells and only candidates are shuffled; for a larger batch the stored cells are shuffled by bucket.
 
     Each batch writes a subfolder of its own that a repeated delivery overwrites, and reads only those of smaller
@@ -96,7 +115,7 @@ class HistoryIndex:
 
     def __init__(self, spark: SparkSession, path: str, capacity: int = 10_000_000, below: int = BELOW):
         self.spark, self.path, self.below = spark, path, below
-        self.plan = plan_tables(capacity, BITS, below)
+        self.plan, self.buckets = plan_tables(capacity, BITS, below), string_buckets(capacity)
 
     def _stored(self, name: str, schema: str, batch_id: int) -> DataFrame:
         try:
@@ -121,8 +140,24 @@ class HistoryIndex:
         rows = checkpointed(records.select(F.col("idx").cast("long").alias("idx"), "keys", _bits().alias("bits")))
         classes = rows.filter("bits IS NOT NULL AND idx IS NOT NULL").groupBy("bits").agg(F.min("idx").alias("id"))
         self._append("cells", self._cells(classes, 1), batch_id)
+        self._append("strings", string_cells(_keyed(rows, 1), EDITS, self.buckets), batch_id)
         self._append("records", rows, batch_id)
 
+    def _held(self, cells: DataFrame) -> Broadcast:
+        """The cells of a batch of at most HELD_ROWS entries, 12 bytes each for every table."""
+        held: dict[int, list[tuple]] = {}
+        for bucket, *cell in cells.collect():
+            held.setdefault(bucket, []).append(tuple(bytes(x) for x in cell))
+        return self.spark.sparkContext.broadcast(held)
+
+    def _met_strings(self, new: DataFrame, n: int, batch_id: int) -> DataFrame:
+        """``old, new`` of records with an equal token of their keys."""
+        old = self._stored("strings", STRING_CELLS, batch_id)
+        if n <= self.HELD_ROWS:
+            known = self._held(new)
+            return old.mapInArrow(lambda x: strings_held(x, known.value), "old long, new long").distinct()
+        return old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(strings_both, "old long, new long").distinct()
+
     def take(self, batch: DataFrame, batch_id: int) -> DataFrame:
         """``idx`` of the batch's records that repeat something accepted by batches of smaller batch_id; adds the others.
 
@@ -135,10 +170,7 @@ class HistoryIndex:
         old, new = self._stored("cells", CELLS, batch_id), self._cells(classes, 2)
         plan = self.plan
         if classes.count() <= self.HELD_ROWS:
-            held = {}
-            for r in new.collect():  # a bounded batch: at most HELD_ROWS * tables entries of 12 bytes
-                held.setdefault(r.bucket, []).append((bytes(r.words), bytes(r.codes)))
-            known = self.spark.sparkContext.broadcast(held)
+            known = self._held(new)
             pairs = old.mapInArrow(lambda x: probe_held(x, known.value, BITS, plan), "old long, new long")
         else:
             pairs = old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInArrow(lambda a, b: probe_both(a, b, BITS, plan), "old long, new long")
@@ -148,8 +180,11 @@ class HistoryIndex:
         below = self.below
         near = both.mapInArrow(lambda x: measure(x, BITS // 8, below), "a long, b long, distance int").select(F.col("b").alias("id")).distinct()
         by_hash = rows.join(classes.join(near, "id", "left_semi"), "bits", "left_semi").select("idx")
-        asked = rows.filter("keys IS NOT NULL").select("keys").distinct()
-        by_key = rows.join(stored.select("keys").join(asked, "keys", "left_semi").distinct(), "keys", "left_semi").select("idx")
+        keyed = checkpointed(_keyed(rows, 2))
+        met = self._met_strings(string_cells(keyed, EDITS, self.buckets), keyed.count(), batch_id)
+        known = stored.select(F.col("idx").alias("old"), F.col("keys").alias("known"))
+        true = known.join(met, "old").join(keyed.select(F.col("id").alias("new"), F.col("s").alias("keys")), "new").filter(F.levenshtein("known", "keys", EDITS) >= 0)
+        by_key = rows.join(true.select("keys").distinct(), "keys", "left_semi").select("idx")
         cases = checkpointed(by_hash.union(by_key).distinct())
         self.add(rows.join(cases, "idx", "left_anti").select("idx", "keys", F.col("bits").alias("v_dhash")), batch_id)
         return cases

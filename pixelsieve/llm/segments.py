@@ -429,24 +429,54 @@ def _emit_strings(batches: Iterator[pa.RecordBatch], tau: int, buckets: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cells), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "codes"])
 
 
-def _probe_strings(cells: pa.Table) -> pa.Table:
-    tokens, codes = joined(cells["tokens"].to_pylist(), np.uint64), joined_ints(cells["codes"].to_pylist())
-    stored, asked = codes & 1 == 0, codes & 1 == 1
-    ts, cs = tokens[stored], codes[stored] >> 1
+STRING_CELLS = "bucket int, tokens binary, codes binary"
+
+
+def string_buckets(n: int) -> int:
+    return max(24, math.ceil(n / STRINGS_A_BUCKET) * 24)
+
+
+def string_cells(rows: DataFrame, tau: int, buckets: int) -> DataFrame:
+    """Packed segments of ``id, s, side``: side 1 stores, 2 looks up, 3 does both."""
+    rows = rows.select(F.col("id").cast("long").alias("id"), "s", F.col("side").cast("int").alias("side"))
+    return rows.mapInArrow(lambda x: _emit_strings(x, tau, buckets), STRING_CELLS)
+
+
+def _met_tokens(stored: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(stored code, asking code) of equal tokens, as slices of bounded size."""
+    (ts, cs), (ta, ca) = stored, asked
     order = np.argsort(ts, kind="stable")
     ts, cs = ts[order], cs[order]
-    lo, hi = np.searchsorted(ts, tokens[asked], "left"), np.searchsorted(ts, tokens[asked], "right")
-    probe, n = codes[asked] >> 1, hi - lo
-    pairs = [np.empty((0, 2), dtype=np.int64)]
-    hit = np.flatnonzero(n)
-    step = 0
-    while len(hit):
-        hit = hit[n[hit] > step]
-        a, b = probe[hit], cs[lo[hit] + step]
-        pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b])
-        step += 1
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+    for i, j in expand(np.arange(len(ta)), np.searchsorted(ts, ta, "left"), np.searchsorted(ts, ta, "right"), PAIRS_AT_ONCE):
+        yield cs[j] >> 1, ca[i] >> 1
+
+
+def _string_cell(rows: pa.Table | list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    tokens, codes = (rows["tokens"].to_pylist(), rows["codes"].to_pylist()) if isinstance(rows, pa.Table) else tuple(zip(*rows))
+    return joined(tokens, np.uint64), joined_ints(codes)
+
+
+def _probe_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens, codes = _string_cell(pa.Table.from_batches(batches))
+    stored, asked = codes & 1 == 0, codes & 1 == 1
+    met = _met_tokens((tokens[stored], codes[stored]), (tokens[asked], codes[asked]))
+    yield from _batched(((np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]) for a, b in met), ("a", "b"))
+
+
+def strings_held(batches: Iterator[pa.RecordBatch], held: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """Stored segments against those of a small batch."""
+    for batch in batches:
+        for bucket, *cell in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if bucket in held:
+                yield from _batched(_met_tokens(_string_cell([tuple(cell)]), _string_cell(held[bucket])), ("old", "new"))
+
+
+def strings_both(old: pa.Table, new: pa.Table) -> pa.Table:
+    """Stored segments of a bucket against those of a large batch."""
+    schema = pa.schema([("old", pa.int64()), ("new", pa.int64())])
+    if not old.num_rows or not new.num_rows:
+        return schema.empty_table()
+    return pa.Table.from_batches(_batched(_met_tokens(_string_cell(old), _string_cell(new)), ("old", "new")), schema)
 
 
 def near_strings(rows: DataFrame, tau: int, n: int | None = None) -> DataFrame:
@@ -456,9 +486,8 @@ def near_strings(rows: DataFrame, tau: int, n: int | None = None) -> DataFrame:
     against rows of side 2 or 3; 3 also among themselves. Lengths count code points; empty strings are strings.
     """
     n = rows.count() if n is None else n
-    buckets = max(24, math.ceil(n / STRINGS_A_BUCKET) * 24)
-    rows = rows.select(F.col("id").cast("long").alias("id"), "s", F.col("side").cast("int").alias("side"))
-    cells = rows.mapInArrow(lambda x: _emit_strings(x, tau, buckets), "bucket int, tokens binary, codes binary")
+    cells = string_cells(rows, tau, string_buckets(n))
+    rows = rows.select(F.col("id").cast("long").alias("id"), "s")
     pairs = cells.groupBy("bucket").applyInArrow(_probe_strings, "a long, b long").distinct()
     both = pairs.join(rows.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(rows.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
     return both.filter(F.levenshtein("s_a", "s_b", tau) >= 0).select("a", "b")
