@@ -14,7 +14,7 @@ from ..operators.dedup import keep_first, missing_hash
 from ..operators.scanner import cleaned, scan, write_side_files
 from ..operators.setops import dedup_near, merge, remain
 from ..schema import DHASH, MD5, PHASH, SPECS, HashSpec
-from ..session import checkpointed
+from ..session import checkpointed, scope
 from ..sources.images import local_path, read_files, read_images
 from ..sources.text import hash_lines, pair_lines, read_hashes, read_paths, read_scan_list, write_lines
 
@@ -176,6 +176,7 @@ def run(spark: SparkSession, command: str, root: str, *args: str) -> str:
     if command not in COMMANDS:
         raise ValueError(f"unknown command {command!r}; there are {', '.join(sorted(COMMANDS))}")
     watch = Watch(command)
-    out = COMMANDS[command](spark, root, *args)
+    with scope():
+        out = COMMANDS[command](spark, root, *args)
     print(watch)
     return out

@@ -212,3 +212,22 @@ def test_structure_checks(tmp_path):
         (tmp_path / name).write_bytes(data)
         text, code, late = scanner.run_check([str(tmp_path / name)], scanner.CHECK, 20)
         assert not late and bool(code) == bool(fault) and fault in text, (name, text)
+
+
+def test_commands_leave_no_tables(spark, folder):
+    from pathlib import Path
+
+    from pixelsieve.session import checkpointed, scope
+
+    kept = checkpointed(spark.range(3))
+    store = Path(kept._sieve_path.removeprefix("file:")).parent
+    before = sorted(x.name for x in store.iterdir())
+    commands.run(spark, "filter", str(folder), str(folder / "list"))
+    (folder / "ok").write_text("\n".join(str(folder / f"{c}.png") for c in "abcd"))
+    out = commands.run(spark, "gen_dhash", str(folder), str(folder / "ok"))
+    commands.run(spark, "dedup_dhash", str(folder), out)
+    assert sorted(x.name for x in store.iterdir()) == before
+    with pytest.raises(ZeroDivisionError), scope():
+        gone = checkpointed(spark.range(2))
+        1 / 0
+    assert kept.count() == 3 and sorted(x.name for x in store.iterdir()) == before and gone is not None
