@@ -22,7 +22,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: ``u, v`` with u > v, distinct."""
     if large:
         links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    # one exchange serves the minimum and the join
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).repartition("u", "salt")
     parts = salted.groupBy("u", "salt").agg(F.min("v").alias("low"))
     whole = parts.groupBy("u").agg(F.min("low").alias("low"), F.collect_list("salt").alias("salts"))  # at most SALTS
     lows = whole.select("u", F.least("u", "low").alias("low"), F.explode("salts").alias("salt"))
