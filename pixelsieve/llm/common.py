@@ -30,14 +30,6 @@ def fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def signs(rows: np.ndarray) -> np.ndarray:
-    """Bits of (n, width) bytes as a float32 matrix of -1 and 1."""
-    out = np.unpackbits(rows, axis=1).astype(np.float32)
-    out *= 2
-    out -= 1
-    return out
-
-
 def words64(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(np.uint64)
 
@@ -87,13 +79,6 @@ def run_starts(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, np.diff(np.r_[s, len(sorted_keys)])
 
 
-@functools.lru_cache(maxsize=4)
-def rotation(n: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix, the same in every process."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, n)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
-
-
 #: Multiplier of the polynomial hashes modulo 2**64; odd, so that it has an inverse there.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
@@ -131,5 +116,3 @@ class Text:
     def windows(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Hashes of the windows at these positions of the joined strings."""
         return (self.prefix[start + length] - self.prefix[start]) * self.down[start]
-
-

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined_ints, pack_ints, run_starts, unpack_ints
+from .common import checkpointed, pack_ints, run_starts, unpack_ints
 
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 4, 3, 15
 SHARD_ITEMS = 2_500

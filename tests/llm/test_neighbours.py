@@ -114,13 +114,6 @@ def test_few_or_no_rows(spark):
     assert run(spark, [(1, b"\0" * 64)], []) == set()
 
 
-def test_bits_and_signs():
-    from pixelsieve.llm.common import signs
-
-    x = np.array([[0b10000001]], dtype=np.uint8)
-    assert signs(x).tolist() == [[1, -1, -1, -1, -1, -1, -1, 1]]
-
-
 def copies(seed, hot, total):
     """hot equal rows, mixed with groups of 8 equal rows."""
     r = random.Random(seed)
