@@ -5,7 +5,8 @@ array of pieces and, beside each, the rank of its join with the next; a step joi
 looks up the two ranks that change. Ranks are a literal: an array of small maps, chosen by a hash of the piece, because
 Spark searches a map from its start. Bytes are written as the characters U+0000 to U+00FF, so that pieces are strings.
 
-A step costs as much as the array is long. Words of more than LONG bytes are therefore kept in about sqrt(n) chunks, each
+A step costs as much as the array is long. Words of more than LONG bytes are therefore cut first wherever no piece of the vocabulary
+holds the two bytes side by side, and parts that are still so long are kept in about sqrt(n) chunks, each
 with its lowest rank: a step looks for the lowest chunk and rebuilds that one only. (Spark still copies the state once a step.)
 
 Words repeat, so the encodings of distinct words are computed once where that pays: the HOT_WORDS words that
@@ -138,13 +139,33 @@ def _fold_long(s: Column, ranks: Column) -> Column:
     return _let(_pieces(s, ranks), cut)
 
 
-def fold(word: Column, ranks: Column) -> Column:
+def joint_literal(ranks: dict[bytes, int]) -> Column:
+    """A byte for every two bytes: 1 where some piece of the vocabulary holds them side by side."""
+    joints = bytearray(1 << 16)
+    for piece in ranks:
+        for a, b in zip(piece, piece[1:]):
+            joints[a * 256 + b] = 1
+    return F.lit(joints)
+
+
+def _parts(s: Column, joints: Column) -> Column:
+    """A long word cut between bytes that no piece holds side by side. No merge can join them, whatever is merged before, so the
+    parts are folded each by itself."""
+    holds = lambda a, b: F.substring(joints, F.ascii(a) * 256 + F.ascii(b) + 1, F.lit(1)) == F.lit(b"\1")
+    marked = _let(F.split(s, ""), lambda c: F.transform(c, lambda x, i: F.when((i + 1 < F.size(c)) & ~holds(x, F.coalesce(F.get(c, i + 1), x)), F.concat(x, F.lit("\u0100"))).otherwise(x)))
+    return F.split(F.array_join(marked, ""), "\u0100")
+
+
+def fold(word: Column, ranks: Column, joints: Column) -> Column:
     """ids of a word (not empty)."""
     chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
+    def short(s: Column) -> Column:
+        return _let(_pieces(s, ranks), lambda st: F.aggregate(F.slice(st["p"], F.lit(2), F.size(st["p"])), st, lambda acc, _: _merge(acc, ranks))["p"])
+
     def merged(s: Column) -> Column:
-        short = _let(_pieces(s, ranks), lambda st: F.aggregate(F.slice(st["p"], F.lit(2), F.size(st["p"])), st, lambda acc, _: _merge(acc, ranks))["p"])
-        return F.transform(F.when(F.length(s) > LONG, _fold_long(s, ranks)).otherwise(short), lambda x: _lookup(ranks, x))
+        parts = F.flatten(F.transform(_parts(s, joints), lambda x: F.when(F.length(x) > LONG, _fold_long(x, ranks)).otherwise(short(x))))
+        return F.transform(F.when(F.length(s) > LONG, parts).otherwise(short(s)), lambda x: _lookup(ranks, x))
 
     return _let(chars, lambda s: _let(_lookup(ranks, s), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(s))))
 
@@ -161,24 +182,24 @@ def hot_words(docs: DataFrame, text: str, ranks: dict[bytes, int]) -> dict[str,
     top = [r.w for r in count.orderBy(F.desc("count"), "w").limit(HOT_WORDS).collect()]
     if not top:
         return {}
-    coded = docs.sparkSession.createDataFrame([(w,) for w in top], "w string").select("w", _let(rank_literal(ranks), lambda r: fold(F.col("w"), r)).alias("ids"))
+    coded = docs.sparkSession.createDataFrame([(w,) for w in top], "w string").select("w", _let(rank_literal(ranks), lambda r: fold(F.col("w"), r, joint_literal(ranks))).alias("ids"))
     return {w: list(ids) for w, ids in coded.collect()}
 
 
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", ranks: dict[bytes, int] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """The table with a column of the ids of each text, without special tokens. An empty and a null text give []."""
     ranks = ranks or load_ranks(vocabulary)
-    hot = _literal(hot_words(docs, text, ranks), "array<int>")
+    hot, joints = _literal(hot_words(docs, text, ranks), "array<int>"), joint_literal(ranks)
     empty = F.array().cast("array<int>")
-    ids = _let(rank_literal(ranks), lambda r: F.flatten(F.transform(words(F.col(text)), lambda w: F.coalesce(_lookup(hot, w), fold(w, r)))))
+    ids = _let(rank_literal(ranks), lambda r: F.flatten(F.transform(words(F.col(text)), lambda w: F.coalesce(_lookup(hot, w), fold(w, r, joints)))))
     return docs.withColumn(into, F.when(F.col(text).isNull(), empty).otherwise(ids))
 
 
 def count_tokens(docs: DataFrame, text: str = "text", into: str = "n_tokens", ranks: dict[bytes, int] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """The table with a column of the number of ids of each text; 0 for an empty and a null text."""
     ranks = ranks or load_ranks(vocabulary)
-    hot = _literal({w: len(ids) for w, ids in hot_words(docs, text, ranks).items()}, "int")
-    n = _let(rank_literal(ranks), lambda r: F.aggregate(words(F.col(text)), F.lit(0), lambda acc, w: acc + F.coalesce(_lookup(hot, w), F.size(fold(w, r)))))
+    hot, joints = _literal({w: len(ids) for w, ids in hot_words(docs, text, ranks).items()}, "int"), joint_literal(ranks)
+    n = _let(rank_literal(ranks), lambda r: F.aggregate(words(F.col(text)), F.lit(0), lambda acc, w: acc + F.coalesce(_lookup(hot, w), F.size(fold(w, r, joints)))))
     return docs.withColumn(into, F.coalesce(n, F.lit(0)))
 
 
