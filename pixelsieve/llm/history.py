@@ -115,6 +115,7 @@ class HistoryIndex:
 
     def __init__(self, spark: SparkSession, path: str, capacity: int = 10_000_000, below: int = BELOW):
         self.spark, self.path, self.below = spark, path, below
+        self.sent: list[Broadcast] = []
         self.plan, self.buckets = plan_tables(capacity, BITS, below), string_buckets(capacity)
 
     def _stored(self, name: str, schema: str, batch_id: int) -> DataFrame:
@@ -148,7 +149,8 @@ class HistoryIndex:
         held: dict[int, list[tuple]] = {}
         for bucket, *cell in cells.collect():
             held.setdefault(bucket, []).append(tuple(bytes(x) for x in cell))
-        return self.spark.sparkContext.broadcast(held)
+        self.sent.append(self.spark.sparkContext.broadcast(held))
+        return self.sent[-1]
 
     def _met_strings(self, new: DataFrame, n: int, batch_id: int) -> DataFrame:
         """``old, new`` of records with an equal token of their keys."""
@@ -186,6 +188,8 @@ class HistoryIndex:
         true = known.join(met, "old").join(keyed.select(F.col("id").alias("new"), F.col("s").alias("keys")), "new").filter(F.levenshtein("known", "keys", EDITS) >= 0)
         by_key = rows.join(true.select("keys").distinct(), "keys", "left_semi").select("idx")
         cases = checkpointed(by_hash.union(by_key).distinct())
+        while self.sent:  # all that needed them is written
+            self.sent.pop().destroy()
         self.add(rows.join(cases, "idx", "left_anti").select("idx", "keys", F.col("bits").alias("v_dhash")), batch_id)
         return cases
 
