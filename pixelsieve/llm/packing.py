@@ -38,8 +38,10 @@ MERGE = 32
 OPEN_BELOW = 0.95
 #: Sizes of larger capacities are rounded up to one of so many classes for the start.
 CLASSES = 65_536
-#: Free items that may replace others in one round, and rounds.
-CONSIDERED, ROUNDS = 12, 4
+#: Free items that may replace others in one round, the best replacements that are tried in it, and rounds.
+CONSIDERED, REPLACEMENTS, ROUNDS = 12, 200, 4
+#: Couples of items that are looked at together.
+COUPLES = 8_192
 #: Of one class so many items are ranked in one task.
 ITEMS_A_RANKING = 1_000_000
 #: Classes of the capacities worked off together.
@@ -124,13 +126,27 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, fl
     return len(fill), -float((fill**2).sum())
 
 
-def _couples(order: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every two items of one container, for items in the order of their containers."""
+def _couples(order: np.ndarray, bins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every two items of one container, for items in the order of their containers; in blocks of about COUPLES."""
     start, length = run_starts(bins[order])
     at = np.arange(len(order))
     n = np.repeat(start + length, length) - at - 1
-    other = np.repeat(at, n) + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return order[np.repeat(at, n)], order[other]
+    for s, m in zip(*run_starts((np.cumsum(n) - n) // COUPLES)):
+        here, some = at[s : s + m], n[s : s + m]
+        other = np.repeat(here, some) + 1 + np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+        yield order[np.repeat(here, some)], order[other]
+
+
+def _leaving(sizes: np.ndarray, bins: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What may make way in a container: an item and -1, or two items. Items of one size in one container stand for each other."""
+    placed = np.flatnonzero(bins >= 0)
+    order = placed[np.lexsort((sizes[placed], bins[placed]))]
+    new = np.r_[True, (np.diff(bins[order]) != 0) | (np.diff(sizes[order]) != 0)][: len(order)]
+    once = order[new]
+    for k in range(0, len(once), COUPLES):
+        yield once[k : k + COUPLES], np.full(len(once[k : k + COUPLES]), -1)
+    if len(order) <= 16 * len(room):  # couples of many small items are too many
+        yield from _couples(order[new | np.r_[True, new[:-1]][: len(order)]], bins)
 
 
 def replaced(sizes: np.ndarray, capacity: int, bins: np.ndarray, free: np.ndarray) -> np.ndarray:
@@ -141,33 +157,39 @@ def replaced(sizes: np.ndarray, capacity: int, bins: np.ndarray, free: np.ndarra
             break
         free = free[np.argsort(-sizes[free], kind="stable")]
         some, rest = free[:CONSIDERED], free[CONSIDERED:]
-        placed = np.flatnonzero(bins >= 0)
-        order = placed[np.argsort(bins[placed], kind="stable")]
+        placed = bins >= 0
         room = capacity - np.bincount(bins[placed], weights=sizes[placed]).astype(np.int64)
-        i, j = _couples(order, bins) if len(order) <= 16 * len(room) else (order[:0], order[:0])  # couples of many small items are too many
         a, b = np.triu_indices(len(some), 1)
-        out_first, out_second = np.r_[order, i], np.r_[np.full(len(order), -1), j]
         in_first, in_second = np.r_[np.arange(len(some)), a], np.r_[np.full(len(some), -1), b]
-        out_size, in_size = np.r_[sizes[order], sizes[i] + sizes[j]], np.r_[sizes[some], sizes[some[a]] + sizes[some[b]]]
-        of = bins[out_first]
-        gain = in_size[None] - out_size[:, None]
-        r, c = np.nonzero((gain > 0) & (gain <= room[of][:, None]))
-        if not len(r):
+        in_size = np.r_[sizes[some], sizes[some[a]] + sizes[some[b]]]
+        by_size = np.argsort(in_size, kind="stable")
+        best = np.empty((5, 0), dtype=np.int64)  # gain, room, the items that go, which come
+        for first, second in _leaving(sizes, bins, room):
+            left, out_size = room[bins[first]], sizes[first] + np.where(second < 0, 0, sizes[second])
+            least = best[0].min() if best.shape[1] == REPLACEMENTS else 0
+            start = np.searchsorted(in_size[by_size], out_size + least, "right")
+            n = np.maximum(0, np.searchsorted(in_size[by_size], out_size + left, "right") - start)
+            r = np.repeat(np.arange(len(n)), n)
+            c = by_size[start[r] + np.arange(len(r)) - (np.cumsum(n) - n)[r]]
+            gain = in_size[c] - out_size[r]
+            if len(gain) > REPLACEMENTS:
+                top = np.argpartition(-gain, REPLACEMENTS)[:REPLACEMENTS]
+                r, c, gain = r[top], c[top], gain[top]
+            best = np.concatenate([best, np.stack([gain, left[r], first[r], second[r], c])], axis=1)
+            best = best[:, np.lexsort((best[1], -best[0]))[:REPLACEMENTS]]
+        if not best.shape[1]:
             break
-        gain = gain[r, c]
-        best = np.argpartition(-gain, 200)[:200] if len(gain) > 200 else np.arange(len(gain))
-        best = best[np.lexsort((room[of[r[best]]], -gain[best]))]
         taken, touched, gone = set(), set(), []
-        for x in best.tolist():
-            where, put = int(of[r[x]]), [int(y) for y in (in_first[c[x]], in_second[c[x]]) if y >= 0]
+        for first, second, c, where in zip(*best[2:].tolist(), bins[best[2]].tolist()):
+            put = [int(y) for y in (in_first[c], in_second[c]) if y >= 0]
             if where in touched or taken.intersection(put):
                 continue
             touched.add(where)
             taken.update(put)
-            for y in (out_first[r[x]], out_second[r[x]]):
+            for y in (first, second):
                 if y >= 0:
                     bins[y] = -1
-                    gone.append(int(y))
+                    gone.append(y)
             bins[some[put]] = where
         free = np.r_[[y for k, y in enumerate(some.tolist()) if k not in taken], rest, gone].astype(np.int64)
     return free

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -206,6 +207,38 @@ def test_children_keep_every_item():
             assert len(p) == n and np.bincount(p, weights=sizes).max() <= 100
 
 
+def test_replacing_beside_many_tiny_items_is_small():
+    """3,000 items of a few tokens in one container are 4.5 million couples."""
+    r = np.random.default_rng(3)
+    sizes = np.r_[r.integers(20_000, 26_000, 1200), r.integers(1, 8, 3000)]
+    bins = np.r_[np.arange(1200) // 2, np.full(3000, 600)]
+    bins[:40] = -1
+    tracemalloc.start()
+    free = packing.replaced(sizes, 65_536, bins, np.arange(40))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    assert sorted(free) == np.flatnonzero(bins < 0).tolist() and np.bincount(bins[bins >= 0], weights=sizes[bins >= 0]).max() <= 65_536
+
+
+def test_replacing_is_the_same_in_any_blocks(monkeypatch):
+    r, moved = np.random.default_rng(2), 0
+    for _ in range(30):
+        sizes, whole = r.integers(1, 40, 24), []
+        start = packing.started(sizes, 100, r)
+        start[r.random(24) < 0.2] = -1
+        for block in (3, 8_192):
+            monkeypatch.setattr(packing, "COUPLES", block)
+            monkeypatch.setattr(packing, "REPLACEMENTS", 10**6)
+            bins = start.copy()
+            free = packing.replaced(sizes, 100, bins, np.flatnonzero(bins < 0))
+            assert sorted(free) == np.flatnonzero(bins < 0).tolist() and np.bincount(bins[bins >= 0], weights=sizes[bins >= 0], minlength=1).max() <= 100
+            whole.append(bins.tolist())
+        assert whole[0] == whole[1]
+        moved += whole[0] != start.tolist()
+    assert moved > 15
+
+
 def plain_spans(texts, shortest):
     where = {}
     for d, t in texts.items():
