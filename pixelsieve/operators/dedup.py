@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import hamming, popcount, word_names, words
 from ..schema import HashSpec
-from . import matrix_join
+from . import matrix_join, word_join
 
 #: A side of at most so many rows (up to 72 bytes each) is broadcast; beyond it blocks are multiplied.
 BROADCAST_ROWS = 5_000
@@ -57,13 +57,18 @@ def near_pairs(rows: DataFrame, spec: HashSpec, below: int | None = None, strate
     """``i, j, diff`` for all pairs i > j of ``idx`` that differ in fewer than ``below`` bits; exact.
 
     ``broadcast``: one side goes to every task, behind a check of its size. ``matrix``: both sides are cut into blocks and each pair
-    of blocks meets in one task as a product of matrices. ``blocked``: the same without Python. ``banded``: equal bands
-    are joined; for small distances.
+    of blocks meets in one task as a product of matrices. ``words``: so many groups of bits that one nearly agrees, where that compares
+    less. ``blocked``: the blocks without Python. ``banded``: equal bands are joined; for small distances.
     """
     below = spec.below if below is None else below
     wide = word_rows(rows, spec, "a")
-    n = rows.count() if strategy in (None, "matrix", "blocked") else 0
-    strategy = strategy or strategy_for(n, below)
+    n = rows.count() if strategy in (None, "matrix", "words", "blocked") else 0
+    forced, strategy = strategy, strategy or strategy_for(n, below)
+    if strategy == "words" or (strategy == "matrix" and not forced):
+        probes = word_join.plan(spec.nbits, below, n, n, always=bool(forced))
+        if probes:
+            return word_join.near_pairs(rows, spec.name, spec.nbits, below, n, probes)
+        strategy = "matrix"
     if strategy == "matrix":
         return matrix_join.near_pairs(rows, spec.name, spec.nbits, below, n)
     other = wide.toDF(*[c.replace("a", "b", 1) for c in wide.columns])
@@ -107,6 +112,9 @@ def matched(src: DataFrame, gallery: DataFrame, spec: HashSpec, below: int | Non
     below = spec.below if below is None else below
     n_src, n = src.count(), gallery.count()
     if n > BROADCAST_ROWS:
+        probes = word_join.plan(spec.nbits, below, n_src, n)
+        if probes:
+            return word_join.matched(src, gallery, spec.name, spec.nbits, below, n_src, n, probes)
         return matrix_join.matched(src, gallery, spec.name, spec.nbits, below, n_src, n)
     a, b = word_rows(src, spec, "a"), word_rows(gallery, spec, "b")
     close, _ = _close(spec, below)
