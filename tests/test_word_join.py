@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 
 from pixelsieve.operators import dedup, graph, setops, word_join
+from pixelsieve.plans import queries
 from pixelsieve.schema import DHASH, PHASH, HashSpec
 
 
@@ -86,3 +87,17 @@ def test_dedup_dhash_by_words(spark, monkeypatch):
     kept = set(first.values())
     gone = graph.cover([(i, j) for i, j, _ in brute(x, DHASH.below) if i in kept and j in kept])
     assert used and left == kept - set(gone)
+
+
+def always(monkeypatch):
+    """Every comparison but the smallest goes by words."""
+    monkeypatch.setattr(dedup, "BROADCAST_ROWS", 10)
+    real = word_join.plan
+    monkeypatch.setattr(word_join, "plan", lambda *a, **_: real(*a, always=True))
+
+
+def test_pipeline_full_by_words(spark, small, monkeypatch):
+    rows = lambda: {tuple(r) for r in queries.pipeline_full(spark, small).collect()}
+    want = rows()
+    always(monkeypatch)
+    assert want and rows() == want
