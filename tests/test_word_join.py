@@ -101,3 +101,11 @@ def test_pipeline_full_by_words(spark, small, monkeypatch):
     want = rows()
     always(monkeypatch)
     assert want and rows() == want
+
+
+@pytest.mark.parametrize("query", ["pairs_dhash"])
+def test_pairs_query_by_words(spark, small, monkeypatch, query):
+    rows = lambda: sorted(tuple(r) for r in queries.queries()[query](spark, small).collect())
+    want = rows()
+    always(monkeypatch)
+    assert want and rows() == want
