@@ -109,3 +109,12 @@ def test_pairs_query_by_words(spark, small, monkeypatch, query):
     want = rows()
     always(monkeypatch)
     assert want and rows() == want
+
+
+@pytest.mark.parametrize("query", ["remain_dhash", "merge_dhash"])
+def test_galleries_by_words(spark, small, monkeypatch, query):
+    rows = lambda: sorted(tuple(r) for r in queries.queries()[query](spark, small).collect())
+    want = rows()
+    always(monkeypatch)
+    monkeypatch.setattr(word_join, "ROWS_A_BLOCK", 400)
+    assert want and rows() == want
