@@ -103,7 +103,7 @@ def test_pipeline_full_by_words(spark, small, monkeypatch):
     assert want and rows() == want
 
 
-@pytest.mark.parametrize("query", ["pairs_dhash", "dedup_phash"])
+@pytest.mark.parametrize("query", ["pairs_dhash", "pairs_phash", "dedup_phash"])
 def test_pairs_query_by_words(spark, small, monkeypatch, query):
     rows = lambda: sorted(tuple(r) for r in queries.queries()[query](spark, small).collect())
     want = rows()
